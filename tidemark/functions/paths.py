@@ -68,9 +68,10 @@ def join_route(prefix: Column, path: Column) -> Column:
 
 
 def short_label(path: Column) -> Column:
-    """The last two segments of a path."""
+    """The last two segments of a longer path, after an ellipsis."""
     parts = F.split(path, "/")
-    return F.when(F.size(parts) <= 2, path).otherwise(F.array_join(F.slice(parts, -2, 2), "/"))
+    return F.when(F.size(parts) <= 2, path).otherwise(
+        F.concat(F.lit(".../"), F.array_join(F.slice(parts, -2, 2), "/")))
 
 
 def normalise(path: Column) -> Column:
