@@ -435,7 +435,7 @@ SELECT 'fp' || event_id AS fingerprint, CASE WHEN event_id % 11 = 0 THEN 'resolv
        CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 8 = 0 THEN '' ELSE 'Error ' || event_id END END AS summary,
        ts AS starts_at, event_id
 FROM events WHERE event_type = 'error'"""
-CTES["svc"] = """
+CTES["svc_reg"] = """
 SELECT 's' || n AS id, 'o1' AS organization_id, 'r' || (n % 4) AS repository_id, 'svc-' || n AS name,
        CASE WHEN n % 3 = 0 THEN 'u' || n END AS owner_user_id, CASE WHEN n % 5 = 0 THEN 'HIGH' ELSE 'LOW' END AS criticality
 FROM (SELECT DISTINCT user_id % 20 AS n FROM events)"""

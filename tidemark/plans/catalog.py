@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidemark.plans import delivery_queries, finding_queries, rule_queries  # noqa: F401
+from tidemark.plans import delivery_queries, finding_queries, incident_queries, rule_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
