@@ -28,9 +28,8 @@ def count_lines(content: Column) -> Column:
     return F.size(_split_lines(content, BYTE_BREAKS))
 
 
-def line_slice(content: Column, start: Column, end: Column) -> Column:
-    """Lines `start` to `end`, 1-based and inclusive, joined by a line feed."""
-    lines = text_lines(content)
+def line_slice(lines: Column, start: Column, end: Column) -> Column:
+    """Entries `start` to `end` of a line array, 1-based and inclusive, joined by a line feed."""
     first = F.greatest(start, F.lit(1))
     wanted = F.greatest(end - first + 1, F.lit(0))
     return F.array_join(F.slice(lines, first.cast("int"), wanted.cast("int")), "\n")
@@ -44,6 +43,11 @@ def token_estimate(content: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(content) / F.lit(CHARS_PER_TOKEN)).cast("int"))
 
 
+def strip(content: Column) -> Column:
+    """Without white space at both ends, tabs and breaks included."""
+    return F.regexp_replace(content, r"^\s+|\s+$", "")
+
+
 def clip(content: Column, limit: int) -> Column:
     return F.substring(content, 1, limit)
 

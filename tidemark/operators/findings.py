@@ -75,33 +75,35 @@ def apply_verdicts(
 
 
 def finding_snippets(findings: DataFrame, files: DataFrame, limit: int = SNIPPET_CHARS) -> DataFrame:
-    """The finding's lines, or the whole file without a range, cut to `limit`.
-
-    Findings join to files on the path; a file may have very many findings, so
-    the finding side is the spread one.
-    """
-    joined = _with_content(findings, files)
+    """The finding's lines, or the start of the file without a range, cut to `limit`."""
+    joined = _with_source(findings, files, {
+        "_lines": tx.text_lines(F.col("content")), "_head": tx.clip(F.col("content"), limit)})
     whole = F.col("start_line").isNull() | F.col("end_line").isNull()
-    text = F.when(whole, F.col("content")).otherwise(
-        tx.line_slice(F.col("content"), F.col("start_line"), F.col("end_line")))
-    return joined.withColumn("snippet", tx.clip(F.coalesce(text, F.lit("")), limit)).drop("content")
+    text = F.when(whole, F.col("_head")).otherwise(
+        tx.line_slice(F.col("_lines"), F.col("start_line"), F.col("end_line")))
+    return joined.withColumn("snippet", tx.clip(F.coalesce(text, F.lit("")), limit)).drop("_lines", "_head")
 
 
 def finding_context(findings: DataFrame, files: DataFrame, around: int = 2) -> DataFrame:
     """The finding's lines with `around` more on both sides, as `current_source`."""
-    joined = _with_content(findings, files)
-    lines = F.split("content", "\n")
-    first = F.greatest(F.coalesce("start_line", F.lit(1)) - around, F.lit(1))
+    joined = _with_source(findings, files, {"_lines": F.split("content", "\n")})
+    lines = F.col("_lines")
+    first = F.coalesce("start_line", F.lit(1)) - around
     last = F.least(F.coalesce(F.col("end_line"), F.size(lines)) + around, F.size(lines))
-    text = F.array_join(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), "\n")
-    return joined.withColumn("current_source", F.when(F.col("content").isNotNull(), text)).drop("content")
+    return joined.withColumn("current_source", tx.line_slice(lines, first, last)).drop("_lines")
 
 
-def _with_content(findings: DataFrame, files: DataFrame) -> DataFrame:
-    sources = files.select("repository_id", F.col("path").alias("file_path"), "content")
+def _with_source(findings: DataFrame, files: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Findings with columns cut from their file.
+
+    Lines are split once per file, ahead of the join; only files that have
+    findings are shuffled.
+    """
     wanted = findings.select("repository_id", "file_path").distinct()
-    needed = sources.join(wanted, ["repository_id", "file_path"], "left_semi")
-    return findings.join(needed, ["repository_id", "file_path"], "left")
+    sources = files.select(
+        "repository_id", F.col("path").alias("file_path"), *[c.alias(n) for n, c in columns.items()]
+    ).join(wanted, ["repository_id", "file_path"], "left_semi")
+    return findings.join(sources, ["repository_id", "file_path"], "left")
 
 
 def scope_to_changes(findings: DataFrame, changed: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ def _hit(rule: LineRule, line: Column, gate: Column | None) -> Column:
     for pattern in rule.all_of:
         matched = matched & line.rlike(pattern)
     if rule.evidence == "@line":
-        evidence = tx.clip(F.trim(line), EVIDENCE_CHARS)
+        evidence = tx.clip(tx.strip(line), EVIDENCE_CHARS)
     elif rule.evidence == "@group":
         secret = F.regexp_extract(line, rule.any_of[0][0], rule.secret_group)
         evidence = F.concat(F.lit("Secret length: "), F.length(secret).cast("string"), F.lit(" characters"))

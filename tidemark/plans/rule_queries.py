@@ -47,7 +47,7 @@ def _line_oracle(lines: str, files: str, rule: rules.LineRule, evidence: str = "
     )
 
 
-TRIMMED = "left(trim(line, ' '), 200)"
+TRIMMED = "left(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 200)"
 
 add("src5_explode_lines", lambda spark, sf: rules.explode_lines(b.document_files(spark, sf)).select(
     "repository_id", "file_path", "line_no", F.md5("line").alias("line_md5")),
