@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidemark.plans import delivery_queries, finding_queries, graph_queries, incident_queries, rule_queries, tree_queries  # noqa: F401
+from tidemark.plans import delivery_queries, finding_queries, graph_queries, incident_queries, index_queries, rule_queries, tree_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
