@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores as sc, text as tx
+from tidemark.operators.claims import PRIORITIES
 from tidemark.operators.findings import paged
 from tidemark.operators.keyed import asof_last, first_per_key, salted_join, top_per_key
 
@@ -338,7 +339,7 @@ def _gathered(df: DataFrame, order: Sequence[Column], value: Column, name: str)
 
 
 def _priority_place(priority: Column) -> Column:
-    return -sc.severity_rank(priority)
+    return -sc.lookup(priority, {name: i for i, name in enumerate(PRIORITIES)}, 0)
 
 
 def incident_dossier(

@@ -2,5 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.plans import delivery_queries, finding_queries, graph_queries, incident_queries, index_queries, rule_queries, tree_queries  # noqa: F401
+from tidemark.plans import (  # noqa: F401
+    delivery_queries,
+    finding_queries,
+    graph_queries,
+    incident_queries,
+    index_queries,
+    retrieval_queries,
+    rollup_queries,
+    rule_queries,
+    source_queries,
+    stream_queries,
+    tree_queries,
+)
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401

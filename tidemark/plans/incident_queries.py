@@ -227,7 +227,7 @@ def conclusions(spark, sf):
     advice = ev.withColumn("n", F.explode(F.sequence(F.lit(0), F.col("event_id") % 4))).select(
         F.concat(F.lit("i"), "event_id").alias("incident_id"),
         F.when(F.col("n") % 2 == 0, "ROLLBACK").otherwise("CONFIG_CHANGE").alias("type"),
-        F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH"), F.lit("CRITICAL")), (F.col("n") + 1).cast("int")).alias("priority"),
+        F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH"), F.lit("URGENT")), (F.col("n") + 1).cast("int")).alias("priority"),
         F.concat(F.lit("Do "), "n").alias("title"), F.concat(F.lit("step "), "n").alias("description"))
     return causes, advice
 
@@ -237,7 +237,7 @@ SELECT 'i' || event_id AS incident_id, 'Cause ' || event_id AS cause, event_id %
 FROM ev WHERE event_type = 'error' AND event_id % 3 <> 1"""
 b.CTES["advice"] = """
 SELECT 'i' || event_id AS incident_id, n, CASE WHEN n % 2 = 0 THEN 'ROLLBACK' ELSE 'CONFIG_CHANGE' END AS type,
-       (['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[n + 1] AS priority, 'Do ' || n AS title, 'step ' || n AS description
+       (['LOW', 'MEDIUM', 'HIGH', 'URGENT'])[n + 1] AS priority, 'Do ' || n AS title, 'step ' || n AS description
 FROM (SELECT event_id, unnest(range(0, event_id % 4 + 1)) AS n FROM ev WHERE event_type = 'error')"""
 add("in15_rollback_summary", lambda spark, sf: inc.rollback_summary(b.incidents(spark, sf), *conclusions(spark, sf)).withColumn(
     "recommendations", F.array_join("recommendations", ",")), """
