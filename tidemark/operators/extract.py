@@ -104,23 +104,21 @@ def _listed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*NODE, "language", "pre", "module").agg(names.alias("imported_names"))
 
 
-def _kids(ast: DataFrame, nodes: DataFrame, prefix: str) -> DataFrame:
-    return children(ast, nodes, prefix)
-
-
 def _python_imports(ast: DataFrame, aliased: bool) -> DataFrame:
     nodes = ast.filter("language = 'python'").join(
         _roots(ast).select(*FILE, F.col("node_id").alias("parent_id")), [*FILE, "parent_id"], "left_semi")
-    plain = _kids(ast, nodes.filter("type = 'import_statement'").select(*NODE, "language", "pre"), "c_")
+    plain = children(ast.filter("type IN ('dotted_name', 'aliased_import')"), nodes.filter("type = 'import_statement'").select(
+        *NODE, "language", "pre"), "c_")
     direct = plain.filter("c_type = 'dotted_name'").select(
         *FILE, F.col("c_id").alias("node_id"), "language", F.col("c_pre").alias("pre"), F.col("c_text").alias("module"))
     if aliased:
         holders = plain.filter("c_type = 'aliased_import'").select(*FILE, F.col("c_id").alias("node_id"), "language")
-        inner = _kids(ast, holders, "n_").filter("n_type = 'dotted_name'").select(
+        inner = children(ast, holders, "n_").filter("n_type = 'dotted_name'").select(
             *FILE, F.col("n_id").alias("node_id"), "language", F.col("n_pre").alias("pre"), F.col("n_text").alias("module"))
         direct = direct.unionByName(inner)
     whole = direct.withColumn("imported_names", F.array().cast("array<string>"))
-    froms = _kids(ast, nodes.filter("type = 'import_from_statement'").select(*NODE, "language", "pre"), "c_")
+    told = ast.filter("type IN ('relative_import', 'dotted_name', 'aliased_import', 'wildcard_import')")
+    froms = children(told, nodes.filter("type = 'import_from_statement'").select(*NODE, "language", "pre"), "c_")
     first = Window.partitionBy(*NODE)
     is_module = F.col("c_type").isin("relative_import", "dotted_name")
     placed = froms.withColumn("_module_pre", F.min(F.when(is_module, F.col("c_pre"))).over(first)).withColumn(
@@ -147,16 +145,17 @@ def _script_imports(ast: DataFrame) -> DataFrame:
     sources = ast.filter("field = 'source'").select(*FILE, F.col("parent_id").alias("_import"), "node_id").join(strings, NODE).select(
         *FILE, F.col("_import").alias("node_id"), F.col("value").alias("module"))
     statements = tops.filter("type = 'import_statement'").select(*NODE, "language", "pre").join(sources, NODE)
-    clause = _kids(ast, statements, "c_").filter("c_type = 'import_clause'").select(
+    clause = children(ast, statements, "c_").filter("c_type = 'import_clause'").select(
         *NODE, "language", "pre", "module", F.col("c_id").alias("_clause"))
-    parts = _kids(ast, clause.select(*FILE, F.col("_clause").alias("node_id"), F.col("node_id").alias("_import"), "language", "pre", "module"), "p_")
+    named = ast.filter("type IN ('identifier', 'namespace_import', 'named_imports')")
+    parts = children(named, clause.select(*FILE, F.col("_clause").alias("node_id"), F.col("node_id").alias("_import"), "language", "pre", "module"), "p_")
     key = [*FILE, F.col("_import").alias("node_id"), "language", "pre", "module"]
     defaults = parts.filter("p_type = 'identifier'").select(*key, F.col("p_text").alias("_name"), F.col("p_pre").alias("_at"))
-    spaces = _kids(ast, parts.filter("p_type = 'namespace_import'").select(
+    spaces = children(ast.filter("type = 'identifier'"), parts.filter("p_type = 'namespace_import'").select(
         *FILE, F.col("p_id").alias("node_id"), "_import", "language", "pre", "module", F.col("p_pre").alias("_at")), "n_")
     last = spaces.groupBy(*NODE, "_import", "language", "pre", "module", "_at").agg(F.max_by("n_text", "n_pre").alias("_last"))
     spaces = last.select(*key, F.concat(F.lit("* as "), "_last").alias("_name"), "_at")
-    lists = _kids(ast, parts.filter("p_type = 'named_imports'").select(
+    lists = children(ast, parts.filter("p_type = 'named_imports'").select(
         *FILE, F.col("p_id").alias("node_id"), "_import", "language", "pre", "module"), "s_").filter("s_type = 'import_specifier'")
     alias = field_text(ast, "alias", "_alias").select(*FILE, F.col("node_id").alias("s_id"), "_alias")
     name = field_text(ast, "name", "_orig").select(*FILE, F.col("node_id").alias("s_id"), "_orig")
@@ -186,7 +185,7 @@ def _requires(ast: DataFrame, tops: DataFrame, strings: DataFrame) -> DataFrame:
         *NODE, "language", "pre", "module", F.when(F.col("_t_type") == "identifier", F.col("_t")).alias("_name"), F.lit(0).alias("_at"))
     pattern = aimed.filter("_t_type = 'object_pattern'").select(
         *FILE, F.col("_t_id").alias("node_id"), F.col("node_id").alias("_import"), "language", "pre", "module")
-    parts = _kids(ast, pattern, "p_")
+    parts = children(ast.filter("type IN ('shorthand_property_identifier_pattern', 'pair_pattern')"), pattern, "p_")
     keys = field_text(ast, "key", "_key").select(*FILE, F.col("node_id").alias("p_id"), "_key")
     name = F.when(F.col("p_type") == "shorthand_property_identifier_pattern", F.col("p_text")).when(
         F.col("p_type") == "pair_pattern", F.col("_key"))
@@ -198,7 +197,7 @@ def _requires(ast: DataFrame, tops: DataFrame, strings: DataFrame) -> DataFrame:
 def _java_imports(ast: DataFrame) -> DataFrame:
     nodes = ast.filter("language = 'java' AND type = 'import_declaration'").join(
         _roots(ast).select(*FILE, F.col("node_id").alias("parent_id")), [*FILE, "parent_id"], "left_semi").select(*NODE, "language", "pre")
-    parts = _kids(ast, nodes, "c_")
+    parts = children(ast.filter("type IN ('scoped_identifier', 'identifier', 'asterisk')"), nodes, "c_")
     named = F.col("c_type").isin("scoped_identifier", "identifier")
     grouped = parts.groupBy(*NODE, "language", "pre").agg(
         F.min_by(F.when(named, F.col("c_text")), F.when(named, F.col("c_pre"))).alias("_module"),
@@ -235,7 +234,7 @@ def decorators(ast: DataFrame, symbols: DataFrame) -> DataFrame:
     Python's sit in the decorated wrapper; Java's in the modifiers child.
     """
     anchors = symbols.select(*FILE, "language", F.col("node_id").alias("symbol_node"), F.col("anchor_id").alias("node_id")).distinct()
-    kids = _kids(ast, anchors, "c_")
+    kids = children(ast, anchors, "c_")
     python = kids.filter("language = 'python' AND c_type = 'decorator' AND node_id <> symbol_node").groupBy(*FILE, "symbol_node").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("c_pre", "c_text"))), lambda x: x["c_text"]).alias("decorators"))
     scripts = kids.filter(F.col("language").isin("javascript", "typescript"))
@@ -246,7 +245,7 @@ def decorators(ast: DataFrame, symbols: DataFrame) -> DataFrame:
         *FILE, "symbol_node", F.coalesce("_inside", "_before").alias("decorators")).filter("decorators IS NOT NULL")
     modifiers = kids.filter("language = 'java' AND c_type = 'modifiers'").groupBy(*FILE, "symbol_node").agg(
         F.min_by("c_id", "c_pre").alias("node_id"))
-    java = _kids(ast, modifiers, "m_").filter("m_type IN ('marker_annotation', 'annotation')").groupBy(*FILE, "symbol_node").agg(
+    java = children(ast, modifiers, "m_").filter("m_type IN ('marker_annotation', 'annotation')").groupBy(*FILE, "symbol_node").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("m_pre", "m_text"))), lambda x: x["m_text"]).alias("decorators"))
     return python.unionByName(script).unionByName(java).select(*FILE, F.col("symbol_node").alias("node_id"), "decorators")
 
@@ -295,14 +294,14 @@ def doc_comments(ast: DataFrame, symbols: DataFrame) -> DataFrame:
 def _docstrings(ast: DataFrame, blocks: DataFrame) -> DataFrame:
     """The string that is all of a block's first statement; `blocks` has node_id and `_symbol`."""
     def first(nodes: DataFrame, prefix: str) -> DataFrame:
-        kids = _kids(ast, nodes, prefix)
+        kids = children(ast, nodes, prefix)
         return kids.groupBy(*NODE, "_symbol").agg(
             F.min(F.struct(f"{prefix}pre", f"{prefix}type", f"{prefix}id")).alias("_f")).select(
             *FILE, F.col(f"_f.{prefix}id").alias("node_id"), "_symbol", F.col(f"_f.{prefix}type").alias("_type"))
 
     statements = first(blocks, "a_").filter("_type = 'expression_statement'").drop("_type")
     strings = first(statements, "b_").filter("_type = 'string'").drop("_type")
-    parts = _kids(ast, strings, "c_").filter("c_type = 'string_content'")
+    parts = children(ast, strings, "c_").filter("c_type = 'string_content'")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_pre", "c_text"))), lambda x: x["c_text"]), "")
     return parts.groupBy(*FILE, "_symbol").agg(tx.non_empty(tx.strip(text)).alias("doc_comment"))
 
@@ -311,7 +310,7 @@ def module_comments(ast: DataFrame) -> DataFrame:
     """The comment that opens each file."""
     roots = ast.filter("parent_id IS NULL").select(*NODE, "language", F.col("node_id").alias("_symbol"))
     strings = _docstrings(ast, roots.filter("language = 'python'").drop("language")).select(*FILE, "doc_comment")
-    opening = _kids(ast, roots.filter("language <> 'python'"), "c_").groupBy(*FILE).agg(
+    opening = children(ast, roots.filter("language <> 'python'"), "c_").groupBy(*FILE).agg(
         F.min(F.struct("c_pre", "c_type", "c_text")).alias("_f")).filter(F.col("_f.c_type").isin(COMMENT_TYPES)).select(
         *FILE, clean_comment(F.col("_f.c_text")).alias("doc_comment"))
     return strings.unionByName(opening).filter("doc_comment IS NOT NULL")
@@ -322,10 +321,10 @@ def heritage(ast: DataFrame, symbols: DataFrame) -> DataFrame:
     owners = symbols.filter(F.col("kind").isin("CLASS", "INTERFACE")).select(*NODE, "language")
     python = field_text(ast, "superclasses", "_s").join(owners.filter("language = 'python'"), NODE, "left_semi").select(
         *NODE, F.lit("superclasses").alias("role"), tx.strip(F.regexp_replace("_s", r"^[()]+|[()]+$", "")).alias("_name"), F.lit(0).alias("_at"))
-    kids = _kids(ast, owners, "h_")
+    kids = children(ast, owners, "h_")
 
     def below(rows: DataFrame, id_: str, prefix: str) -> DataFrame:
-        return _kids(ast, rows.select(*FILE, F.col(id_).alias("node_id"), F.col("node_id").alias("_owner"), "language"), prefix)
+        return children(ast, rows.select(*FILE, F.col(id_).alias("node_id"), F.col("node_id").alias("_owner"), "language"), prefix)
 
     clauses = below(kids.filter("h_type = 'class_heritage'"), "h_id", "k_")
     clause_rows = clauses.select(*FILE, F.col("_owner").alias("node_id"), "language", "k_id", "k_type", "k_pre", "k_text")

@@ -12,6 +12,7 @@ from tidemark.functions import scores as sc, text as tx
 from tidemark.operators.claims import PRIORITIES
 from tidemark.operators.findings import paged
 from tidemark.operators.keyed import asof_last, first_per_key, salted_join, top_per_key
+from tidemark.session import cut_lineage
 
 # Label severities, open statuses, look-back, relevance scores.
 SEVERITY_FROM_LABEL = {"critical": "CRITICAL", "page": "CRITICAL", "high": "HIGH", "warning": "MEDIUM", "info": "LOW"}
@@ -205,8 +206,9 @@ def correlate(
 
     Signals are keyed by (incident, type, ref), so a rerun replaces them.
     """
-    matched = with_deployment(incidents, deployments)
-    with_commits = with_commit(matched, commits)
+    # Five correlators read this table: it is computed once and read back.
+    with_commits = cut_lineage(with_commit(with_deployment(incidents, deployments), commits))
+    matched = with_commits.drop("commit")
     parts = [
         deployment_signals(matched), commit_signals(with_commits), pull_request_signals(matched, pull_requests),
         ownership_signals(with_commits, services, users), finding_signals(incidents, findings),

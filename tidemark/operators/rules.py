@@ -131,19 +131,29 @@ LINE_RULES = (
 EVIDENCE_CHARS = 200
 
 
-def explode_lines(files: DataFrame, breaks: str | None = None) -> DataFrame:
-    """One row per line, numbered from 1."""
+def explode_lines(files: DataFrame, where: Column | None = None) -> DataFrame:
+    """One row per line, numbered from 1, of the files that satisfy `where`.
+
+    The test sits inside the generator: a file that fails it is never split,
+    and the test is not evaluated twice by being pushed towards the scan.
+    """
     require_columns(files, "repository_id", "path", "content")
     lines = tx.text_lines(F.col("content"))
+    if where is not None:
+        lines = F.when(where, lines)
     keep = [c for c in files.columns if c not in ("content", "path")]
     return files.select(*keep, F.col("path").alias("file_path"), F.posexplode(lines).alias("_pos", "line")).select(
         *keep, "file_path", (F.col("_pos") + 1).alias("line_no"), "line"
     )
 
 
-def _some_line_may_match(rules: Sequence[LineRule]) -> str:
-    """One pattern for the whole text, found wherever any rule's line pattern is."""
-    return "(?m)" + "|".join(f"(?:{pattern})" for rule in rules for pattern, _ in rule.any_of)
+def _some_line_may_match(rules: Sequence[LineRule], text: Column) -> Column:
+    """Whether any rule's line pattern is found anywhere in the whole text."""
+    found = F.lit(False)
+    for rule in rules:
+        for pattern, _ in rule.any_of:
+            found = found | text.rlike("(?m)" + pattern)
+    return found
 
 
 def _file_condition(rule: LineRule, text: Column) -> Column | None:
@@ -191,8 +201,8 @@ def scan_rules(files: DataFrame, rules: Sequence[LineRule] = LINE_RULES) -> Data
     require_columns(files, "repository_id", "path", "content")
     conditions = {i: _file_condition(rule, F.col("content")) for i, rule in enumerate(rules)}
     gates = [condition.alias(f"_gate{i}") for i, condition in conditions.items() if condition is not None]
-    candidates = files.filter(F.col("content").rlike(_some_line_may_match(rules)))
-    lines = explode_lines(candidates.select("repository_id", "path", "content", *gates))
+    gated = files.select("repository_id", "path", "content", *gates)
+    lines = explode_lines(gated, _some_line_may_match(rules, F.col("content")))
     hits = F.array_compact(F.array(*[
         _hit(rule, F.col("line"), None if conditions[i] is None else F.col(f"_gate{i}"))
         for i, rule in enumerate(rules)

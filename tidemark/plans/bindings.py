@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.plans import sample_trees
+from tidemark.sources.tables import read_table
 
 CTES: dict[str, str] = {}
 
@@ -46,10 +47,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows are costly to work on, spread over the cores when small."""
+    return read_table(spark, f"{sf}/{name}.parquet", *columns)
+
+
 # --- documents as source files -------------------------------------------------
 
 def document_files(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return wide(spark, sf, "documents", "source", "doc_id", "text").select(
         F.col("source").alias("repository_id"), F.col("doc_id").cast("string").alias("path"),
         F.lit("text").alias("language"), F.col("text").alias("content"),
     )
@@ -102,7 +108,7 @@ CODE_PATH = f"'src/' || {CODE_FOLDER} || '/f' || p_partkey || {CODE_EXTENSION}"
 
 
 def code_files(spark, sf) -> DataFrame:
-    return table(spark, sf, "part").select(
+    return wide(spark, sf, "part").select(
         F.col("p_brand").alias("repository_id"), F.expr(CODE_PATH).alias("path"),
         F.expr("CASE p_partkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'javascript' "
                "ELSE 'java' END").alias("language"),
@@ -188,7 +194,7 @@ def _duck_columns(spec: dict[str, str]) -> str:
 
 
 def class_symbols(spark, sf) -> DataFrame:
-    part = table(spark, sf, "part")
+    part = wide(spark, sf, "part")
     methods = part.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p_size") % 18)))
     return part.select(*_spark_columns(CLASS_COLUMNS)).unionByName(methods.select(*_spark_columns(METHOD_COLUMNS)))
 
@@ -209,7 +215,7 @@ NODE_DDL = (
 
 
 def ast_nodes(spark, sf) -> DataFrame:
-    part = table(spark, sf, "part").select(
+    part = wide(spark, sf, "part", "p_partkey", "p_brand").select(
         F.col("p_brand").alias("repository_id"), F.concat(F.lit("f"), "p_partkey").alias("file_path"),
         F.expr(AST_LANGUAGE).alias("language"), (F.col("p_partkey") % 10).cast("string").alias("_digit"),
     )
@@ -274,7 +280,7 @@ PAGE_ROLES = {
 
 def page_trees(spark, sf) -> DataFrame:
     """Tags of each page as nodes with nested-set numbers; `page_id` is the file."""
-    pages = table(spark, sf, "pages").select(
+    pages = wide(spark, sf, "pages", "page_id", "html").select(
         (F.col("page_id") % 5).cast("string").alias("repository_id"), F.col("page_id").cast("string").alias("file_path"),
         F.posexplode(F.regexp_extract_all(F.regexp_replace("html", NOISE, ""), F.lit(TAG), F.lit(0))).alias("pos", "raw"),
     )

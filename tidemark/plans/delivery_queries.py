@@ -23,7 +23,6 @@ def versions(spark, sf):
     return stored, new.withColumn("seq", F.lit(2)).unionByName(stale)
 
 
-NEWEST = [F.lit(0)]
 SHOWN = ["repository_id", "path", "content_hash", "note", "origin"]
 b.CTES["ver_old"] = "SELECT repository_id, path, content_hash, 'old ' || path AS note, 'first' AS origin FROM snap_prev"
 b.CTES["ver_new"] = """

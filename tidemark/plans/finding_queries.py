@@ -7,32 +7,30 @@ from pyspark.sql import functions as F
 from tidemark.operators import enrichment as en, findings as fp, rules, scores
 from tidemark.plans import bindings as b
 from tidemark.plans.registry import add, quoted
-from tidemark.plans.rule_queries import TOKEN_RULE
+from tidemark.plans.rule_queries import line_oracle
 
 # --- flagship: worst sources and the findings behind them ----------------------------
 
 
 def worst_sources(spark, sf):
-    rows = rules.scan_rules(b.document_files(spark, sf), [TOKEN_RULE])
-    rows = rows.withColumn("id", F.concat_ws(":", "repository_id", "file_path", "start_line", "type"))
-    rows = rows.withColumn("created_at", F.lit(None).cast("timestamp"))
-    scored = scores.category_scores(rows)
-    top = fp.top_findings(en.with_priority(rows), 3, ["repository_id"])
+    rows = rules.scan_rules(b.code_files(spark, sf)).unionByName(rules.unsafe_cors(b.code_files(spark, sf)))
+    rows = en.with_priority(rows.withColumn("id", F.concat_ws(":", "file_path", "start_line", "type", "title")))
+    scored = scores.category_scores(rows).select("repository_id", "security_score")
+    top = fp.top_findings(rows.withColumn("created_at", F.lit(None).cast("timestamp")), 3, ["repository_id"])
     return top.join(scored, "repository_id").select(
-        "repository_id", "security_score", "position", "priority", "title", "file_path", "start_line")
-
-
-_label = "CASE " + " ".join(f"WHEN regexp_matches(line, {quoted(p)}) THEN {quoted(n)}" for p, n in TOKEN_RULE.any_of) + " END"
-add("flagship_worst_sources", worst_sources, f"""
-WITH hits AS (SELECT repository_id, file_path, line_no, {_label} AS label FROM doc_lines),
-found AS (SELECT *, 'Possible ' || label || ' hardcoded in ' || file_path AS title,
-                 repository_id || ':' || file_path || ':' || line_no || ':HARDCODED_SECRET' AS id
-          FROM hits WHERE label IS NOT NULL),
-scored AS (SELECT repository_id, greatest(0, 100 - 12 * count(*))::INTEGER AS security_score FROM found GROUP BY 1)
-SELECT repository_id, security_score, position::INTEGER AS position, 'CRITICAL' AS priority, title, file_path,
-       line_no::INTEGER AS start_line
-FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY id) AS position FROM found)
-JOIN scored USING (repository_id) WHERE position <= 3""")
+        "repository_id", "security_score", "position", "severity", "priority", "title", "file_path", "start_line")
+
+
+b.CTES["line_hits"] = " UNION ALL ".join(line_oracle("code_lines", "code_files", rule) for rule in rules.LINE_RULES) + f"""
+UNION ALL SELECT repository_id, 'UNSAFE_CONFIGURATION', 'HIGH', 65, 'CORS allows any origin together with credentials in ' || path, NULL, path, NULL
+FROM code_files WHERE regexp_matches(content, {quoted(rules.CORS_WILDCARD)}) AND regexp_matches(content, {quoted(rules.CORS_CREDENTIALS)})"""
+add("flagship_worst_sources", worst_sources, """
+WITH hits AS (SELECT h.*, rank, penalty, concat_ws(':', file_path, start_line, type, title) AS id FROM line_hits h JOIN ranked_severity USING (severity)),
+scored AS (SELECT repository_id, greatest(0, 100 - sum(penalty))::INTEGER AS security_score FROM hits GROUP BY 1)
+SELECT repository_id, security_score, row_number() OVER (PARTITION BY repository_id ORDER BY rank DESC, id)::INTEGER AS position, severity,
+       (['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[1 + least(4, rank + 1 - CASE WHEN confidence < 50 THEN 1 ELSE 0 END)] AS priority,
+       title, file_path, start_line
+FROM hits JOIN scored USING (repository_id) QUALIFY position <= 3""")
 
 # --- scores ---------------------------------------------------------------------------
 

@@ -9,7 +9,7 @@ from tidemark.operators import extract as nx, index as ix
 from tidemark.operators.containment import FILE
 from tidemark.plans import bindings as b
 from tidemark.plans.registry import add, quoted
-from tidemark.plans.tree_queries import listed
+from tidemark.session import cut_lineage
 
 # --- snapshots ------------------------------------------------------------------------------
 
@@ -306,14 +306,15 @@ JOIN ast_nodes n ON n.file_path = m.file_path AND n.parent_id = m.node_id AND n.
 
 
 def symbols_and_methods(spark, sf):
+    """Trees with their symbols and methods; symbols are landed once, as an index holds them."""
     ast = b.ast_nodes(spark, sf)
-    tops = nx.top_symbols(ast)
+    tops = cut_lineage(nx.top_symbols(ast))
     return ast, tops, nx.methods(ast, tops)
 
 
 def everything(spark, sf):
     ast, tops, members = symbols_and_methods(spark, sf)
-    return ast, tops.unionByName(members.drop("class_id"))
+    return ast, cut_lineage(tops.unionByName(members.drop("class_id")))
 
 
 add("nx1_top_symbols", lambda spark, sf: nx.top_symbols(b.ast_nodes(spark, sf)).select("file_path", "kind", "name", "start_line", "end_line"),
@@ -349,7 +350,7 @@ add("nx5_module_comments", lambda spark, sf: nx.module_comments(b.ast_nodes(spar
 SELECT 'f' || p_partkey AS file_path, CASE p_partkey % 3 WHEN 0 THEN 'module notes' ELSE 'entry point' END AS doc_comment FROM part WHERE p_partkey % 3 < 2""")
 
 
-add("nx6_heritage", lambda spark, sf: nx.heritage(b.ast_nodes(spark, sf), nx.top_symbols(b.ast_nodes(spark, sf))).groupBy("superclasses", "interfaces").agg(
+add("nx6_heritage", lambda spark, sf: nx.heritage(*symbols_and_methods(spark, sf)[:2]).groupBy("superclasses", "interfaces").agg(
     F.count("*").alias("n")), """
 SELECT superclasses, interfaces, count(*) AS n FROM part JOIN (VALUES (0, 'Base , Mixin', NULL), (1, 'Base', 'Handler, Closer'),
   (2, 'BaseApi', 'Api, Closeable'), (2, NULL, 'Root')) v(k, superclasses, interfaces) ON v.k = p_partkey % 3 GROUP BY ALL""")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans.bindings import with_ctes
+from tidemark.session import ensure
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,7 +17,7 @@ ORACLES: dict[str, str] = {}
 def add(name: str, query: Query, oracle: str | None = None) -> None:
     if name in QUERIES:
         raise ValueError(f"{name} is registered twice")
-    QUERIES[name] = query
+    QUERIES[name] = lambda spark, sf: query(ensure(spark), sf)
     if oracle is not None:
         ORACLES[name] = with_ctes(oracle)
 

@@ -58,10 +58,10 @@ def _hydrated(spark, sf):
     return rt.hydrate(rt.search(chunks(spark, sf), queries(spark, sf)), docs, symbols, repositories(spark, sf))
 
 
-b.CTES["hits"] = _search_sql("TRUE", 10)
+b.CTES["search_hits"] = _search_sql("TRUE", 10)
 b.CTES["hydrated"] = """
 SELECT query_id, rank, chunk_id, 'r' || (doc_id % 5) AS repository_id, 'repo r' || (doc_id % 5) AS repository_name, 'f' || doc_id AS file_path, lang AS kind,
-       CASE WHEN doc_id % 4 = 0 THEN 'S' || doc_id END AS symbol_name, text AS content FROM hits JOIN documents ON doc_id = chunk_id WHERE doc_id % 7 <> 0"""
+       CASE WHEN doc_id % 4 = 0 THEN 'S' || doc_id END AS symbol_name, text AS content FROM search_hits JOIN documents ON doc_id = chunk_id WHERE doc_id % 7 <> 0"""
 add("rt3_hydrate", lambda spark, sf: _hydrated(spark, sf).drop("score"), "SELECT * FROM hydrated")
 
 

@@ -28,7 +28,7 @@ def _scan(files, *line_rules):
     return lambda spark, sf: rules.scan_rules(files(spark, sf), line_rules).select(*SHOWN)
 
 
-def _line_oracle(lines: str, files: str, rule: rules.LineRule, evidence: str = "NULL::VARCHAR") -> str:
+def line_oracle(lines: str, files: str, rule: rules.LineRule, evidence: str = "NULL::VARCHAR") -> str:
     label = "CASE " + " ".join(
         f"WHEN regexp_matches(line, {quoted(p)}) THEN {quoted(name)}" for p, name in rule.any_of) + " END"
     where = [any_match("line", [p for p, _ in rule.any_of])]
@@ -52,24 +52,24 @@ TRIMMED = "left(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 200)"
 add("src5_explode_lines", lambda spark, sf: rules.explode_lines(b.document_files(spark, sf)).select(
     "repository_id", "file_path", "line_no", F.md5("line").alias("line_md5")),
     "SELECT repository_id, file_path, line_no::INTEGER AS line_no, md5(line) AS line_md5 FROM doc_lines")
-add("se1_hardcoded_secret", _scan(b.document_files, TOKEN_RULE), _line_oracle("doc_lines", "doc_files", TOKEN_RULE))
+add("se1_hardcoded_secret", _scan(b.document_files, TOKEN_RULE), line_oracle("doc_lines", "doc_files", TOKEN_RULE))
 add("se1_hardcoded_secret_code", _scan(b.code_files, rules.HARDCODED_SECRET),
-    _line_oracle("code_lines", "code_files", rules.HARDCODED_SECRET))
+    line_oracle("code_lines", "code_files", rules.HARDCODED_SECRET))
 add("se2_sql_concatenation", _scan(b.code_files, rules.SQL_INJECTION),
-    _line_oracle("code_lines", "code_files", rules.SQL_INJECTION))
+    line_oracle("code_lines", "code_files", rules.SQL_INJECTION))
 add("se3_tls_checks_off", _scan(b.code_files, rules.WEAK_TLS),
-    _line_oracle("code_lines", "code_files", rules.WEAK_TLS))
+    line_oracle("code_lines", "code_files", rules.WEAK_TLS))
 add("se4_sensitive_log", _scan(b.code_files, rules.SENSITIVE_LOG),
-    _line_oracle("code_lines", "code_files", rules.SENSITIVE_LOG))
-add("se4_two_words_on_a_line", _scan(b.document_files, LOG_WORDS), _line_oracle("doc_lines", "doc_files", LOG_WORDS))
+    line_oracle("code_lines", "code_files", rules.SENSITIVE_LOG))
+add("se4_two_words_on_a_line", _scan(b.document_files, LOG_WORDS), line_oracle("doc_lines", "doc_files", LOG_WORDS))
 add("se6_weak_jwt", _scan(b.code_files, rules.JWT_NO_ALGORITHM, rules.JWT_WEAK_SECRET),
-    _line_oracle("code_lines", "code_files", rules.JWT_NO_ALGORITHM, quoted("algorithm: 'none' permitted"))
-    + " UNION ALL " + _line_oracle(
+    line_oracle("code_lines", "code_files", rules.JWT_NO_ALGORITHM, quoted("algorithm: 'none' permitted"))
+    + " UNION ALL " + line_oracle(
         "code_lines", "code_files", rules.JWT_WEAK_SECRET,
         f"'Secret length: ' || length(regexp_extract(line, {quoted(rules.JWT_SHORT_SECRET)}, 2)) || ' characters'"))
-add("se7_xss", _scan(b.code_files, rules.XSS), _line_oracle("code_lines", "code_files", rules.XSS, TRIMMED))
+add("se7_xss", _scan(b.code_files, rules.XSS), line_oracle("code_lines", "code_files", rules.XSS, TRIMMED))
 add("se7_xss_documents", _scan(b.document_files, PIPE_RULE),
-    _line_oracle("doc_lines", "doc_files", PIPE_RULE, TRIMMED))
+    line_oracle("doc_lines", "doc_files", PIPE_RULE, TRIMMED))
 add("se8_cors_with_credentials", lambda spark, sf: rules.unsafe_cors(b.code_files(spark, sf)).select(*SHOWN), f"""
 SELECT repository_id, 'UNSAFE_CONFIGURATION' AS type, 'HIGH' AS severity, 65 AS confidence,
        'CORS allows any origin together with credentials in ' || path AS title,
@@ -77,11 +77,11 @@ SELECT repository_id, 'UNSAFE_CONFIGURATION' AS type, 'HIGH' AS severity, 65 AS
 FROM code_files WHERE regexp_matches(content, {quoted(rules.CORS_WILDCARD)})
   AND regexp_matches(content, {quoted(rules.CORS_CREDENTIALS)})""")
 add("se9_debug_on", _scan(b.code_files, rules.DEBUG_ON),
-    _line_oracle("code_lines", "code_files", rules.DEBUG_ON, TRIMMED))
+    line_oracle("code_lines", "code_files", rules.DEBUG_ON, TRIMMED))
 add("se10_password_equality", _scan(b.code_files, rules.WEAK_PASSWORD),
-    _line_oracle("code_lines", "code_files", rules.WEAK_PASSWORD, TRIMMED))
+    line_oracle("code_lines", "code_files", rules.WEAK_PASSWORD, TRIMMED))
 add("se10_word_pair_with_veto", _scan(b.document_files, WORD_VETO),
-    _line_oracle("doc_lines", "doc_files", WORD_VETO, TRIMMED))
+    line_oracle("doc_lines", "doc_files", WORD_VETO, TRIMMED))
 
 
 def _csrf_oracle(files: str, session: str, defence: str) -> str:
@@ -102,7 +102,7 @@ add("se11_repository_wide_veto", lambda spark, sf: rules.csrf_risk(
 add("fp1_all_line_rules", lambda spark, sf: rules.scan_rules(b.code_files(spark, sf)).groupBy("repository_id", "type").agg(
     F.count("*").alias("n")),
     "SELECT repository_id, type, count(*) AS n FROM (" + " UNION ALL ".join(
-        _line_oracle("code_lines", "code_files", rule) for rule in rules.LINE_RULES) + ") GROUP BY ALL")
+        line_oracle("code_lines", "code_files", rule) for rule in rules.LINE_RULES) + ") GROUP BY ALL")
 
 # --- endpoints ----------------------------------------------------------------------
 

@@ -63,7 +63,8 @@ def _incidents(spark, sf):
     return landed(spark, rows, "incidents").select("service_id", "fingerprint", "detected_at", "title", "severity")
 
 
-add("st3_detect_incidents", _incidents, ORACLES["in3_detect_incidents"])
+add("st3_detect_incidents", _incidents)
+ORACLES["st3_detect_incidents"] = ORACLES["in3_detect_incidents"]
 
 
 def _pushes(spark, sf):

@@ -9,6 +9,7 @@ from tidemark.operators import patterns, scores, trees
 from tidemark.operators.containment import FILE
 from tidemark.plans import bindings as b
 from tidemark.plans.registry import add, quoted
+from tidemark.session import cut_lineage
 
 HTML = b.PAGE_ROLES
 
@@ -25,6 +26,13 @@ def role_sql(role: str, alias: str = "") -> str:
     return "(" + " OR ".join(tests) + ")"
 
 
+
+
+def pages(spark, sf):
+    """Page trees, landed once: a metric reads its nodes several times."""
+    return cut_lineage(b.page_trees(spark, sf))
+
+
 # --- web pages -----------------------------------------------------------------------
 
 _h = HTML["html"]
@@ -33,7 +41,7 @@ SELECT repository_id, file_path, node_id AS function_id, pre, post, start_line,
 FROM page_trees WHERE type IN ({listed(_h["function"])})"""
 KEYS = [*FILE, "function_id"]
 
-add("tm1_functions", lambda spark, sf: trees.functions(b.page_trees(spark, sf), HTML).select(
+add("tm1_functions", lambda spark, sf: trees.functions(pages(spark, sf), HTML).select(
     *KEYS, "pre", "post", "function_name", "start_line", "end_line"),
     "SELECT *, '<anonymous>' AS function_name FROM pf")
 add("tm1_named_functions", lambda spark, sf: trees.functions(b.ast_nodes(spark, sf)).groupBy("language", "function_name").agg(
@@ -44,7 +52,7 @@ WHERE {role_sql("function", "f")} GROUP BY ALL""")
 b.CTES["page_cx"] = f"""
 SELECT f.*, (1 + count(n.node_id))::INTEGER AS complexity FROM pf f LEFT JOIN page_trees n
   ON n.file_path = f.file_path AND n.pre BETWEEN f.pre AND f.post AND n.type IN ({listed(_h["decision"])}) GROUP BY ALL"""
-add("tm2_complexity", lambda spark, sf: trees.complexity(b.page_trees(spark, sf), HTML).select(*KEYS, "complexity"),
+add("tm2_complexity", lambda spark, sf: trees.complexity(pages(spark, sf), HTML).select(*KEYS, "complexity"),
     "SELECT repository_id, file_path, function_id, complexity FROM page_cx")
 b.CTES["ast_cx"] = f"""
 SELECT f.repository_id, f.file_path, f.language, f.node_id AS function_id,
@@ -56,11 +64,11 @@ LEFT JOIN ast_nodes o ON o.file_path = n.file_path AND o.parent_id = n.node_id A
 WHERE {role_sql("function", "f")} GROUP BY ALL"""
 add("tm2_complexity_code", lambda spark, sf: trees.complexity(b.ast_nodes(spark, sf)).select(*KEYS, "complexity"),
     "SELECT repository_id, file_path, function_id, complexity FROM ast_cx")
-add("tm3_high_complexity", lambda spark, sf: trees.high_complexity(trees.complexity(b.page_trees(spark, sf), HTML)).select(
+add("tm3_high_complexity", lambda spark, sf: trees.high_complexity(trees.complexity(pages(spark, sf), HTML)).select(
     "file_path", "severity", "title", "start_line"), """
 SELECT file_path, CASE WHEN complexity > 20 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
        '`<anonymous>` has high cyclomatic complexity (' || complexity || ')' AS title, start_line FROM page_cx WHERE complexity > 10""")
-add("tm4_long_method", lambda spark, sf: trees.long_method(trees.functions(b.page_trees(spark, sf), HTML), 20, 40).select(
+add("tm4_long_method", lambda spark, sf: trees.long_method(trees.functions(pages(spark, sf), HTML), 20, 40).select(
     "file_path", "severity", "title", "start_line", "end_line"), """
 SELECT file_path, CASE WHEN end_line - start_line + 1 > 40 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
        '`<anonymous>` is a long method (' || (end_line - start_line + 1) || ' lines)' AS title, start_line, end_line
@@ -76,13 +84,13 @@ WITH inside AS (SELECT f.repository_id, f.file_path, f.function_id, n.node_id, (
 SELECT repository_id, file_path, function_id, coalesce(max(depth), 0)::INTEGER AS {name} FROM inside GROUP BY 1, 2, 3"""
 
 
-add("tm6_nesting_depth", lambda spark, sf: trees.nesting_depth(b.page_trees(spark, sf), HTML).select(*KEYS, "depth"),
+add("tm6_nesting_depth", lambda spark, sf: trees.nesting_depth(pages(spark, sf), HTML).select(*KEYS, "depth"),
     _depth_oracle("nesting", "depth"))
-add("tm6_deep_nesting", lambda spark, sf: trees.deep_nesting(trees.nesting_depth(b.page_trees(spark, sf), HTML), 1).select(
+add("tm6_deep_nesting", lambda spark, sf: trees.deep_nesting(trees.nesting_depth(pages(spark, sf), HTML), 1).select(
     "file_path", "title"), f"""
 SELECT file_path, '`<anonymous>` has deeply nested control flow (' || depth || ' levels)' AS title
 FROM ({_depth_oracle("nesting", "depth")}) WHERE depth > 1""")
-add("tm15_loop_depth", lambda spark, sf: trees.loop_depth(b.page_trees(spark, sf), HTML).select(*KEYS, "loop_depth"),
+add("tm15_loop_depth", lambda spark, sf: trees.loop_depth(pages(spark, sf), HTML).select(*KEYS, "loop_depth"),
     _depth_oracle("loop", "loop_depth"))
 add("tm15_expensive_loops", lambda spark, sf: trees.expensive_loops(trees.loop_depth(b.ast_nodes(spark, sf))).select(
     "file_path", "title", "start_line"), f"""
@@ -99,14 +107,14 @@ FROM (SELECT path, len(string_split(content, chr(10))) AS n FROM doc_files) WHER
 b.CTES["page_shapes"] = """
 SELECT f.repository_id, f.file_path, f.function_id, f.start_line, f.end_line, sha256(string_agg(n.type, '|' ORDER BY n.pre)) AS fingerprint
 FROM pf f JOIN page_trees n ON n.file_path = f.file_path AND n.pre BETWEEN f.pre AND f.post GROUP BY ALL"""
-add("tm8_fingerprint", lambda spark, sf: trees.fingerprint(b.page_trees(spark, sf), HTML).select(*KEYS, "fingerprint"),
+add("tm8_fingerprint", lambda spark, sf: trees.fingerprint(pages(spark, sf), HTML).select(*KEYS, "fingerprint"),
     "SELECT repository_id, file_path, function_id, fingerprint FROM page_shapes")
-add("tm9_duplicates", lambda spark, sf: trees.duplicates(trees.fingerprint(b.page_trees(spark, sf), HTML)).select(
+add("tm9_duplicates", lambda spark, sf: trees.duplicates(trees.fingerprint(pages(spark, sf), HTML)).select(
     "repository_id", "title", "file_path", "start_line"), """
 SELECT repository_id, 'Duplicate logic found in ' || count(*) || ' functions' AS title, arg_min(file_path, (file_path, start_line)) AS file_path,
        arg_min(start_line, (file_path, start_line)) AS start_line
 FROM page_shapes WHERE end_line - start_line + 1 >= 5 GROUP BY repository_id, fingerprint HAVING count(*) > 1""")
-add("tm9_duplicate_locations", lambda spark, sf: trees.duplicate_locations(trees.fingerprint(b.page_trees(spark, sf), HTML)).select(
+add("tm9_duplicate_locations", lambda spark, sf: trees.duplicate_locations(trees.fingerprint(pages(spark, sf), HTML)).select(
     "repository_id", "fingerprint", "members", "file_path", "start_line"), """
 SELECT repository_id, fingerprint, members, file_path, start_line FROM (
   SELECT *, count(*) OVER (PARTITION BY repository_id, fingerprint) AS members FROM page_shapes WHERE end_line - start_line + 1 >= 5)
@@ -176,7 +184,7 @@ GROUP BY f.file_path, f.node_id, f.function_name, l.node_id, l.start_line""")
 
 def page_links(spark, sf):
     """`a` tags as calls named by their text, through a name child."""
-    nodes = b.page_trees(spark, sf)
+    nodes = pages(spark, sf)
     names = nodes.filter("type = 'a'").withColumn("parent_id", F.col("node_id")).withColumn(
         "node_id", -F.col("node_id") - 1).withColumn("type", F.lit("name")).withColumn("field", F.lit("name"))
     return nodes.unionByName(names)
@@ -193,11 +201,11 @@ add("tm14_blocking_calls", lambda spark, sf: trees.blocking_calls(b.ast_nodes(sp
 SELECT f.file_path, 'Blocking call `' || c.callee || '` inside async function `' || f.function_name || '`' AS title, c.start_line
 FROM ast_functions f JOIN ast_calls c ON c.file_path = f.file_path AND c.pre BETWEEN f.pre AND f.post
 WHERE starts_with(ltrim(left(f.text, 20)), 'async') AND (ends_with(c.callee, 'Sync') OR c.callee = 'sleep')""")
-add("tm16_literal_sizes", lambda spark, sf: trees.literal_sizes(b.page_trees(spark, sf), HTML).select(*FILE, "node_id", "elements"), """
+add("tm16_literal_sizes", lambda spark, sf: trees.literal_sizes(pages(spark, sf), HTML).select(*FILE, "node_id", "elements"), """
 SELECT l.repository_id, l.file_path, l.node_id, CASE WHEN count(c.node_id) FILTER (c.type = 'li') > 0 THEN count(c.node_id) FILTER (c.type = 'li')
        ELSE count(c.node_id) FILTER (c.is_named) END AS elements
 FROM page_trees l LEFT JOIN page_trees c ON c.file_path = l.file_path AND c.parent_id = l.node_id WHERE l.type = 'ul' GROUP BY ALL""")
-add("tm17_large_literals", lambda spark, sf: trees.large_literals(trees.literal_sizes(b.page_trees(spark, sf), HTML), 6).select(
+add("tm17_large_literals", lambda spark, sf: trees.large_literals(trees.literal_sizes(pages(spark, sf), HTML), 6).select(
     "file_path", "title", "evidence"), """
 SELECT l.file_path, 'Large inline literal (' || count(*) || ' elements) in ' || l.file_path AS title, count(*) || ' inline elements' AS evidence
 FROM page_trees l JOIN page_trees c ON c.file_path = l.file_path AND c.parent_id = l.node_id AND c.type = 'li'
@@ -256,7 +264,7 @@ WHERE callee IN ({listed(trees.QUERY_CALLEES)}) AND NOT EXISTS (
 
 def page_tokens(spark, sf):
     """Link texts and bold words play operands, bare leaves operators."""
-    nodes = b.page_trees(spark, sf)
+    nodes = pages(spark, sf)
     kind = F.when(F.col("type").isin("a", "b", "p"), "identifier").otherwise(F.col("type"))
     return nodes.withColumn("type", kind).withColumn("text", F.md5("text"))
 
@@ -294,7 +302,7 @@ WHERE f.function_name IN ('__init__', 'constructor', 'load_all') GROUP BY f.file
 b.CTES["page_arms"] = """
 SELECT f.*, count(*)::INTEGER AS arms FROM pf f JOIN page_trees n ON n.file_path = f.file_path AND n.pre BETWEEN f.pre AND f.post AND n.type = 'li'
 GROUP BY ALL"""
-add("tm25_branch_arms", lambda spark, sf: trees.ocp_candidates(trees.branch_arms(b.page_trees(spark, sf), HTML)).select(
+add("tm25_branch_arms", lambda spark, sf: trees.ocp_candidates(trees.branch_arms(pages(spark, sf), HTML)).select(
     "file_path", "title", "evidence"), """
 SELECT file_path, '`<anonymous>` has a ' || arms || '-way branch that may violate the Open/Closed Principle' AS title,
        arms || ' branch arms in one function' AS evidence FROM page_arms WHERE arms >= 4""")
@@ -450,7 +458,7 @@ SELECT 'r' AS repository_id, greatest(0, least(100, round_even(100 - (SELECT cou
   WHERE p IN (SELECT c_custkey::VARCHAR FROM customer)) / (SELECT count(*) FROM customer) * 4, 0)))::INTEGER AS modularity_score""")
 add("sc5_documentation", lambda spark, sf: scores.documentation(b.class_symbols(spark, sf)), """
 SELECT repository_id, round_even(count(doc_comment) / count(*) * 100, 0)::INTEGER AS documentation_score FROM class_symbols GROUP BY 1""")
-add("sc6_complexity_score", lambda spark, sf: scores.complexity_score(trees.complexity(b.page_trees(spark, sf), HTML)), """
+add("sc6_complexity_score", lambda spark, sf: scores.complexity_score(trees.complexity(pages(spark, sf), HTML)), """
 SELECT repository_id, greatest(0, least(100, round_even(100 - avg(complexity) * 5, 0)))::INTEGER AS complexity_score FROM page_cx GROUP BY 1""")
 
 
