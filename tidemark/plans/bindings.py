@@ -347,19 +347,24 @@ FROM page_spans s"""
 
 # --- graphs ------------------------------------------------------------------------
 
+def repository_of(customer: str) -> str:
+    """The repository a customer's file lies in; both ends of an edge share it."""
+    return f"concat('r', CAST(floor({customer} / 10) AS bigint) % 7)"
+
+
 def graph_edges(spark, sf) -> DataFrame:
-    """Urgent finished orders as edges; customers are files, all in one repository."""
+    """Urgent finished orders as edges; customers are files, every ten of them in one of seven repositories."""
     return (
         table(spark, sf, "orders")
         .filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
-        .selectExpr("'r' AS repository_id", "CAST(o_custkey AS string) AS src",
+        .selectExpr(f"{repository_of('o_custkey')} AS repository_id", "CAST(o_custkey AS string) AS src",
                     "CAST(CAST(floor(o_custkey / 10) AS bigint) * 10 + o_orderkey % 10 AS string) AS dst")
         .filter("src <> dst").distinct()
     )
 
 
 CTES["graph"] = """
-SELECT DISTINCT 'r' AS repository_id, o_custkey::VARCHAR AS src,
+SELECT DISTINCT 'r' || (o_custkey // 10 % 7) AS repository_id, o_custkey::VARCHAR AS src,
        ((o_custkey // 10) * 10 + o_orderkey % 10)::VARCHAR AS dst
 FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'
   AND o_custkey <> (o_custkey // 10) * 10 + o_orderkey % 10"""
@@ -369,7 +374,7 @@ def dag_edges(spark, sf) -> DataFrame:
     orders = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
     customers = table(spark, sf, "customer").agg(F.count("*").alias("n")).scalar()
     return (
-        orders.select(F.lit("r").alias("repository_id"), F.col("o_custkey").alias("src"),
+        orders.select(F.concat(F.lit("r"), F.col("o_custkey") % 1).alias("repository_id"), F.col("o_custkey").alias("src"),
                       (F.col("o_orderkey") % customers).alias("dst"))
         .filter("src < dst").distinct()
         .select("repository_id", F.col("src").cast("string"), F.col("dst").cast("string"))
@@ -377,7 +382,7 @@ def dag_edges(spark, sf) -> DataFrame:
 
 
 CTES["dag"] = """
-SELECT DISTINCT 'r' AS repository_id, o_custkey::VARCHAR AS src,
+SELECT DISTINCT 'r0' AS repository_id, o_custkey::VARCHAR AS src,
        (o_orderkey % (SELECT count(*) FROM customer))::VARCHAR AS dst
 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey < o_orderkey % (SELECT count(*) FROM customer)"""
 

@@ -92,7 +92,8 @@ SELECT grp, (i - 1)::INTEGER AS position, chain[i] AS src, chain[i + 1] AS dst F
 
 
 def customer_files(spark, sf):
-    return b.table(spark, sf, "customer").select(F.lit("r").alias("repository_id"), F.col("c_custkey").cast("string").alias("path"))
+    return b.table(spark, sf, "customer").select(
+        F.expr(b.repository_of("c_custkey")).alias("repository_id"), F.col("c_custkey").cast("string").alias("path"))
 
 
 b.CTES["degrees"] = """
@@ -120,7 +121,8 @@ sizes AS (SELECT grp, count(*) AS size FROM comp GROUP BY 1),
 e AS (SELECT DISTINCT a.grp AS src, z.grp AS dst FROM graph g JOIN comp a ON a.node = g.src JOIN comp z ON z.node = g.dst WHERE a.grp <> z.grp),
 d AS (SELECT grp, size AS depth FROM sizes UNION SELECT e.src, d.depth + s.size FROM d JOIN e ON e.dst = d.grp JOIN sizes s ON s.grp = e.src)
 SELECT c.node AS file_path, 'Deep dependency chain starting at ' || c.node || ' (' || max(d.depth) || ' levels)' AS title
-FROM comp c JOIN d ON d.grp = c.grp GROUP BY c.node ORDER BY max(d.depth) DESC, c.node LIMIT 1""")
+FROM comp c JOIN d ON d.grp = c.grp GROUP BY c.node HAVING max(d.depth) > 1
+QUALIFY row_number() OVER (PARTITION BY c.node::BIGINT // 10 % 7 ORDER BY max(d.depth) DESC, c.node) = 1""")
 
 # --- layers -----------------------------------------------------------------------------------
 
@@ -250,7 +252,7 @@ FROM head h WHERE h.version IS DISTINCT FROM previous_version""")
 def graph_symbols(spark, sf):
     """One symbol per customer, in a file of ten customers."""
     return b.table(spark, sf, "customer").select(
-        F.lit("r").alias("repository_id"), F.concat(F.lit("s"), "c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.expr(b.repository_of("c_custkey")).alias("repository_id"), F.concat(F.lit("s"), "c_custkey").alias("id"), F.col("c_name").alias("name"),
         F.concat(F.lit("f"), F.floor(F.col("c_custkey") / 10).cast("string")).alias("file_path"), F.col("c_mktsegment").alias("kind"))
 
 
@@ -266,7 +268,7 @@ def typed_edges(spark, sf):
 
 
 b.CTES["typed"] = """
-SELECT 's' || src AS source_symbol_id, CASE WHEN dst::BIGINT % 3 = 1 THEN 's' || dst END AS target_symbol_id,
+SELECT repository_id, 's' || src AS source_symbol_id, CASE WHEN dst::BIGINT % 3 = 1 THEN 's' || dst END AS target_symbol_id,
        CASE WHEN dst::BIGINT % 3 = 2 THEN 'pkg' || dst END AS target_package_name,
        CASE WHEN dst::BIGINT % 2 = 0 THEN 'IMPORTS' ELSE 'EXTENDS' END AS edge_type,
        CASE WHEN dst::BIGINT % 3 < 2 THEN 'f' || (dst::BIGINT // 10) END AS changed_file_path, c.c_name AS dependent_symbol_name,
@@ -287,24 +289,25 @@ WHERE changed_file_path IS NOT NULL AND substr(changed_file_path, 2)::BIGINT % 4
 def pr_files(spark, sf):
     """Customers' files as changed by one pull request per nation."""
     return b.table(spark, sf, "customer").select(
-        F.lit("r").alias("repository_id"), F.col("c_nationkey").alias("number"),
+        F.expr(b.repository_of("c_custkey")).alias("repository_id"), F.col("c_nationkey").alias("number"),
         F.concat(F.lit("f"), F.floor(F.col("c_custkey") / 10).cast("string")).alias("filename"),
         F.when(F.col("c_custkey") % 5 == 0, "removed").otherwise("modified").alias("status"))
 
 
-b.CTES["touched"] = "SELECT DISTINCT c_nationkey AS number, 'f' || (c_custkey // 10) AS changed_file_path FROM customer WHERE c_custkey % 5 <> 0"
-add("gr13_pr_impact_totals", lambda spark, sf: graphs.pr_impact(pr_files(spark, sf), typed_edges(spark, sf), graph_symbols(spark, sf))[0].drop("repository_id"), """
-SELECT number, count(t.edge_type) AS total_dependents, count(t.edge_type) > 50 AS truncated FROM touched LEFT JOIN typed t USING (changed_file_path) GROUP BY 1""")
+b.CTES["touched"] = "SELECT DISTINCT 'r' || (c_custkey // 10 % 7) AS repository_id, c_nationkey AS number, 'f' || (c_custkey // 10) AS changed_file_path FROM customer WHERE c_custkey % 5 <> 0"
+add("gr13_pr_impact_totals", lambda spark, sf: graphs.pr_impact(pr_files(spark, sf), typed_edges(spark, sf), graph_symbols(spark, sf))[0], """
+SELECT repository_id, number, count(t.edge_type) AS total_dependents, count(t.edge_type) > 50 AS truncated
+FROM touched LEFT JOIN typed t USING (repository_id, changed_file_path) GROUP BY 1, 2""")
 add("gr13_pr_impact_list", lambda spark, sf: graphs.pr_impact(pr_files(spark, sf), typed_edges(spark, sf), graph_symbols(spark, sf), 10)[1].select(
-    "number", "changed_file_path", "dependent_symbol_name", "edge_type", "position"), """
-SELECT number, changed_file_path, dependent_symbol_name, edge_type, row_number() OVER (PARTITION BY number ORDER BY changed_file_path,
+    "repository_id", "number", "changed_file_path", "dependent_symbol_name", "edge_type", "position"), """
+SELECT repository_id, number, changed_file_path, dependent_symbol_name, edge_type, row_number() OVER (PARTITION BY repository_id, number ORDER BY changed_file_path,
   dependent_file_path, dependent_symbol_name, edge_type, source_symbol_id)::INTEGER AS position
-FROM touched JOIN typed USING (changed_file_path) QUALIFY position <= 10""")
-add("gr14_named_edges", lambda spark, sf: graphs.named_edges(typed_edges(spark, sf), graph_symbols(spark, sf)).drop("repository_id"), """
-SELECT row_number() OVER (ORDER BY source_symbol_id, edge_type, target_symbol_id NULLS FIRST, target_package_name NULLS FIRST)::INTEGER AS position,
+FROM touched JOIN typed USING (repository_id, changed_file_path) QUALIFY position <= 10""")
+add("gr14_named_edges", lambda spark, sf: graphs.named_edges(typed_edges(spark, sf), graph_symbols(spark, sf), 40), """
+SELECT repository_id, row_number() OVER (PARTITION BY repository_id ORDER BY source_symbol_id, edge_type, target_symbol_id NULLS FIRST, target_package_name NULLS FIRST)::INTEGER AS position,
        dependent_symbol_name AS source, source_kind, coalesce(target_name, target_package_name) AS target, edge_type,
-       count(*) OVER () AS total_edges, count(*) OVER () > 200 AS truncated
-FROM typed QUALIFY position <= 200""")
+       count(*) OVER (PARTITION BY repository_id) AS total_edges, count(*) OVER (PARTITION BY repository_id) > 40 AS truncated
+FROM typed QUALIFY position <= 40""")
 
 
 def plans(spark, sf):

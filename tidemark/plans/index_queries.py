@@ -83,7 +83,7 @@ WHERE trim(n, ' ') <> ''""")
 
 def _target_ids(spark, sf):
     customers = b.table(spark, sf, "customer").select(
-        F.lit("r").alias("repository_id"), F.col("c_custkey").cast("string").alias("path"), F.col("c_custkey"))
+        F.expr(b.repository_of("c_custkey")).alias("repository_id"), F.col("c_custkey").cast("string").alias("path"), F.col("c_custkey"))
     stored = customers.filter("c_custkey % 3 <> 0").withColumn("id", F.concat(F.lit("stored"), "path"))
     new = customers.filter("c_custkey % 4 = 0").withColumn("id", F.concat(F.lit("new"), "path"))
     edges = b.graph_edges(spark, sf).select("repository_id", F.col("src").alias("source_symbol_id"), F.col("dst").alias("target_file_path"))

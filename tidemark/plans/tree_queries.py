@@ -450,12 +450,14 @@ SELECT repository_id, round_even(avg(maintainability), 0)::INTEGER AS maintainab
 
 
 def customer_files(spark, sf):
-    return b.table(spark, sf, "customer").select(F.lit("r").alias("repository_id"), F.col("c_custkey").cast("string").alias("path"))
+    return b.table(spark, sf, "customer").select(
+        F.expr(b.repository_of("c_custkey")).alias("repository_id"), F.col("c_custkey").cast("string").alias("path"))
 
 
 add("sc4_modularity", lambda spark, sf: scores.modularity(b.graph_edges(spark, sf), customer_files(spark, sf)), """
-SELECT 'r' AS repository_id, greatest(0, least(100, round_even(100 - (SELECT count(*) FROM (SELECT unnest([src, dst]) AS p FROM graph)
-  WHERE p IN (SELECT c_custkey::VARCHAR FROM customer)) / (SELECT count(*) FROM customer) * 4, 0)))::INTEGER AS modularity_score""")
+SELECT repository_id, greatest(0, least(100, round_even(100 - (SELECT count(*) FROM (SELECT repository_id AS r, unnest([src, dst]) AS p FROM graph)
+  WHERE r = f.repository_id AND p IN (SELECT c_custkey::VARCHAR FROM customer)) / f.n * 4, 0)))::INTEGER AS modularity_score
+FROM (SELECT 'r' || (c_custkey // 10 % 7) AS repository_id, count(*) AS n FROM customer GROUP BY 1) f""")
 add("sc5_documentation", lambda spark, sf: scores.documentation(b.class_symbols(spark, sf)), """
 SELECT repository_id, round_even(count(doc_comment) / count(*) * 100, 0)::INTEGER AS documentation_score FROM class_symbols GROUP BY 1""")
 add("sc6_complexity_score", lambda spark, sf: scores.complexity_score(trees.complexity(pages(spark, sf), HTML)), """
@@ -468,7 +470,7 @@ def health(spark, sf):
     found = b.findings(spark, sf).withColumn("repository_id", brand)
     files = sample_files(spark, sf)
     measured = trees.complexity(b.ast_nodes(spark, sf))
-    empty = b.graph_edges(spark, sf).withColumn("repository_id", F.lit("Brand#1"))
+    empty = b.graph_edges(spark, sf)
     return scores.health_scores(
         found, files, scores.maintainability(trees.halstead(b.ast_nodes(spark, sf)), measured, files),
         scores.modularity(empty, files), scores.documentation(b.class_symbols(spark, sf)), scores.complexity_score(measured))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import tarfile
 from collections.abc import Iterator, Sequence
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import paths, text as tx
 
-ARCHIVE_DDL = "repository_id string, path string, size_bytes bigint, content binary"
+ARCHIVE_DDL = (
+    "repository_id string, path string, size_bytes bigint, content string, content_hash string, lines_of_code int")
 BATCH_BYTES = 32_000_000
 
 
@@ -25,7 +27,8 @@ def read_archives(spark: SparkSession, archive_glob: str, suffixes: Sequence[str
     name starts with `_` or `.`, which Spark's file sources skip.) An archive
     over the 2 GB row limit must arrive as a landed table instead.
     """
-    wanted, limit = tuple(suffixes), max_bytes
+    wanted, limit, batch_bytes = tuple(suffixes), max_bytes, BATCH_BYTES
+    columns = ["repository_id", "path", "size_bytes", "content", "content_hash", "lines_of_code"]
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -39,13 +42,15 @@ def read_archives(spark: SparkSession, archive_glob: str, suffixes: Sequence[str
                         if not member.isfile() or member.size > limit or not inside.lower().endswith(wanted):
                             continue
                         data = archive.extractfile(member).read()
-                        held.append((repository, inside, member.size, data))
+                        # Bytes that are not UTF-8 become replacement marks; hash and lines are those of the bytes.
+                        held.append((repository, inside, member.size, data.decode("utf-8", "replace"),
+                                     hashlib.sha256(data).hexdigest(), len(data.splitlines())))
                         size += len(data)
-                        if size > BATCH_BYTES:
-                            yield pd.DataFrame(held, columns=["repository_id", "path", "size_bytes", "content"])
+                        if size > batch_bytes:
+                            yield pd.DataFrame(held, columns=columns)
                             held, size = [], 0
                 if held:
-                    yield pd.DataFrame(held, columns=["repository_id", "path", "size_bytes", "content"])
+                    yield pd.DataFrame(held, columns=columns)
 
     archives = spark.read.format("binaryFile").load(archive_glob).select("path", "content")
     return archives.mapInPandas(unpack, ARCHIVE_DDL)
@@ -75,19 +80,12 @@ def with_file_stats(files: DataFrame) -> DataFrame:
         .withColumn("lines_of_code", tx.count_lines(content)))
 
 
-def _decoded(files: DataFrame) -> DataFrame:
-    """Bytes as text, with replacement marks for what is not UTF-8."""
-    stats = files.withColumn("content_hash", F.sha2("content", 256))
-    return stats.withColumn("content", F.decode("content", "UTF-8"))
-
-
 def scan_sources(spark: SparkSession, archive_glob: str) -> DataFrame:
     suffixes = [e for exts in paths.LANGUAGE_EXTENSIONS.values() for e in exts]
-    files = _decoded(keep_sources(read_archives(spark, archive_glob, suffixes)))
-    return files.withColumn("lines_of_code", tx.count_lines(F.col("content"))).select(
+    return keep_sources(read_archives(spark, archive_glob, suffixes)).select(
         "repository_id", "path", "language", "content", "content_hash", F.col("size_bytes").cast("int"), "lines_of_code")
 
 
 def scan_docs(spark: SparkSession, archive_glob: str) -> DataFrame:
-    files = _decoded(keep_docs(read_archives(spark, archive_glob, paths.DOC_EXTENSIONS)))
-    return files.select("repository_id", "path", "content", "content_hash", F.col("size_bytes").cast("int"))
+    return keep_docs(read_archives(spark, archive_glob, paths.DOC_EXTENSIONS)).select(
+        "repository_id", "path", "content", "content_hash", F.col("size_bytes").cast("int"))
