@@ -240,9 +240,8 @@ def _targets(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     sources = symbols.select(
         "repository_id", F.col("id").alias("source_symbol_id"), F.col("file_path").alias("dependent_file_path"),
         F.col("name").alias("dependent_symbol_name"))
-    spread = ["source_symbol_id", "target_file_path"]
-    placed = salted_join(edges, places, ["repository_id", "target_symbol_id"], spread, "left")
-    return salted_join(placed, sources, ["repository_id", "source_symbol_id"], ["target_file_path", "target_symbol_id"])
+    # Symbols outnumber edges: they are not repeated per salt, adaptive execution splits a hot target instead.
+    return edges.join(places, ["repository_id", "target_symbol_id"], "left").join(sources, ["repository_id", "source_symbol_id"])
 
 
 def dependents(edges: DataFrame, symbols: DataFrame, changed: DataFrame) -> DataFrame:
@@ -273,9 +272,9 @@ def pr_impact(pr_files: DataFrame, edges: DataFrame, symbols: DataFrame, k: int
     heads = top_per_key(hits, key, order, k)
     touched = pr_files.filter("status <> 'removed'").select(
         "repository_id", "number", F.col("filename").alias("changed_file_path")).distinct()
-    totals = salted_join(touched, counts, key, ["number"], "left").groupBy("repository_id", "number").agg(
+    totals = touched.join(counts, key, "left").groupBy("repository_id", "number").agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("total_dependents")).withColumn("truncated", F.col("total_dependents") > k)
-    candidates = salted_join(touched, heads, key, ["number"])
+    candidates = touched.join(heads, key)
     listed = top_per_key(candidates, ["repository_id", "number"], [F.col("changed_file_path").asc(), *order], k, rank="position")
     return totals, listed
 

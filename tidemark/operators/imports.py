@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths
-from tidemark.operators.keyed import salted_join
 from tidemark.schemas import require_columns
 
 # What is tried after a relative script import, in order.
@@ -14,57 +13,71 @@ SCRIPT_ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
 SCRIPT_INDEXES = ["index.ts", "index.tsx", "index.js", "index.jsx"]
 
 
-def _under(folder: Column, name: str) -> Column:
-    return F.when(folder == "", F.lit(name)).otherwise(F.concat(folder, F.lit("/" + name)))
-
-
-def _script_probes(source: Column, module: Column) -> Column:
+def _script_stem(source: Column, module: Column) -> Column:
     joined = paths.normalise(F.concat(paths.folder_of(source), F.lit("/"), module))
-    target = F.when(joined == "", F.lit(".")).otherwise(joined)
-    probes = [F.concat(target, F.lit(ending)) for ending in SCRIPT_ENDINGS]
-    probes += [F.concat(target, F.lit("/" + name)) for name in SCRIPT_INDEXES]
-    return F.when(module.startswith("."), F.array(*probes))
+    return F.when(module.startswith("."), F.when(joined == "", F.lit(".")).otherwise(joined))
 
 
-def _python_probes(source: Column, module: Column) -> Column:
+def _python_stem(source: Column, module: Column) -> Column:
     dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
     rest = F.replace(F.regexp_replace(module, r"^\.+", ""), F.lit("."), F.lit("/"))
     folder = paths.folder_of(source)
     parts = F.when(folder == "", F.array().cast("array<string>")).otherwise(F.split(folder, "/"))
     base = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - (F.greatest(dots, F.lit(1)) - 1), F.lit(0))), "/")
     relative = F.when(rest == "", base).otherwise(paths.normalise(F.concat(base, F.lit("/"), rest)))
-    target = F.when(dots > 0, relative).otherwise(rest)
-    return F.array(F.concat(target, F.lit(".py")), _under(target, "__init__.py"))
+    return F.when(dots > 0, relative).otherwise(rest)
+
+
+def _stem(family: str, order: int, stem: Column, fits: Column) -> Column:
+    return F.when(fits, F.struct(F.lit(family).alias("_family"), stem.alias("_stem"), F.lit(order).alias("_order")))
+
+
+def file_stems(files: DataFrame) -> DataFrame:
+    """What a module may be called, per language family, and the file it then means.
+
+    A file answers to its own path, to its path without ending, and as an index
+    or package file to its folder; a Java file to each trailing part of its
+    path. Where several files share a name the first in probing order wins,
+    and among Java files the smallest path.
+    """
+    path, name, folder = F.col("path"), F.element_at(F.split("path", "/"), -1), paths.folder_of(F.col("path"))
+    options = [_stem("script", 0, path, F.lit(True))]
+    for order, ending in enumerate(SCRIPT_ENDINGS):
+        if ending:
+            options.append(_stem("script", order, F.regexp_replace(path, f"\\{ending}$", ""), path.endswith(ending)))
+    for order, index in enumerate(SCRIPT_INDEXES, start=len(SCRIPT_ENDINGS)):
+        options.append(_stem("script", order, folder, (name == index) & (folder != "")))
+    options.append(_stem("python", 0, F.regexp_replace(path, r"\.py$", ""), path.endswith(".py")))
+    options.append(_stem("python", 1, folder, name == "__init__.py"))
+    parts = F.split(F.regexp_replace(path, r"\.java$", ""), "/")
+    trailing = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(
+        F.lit("java").alias("_family"), F.array_join(F.slice(parts, -n, n), "/").alias("_stem"), F.lit(0).alias("_order")))
+    named = F.concat(F.array_compact(F.array(*options)), F.when(path.endswith(".java"), trailing).otherwise(F.array().cast(
+        "array<struct<_family:string,_stem:string,_order:int>>")))
+    exploded = files.select("repository_id", "path", F.inline(named))
+    best = F.min(F.struct("_order", "path"))
+    return exploded.groupBy("repository_id", "_family", "_stem").agg(best.alias("_best")).select(
+        "repository_id", "_family", "_stem", F.col("_best.path").alias("target_path"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Imports with `target_path`, null where no file of the repository fits.
 
-    Each import becomes its few candidate paths, which join the file table by
-    equality; the first candidate in order that exists wins. Java names match
-    whole trailing path segments, smallest path first. A file that everything
-    imports is one row of the file side and its imports spread over salts.
+    Each import becomes the one name it looks for, and joins the table of names
+    files answer to by equality. Nothing is multiplied on the import side; a
+    file that everything imports is a hot key of the left side, which adaptive
+    execution splits.
     """
     require_columns(imports, "repository_id", "file_path", "language", "module")
-    keyed = imports.withColumn("_row", F.struct(*imports.columns))
     module, source = F.col("module"), F.col("file_path")
-    probes = (
-        F.when(F.col("language").isin("javascript", "typescript"), _script_probes(source, module))
-        .when(F.col("language") == "python", _python_probes(source, module))
-        .when(F.col("language") == "java", F.array(F.concat(F.replace(module, F.lit("."), F.lit("/")), F.lit(".java")))))
-    wanted = keyed.select(
-        "repository_id", "file_path", "_row", F.posexplode(probes).alias("_order", "_probe"),
-        (F.col("language") == "java").alias("_java"))
-    exact = files.select("repository_id", F.col("path").alias("_probe"), F.col("path").alias("_target"), F.lit(False).alias("_java"))
-    parts = F.split("path", "/")
-    endings = files.filter(F.col("path").endswith(".java")).select(
-        "repository_id", "path", F.explode(F.transform(
-            F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "/"))).alias("_probe"))
-    by_ending = endings.groupBy("repository_id", "_probe").agg(F.min("path").alias("_target")).withColumn("_java", F.lit(True))
-    hits = salted_join(wanted, exact.unionByName(by_ending), ["repository_id", "_probe", "_java"], ["file_path"])
-    best = hits.groupBy("repository_id", "_row").agg(F.min_by("_target", "_order").alias("target_path"))
-    distinct_rows = keyed.select("repository_id", "_row")
-    return distinct_rows.join(best, ["repository_id", "_row"], "left").select("_row.*", "target_path")
+    family = F.when(F.col("language").isin("javascript", "typescript"), "script").when(
+        F.col("language").isin("python", "java"), F.col("language"))
+    stem = (
+        F.when(family == "script", _script_stem(source, module)).when(family == "python", _python_stem(source, module))
+        .when(family == "java", F.replace(module, F.lit("."), F.lit("/"))))
+    key = ["repository_id", "_family", "_stem"]
+    wanted = imports.withColumn("_family", family).withColumn("_stem", stem)
+    return wanted.join(file_stems(files), key, "left").select(*imports.columns, "target_path")
 
 
 def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:

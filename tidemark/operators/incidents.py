@@ -126,8 +126,9 @@ def with_commit(matched: DataFrame, commits: DataFrame) -> DataFrame:
     known = commits.select(
         "repository_id", F.col("sha").alias("_sha"),
         F.struct("sha", "message", "author_name", "author_email", "author_login").alias("commit"))
+    # Commits are a large table: repeating them per salt would cost more than a hot key, which adaptive execution splits.
     keyed = matched.withColumn("_sha", F.col("deployment.commit_sha"))
-    return salted_join(keyed, known, ["repository_id", "_sha"], ["id"], "left").drop("_sha")
+    return keyed.join(known, ["repository_id", "_sha"], "left").drop("_sha")
 
 
 def commit_signals(with_commits: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators.containment import FILE, field_text
-from tidemark.operators.keyed import salted_join, top_per_key
+from tidemark.operators.keyed import top_per_key
 from tidemark.schemas import require_columns
 
 # Chunk limits, listing limits.
@@ -122,8 +122,7 @@ def attach_target_ids(edges: DataFrame, new_files: DataFrame, stored_files: Data
         return files.select("repository_id", F.col("path").alias("target_file_path"), F.col("id").alias(name))
 
     key = ["repository_id", "target_file_path"]
-    joined = salted_join(edges, ids(new_files, "_new"), key, ["source_symbol_id"], "left")
-    joined = salted_join(joined, ids(stored_files, "_stored"), key, ["source_symbol_id"], "left")
+    joined = edges.join(ids(new_files, "_new"), key, "left").join(ids(stored_files, "_stored"), key, "left")
     return joined.withColumn("target_file_id", F.coalesce("_new", "_stored")).drop("_new", "_stored")
 
 

@@ -34,7 +34,11 @@ def salted_join(
     large: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
     how: str = "inner", salts: int = 16,
 ) -> DataFrame:
-    """Equi-join where `small` has few rows per key and `large` may have very many.
+    """Equi-join where `small` is a small table and `large` may have very many rows per key.
+
+    For lookups in dimension tables. Two large tables are joined plainly:
+    repeating one per salt would cost more than the hot key, and adaptive
+    execution splits the partition a hot key fills.
 
     `large` spreads each key over `salts` partitions by a hash of `spread_by`;
     `small` is repeated once per salt. The result is that of the plain join.

@@ -19,8 +19,8 @@ HISTORY_MESSAGES = 15
 CHAT_EVIDENCE_CHARS, TASK_EVIDENCE_CHARS = 1000, 1500
 DOC_KIND = "DOCUMENTATION"
 
-# How many query numbers may be held by each task at once (400 MB of doubles).
-QUERY_NUMBERS = 50_000_000
+# How many query numbers may be held by each task at once (40 MB of doubles).
+QUERY_NUMBERS = 5_000_000
 
 
 # --- search ---------------------------------------------------------------------------
