@@ -46,56 +46,63 @@ INCIDENT_SCHEMA = StructType([
 ])
 
 
-class IncidentOpener(StatefulProcessor):
-    """Per service: whether an incident is open, fed in event-time order.
-
-    Rows wait in a map keyed by their millisecond until the watermark passes
-    it, so late-ordered files do not change the result and a timer reads only
-    its own millisecond.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState(
-            "waiting", StructType([StructField("ms", LongType())]), StructType([StructField("rows", StringType())]))
-        self.open = handle.getValueState("open", StructType([StructField("open", BooleanType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived: dict[int, list] = {}
-        for batch in rows:
-            for row in batch.itertuples(index=False):
-                us = int(row.at_us)
-                kind = 0 if row.closes else 1
-                text = [None if pd.isna(v) else v for v in (row.fingerprint, row.title, row.severity)]
-                arrived.setdefault(us // 1000, []).append([us, kind, *text])
-        for ms, held in arrived.items():
-            if self.waiting.containsKey((ms,)):
-                held = json.loads(self.waiting.getValue((ms,))[0]) + held
-            self.waiting.updateValue((ms,), (json.dumps(held),))
-            self.handle.registerTimer(ms)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.waiting.containsKey((ms,)):
-            return
-        held = json.loads(self.waiting.getValue((ms,))[0])
-        self.waiting.removeKey((ms,))
-        is_open = bool(self.open.get()[0]) if self.open.exists() else False
-        opened = []
-        # Closes come first among equal times, then alerts by fingerprint.
-        for us, kind, fingerprint, title, severity in sorted(held, key=lambda r: (r[0], r[1], r[2] or "")):
-            if kind == 0:
-                is_open = False
-            elif not is_open:
-                is_open = True
-                opened.append((*key, fingerprint, us, title, severity))
-        self.open.update((is_open,))
-        if opened:
-            yield pd.DataFrame(opened, columns=INCIDENT_SCHEMA.fieldNames())
-
-    def close(self) -> None:
-        pass
+def incident_opener() -> StatefulProcessor:
+    """The per-service state machine. Defined here so that it travels to the
+    executors by value and they need no copy of this package."""
+    fields = INCIDENT_SCHEMA.fieldNames()
+
+    class IncidentOpener(StatefulProcessor):
+        """Per service: whether an incident is open, fed in event-time order.
+
+        Rows wait in a map keyed by their millisecond until the watermark passes
+        it, so late-ordered files do not change the result and a timer reads only
+        its own millisecond.
+        """
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getMapState(
+                "waiting", StructType([StructField("ms", LongType())]), StructType([StructField("rows", StringType())]))
+            self.open = handle.getValueState("open", StructType([StructField("open", BooleanType())]))
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            arrived: dict[int, list] = {}
+            for batch in rows:
+                for row in batch.itertuples(index=False):
+                    us = int(row.at_us)
+                    kind = 0 if row.closes else 1
+                    text = [None if pd.isna(v) else v for v in (row.fingerprint, row.title, row.severity)]
+                    arrived.setdefault(us // 1000, []).append([us, kind, *text])
+            for ms, held in arrived.items():
+                if self.waiting.containsKey((ms,)):
+                    held = json.loads(self.waiting.getValue((ms,))[0]) + held
+                self.waiting.updateValue((ms,), (json.dumps(held),))
+                self.handle.registerTimer(ms)
+            yield from ()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            ms = expiredTimerInfo.getExpiryTimeInMs()
+            if not self.waiting.containsKey((ms,)):
+                return
+            held = json.loads(self.waiting.getValue((ms,))[0])
+            self.waiting.removeKey((ms,))
+            is_open = bool(self.open.get()[0]) if self.open.exists() else False
+            opened = []
+            # Closes come first among equal times, then alerts by fingerprint.
+            for us, kind, fingerprint, title, severity in sorted(held, key=lambda r: (r[0], r[1], r[2] or "")):
+                if kind == 0:
+                    is_open = False
+                elif not is_open:
+                    is_open = True
+                    opened.append((*key, fingerprint, us, title, severity))
+            self.open.update((is_open,))
+            if opened:
+                yield pd.DataFrame(opened, columns=fields)
+
+        def close(self) -> None:
+            pass
+
+    return IncidentOpener()
 
 
 def detect_incidents_stream(alerts: DataFrame, closes: DataFrame, services: DataFrame, delay: str) -> DataFrame:
@@ -117,7 +124,7 @@ def detect_incidents_stream(alerts: DataFrame, closes: DataFrame, services: Data
         none.alias("title"), none.alias("severity"))
     events = matched.unionByName(closing).withColumn("at_us", F.unix_micros("at")).withWatermark("at", delay)
     opened = events.groupBy("organization_id", "service_id").transformWithStateInPandas(
-        statefulProcessor=IncidentOpener(), outputStructType=INCIDENT_SCHEMA, outputMode="Append", timeMode="EventTime")
+        statefulProcessor=incident_opener(), outputStructType=INCIDENT_SCHEMA, outputMode="Append", timeMode="EventTime")
     return opened.withColumn("detected_at", F.timestamp_micros("detected_us")).drop("detected_us")
 
 
