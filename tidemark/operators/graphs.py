@@ -64,10 +64,10 @@ def _relax(values: DataFrame, edges: DataFrame, message: Column, better: str, ma
 
     Only nodes that improved in the last round send again. `better` is min or
     max; `message` is built from the sender's `value` and the edge's columns.
+    `values` should be cheap to read twice; every later round is materialised.
     """
     combine = F.min if better == "min" else F.max
-    known = cut_lineage(values)
-    senders = known
+    known = senders = values
     for _ in range(max_rounds):
         sent = (
             senders.withColumnRenamed("node", "src").join(edges, ["repository_id", "src"])
