@@ -158,13 +158,13 @@ WHERE conv_id % 3 = 1 AND conv_id % 2 = 0 GROUP BY 1""")
 
 
 def _unindexed(spark, sf):
-    questions = b.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("r"), F.col("doc_id") % 9).alias("repository_id"))
+    questions = b.table(spark, sf, "documents").select((F.col("doc_id") * 5).alias("query_id"), F.concat(F.lit("r"), F.col("doc_id") % 9).alias("repository_id"))
     hits = rt.search(chunks(spark, sf), queries(spark, sf), 3)
     return rt.unindexed_questions(questions, hits, chunks(spark, sf).filter("kind <> 'K0'"))
 
 
 add("rt12_unindexed_questions", _unindexed, """
-SELECT doc_id AS query_id, 'r' || (doc_id % 9) AS repository_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)
+SELECT doc_id * 5 AS query_id, 'r' || (doc_id % 9) AS repository_id FROM documents WHERE doc_id * 5 NOT IN (SELECT vec_id FROM embeddings)
   AND doc_id % 9 NOT IN (SELECT vec_id % 5 FROM embeddings WHERE label <> 0)""")
 
 # --- model answers ----------------------------------------------------------------------------------
