@@ -9,10 +9,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.plans import catalog
 from tests.oracle import compare, connect
 
 SF = os.environ.get("TIDEMARK_SF", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 # Without rows on the smallest tables.
 EMPTY_WHEN_SMALL = {"se1_hardcoded_secret", "in13_affected_services"}
