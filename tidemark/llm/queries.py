@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, mixing, packing, sharding
+from tidemark.llm import digests, language, mixing, neighbours, packing, sharding
 from tidemark.llm.common import crc_of_id, table
 from tidemark.session import ensure
 
 
+def op3_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_water_fill_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
@@ -32,6 +36,11 @@ def op7_min_cost_flow_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests.compare_with_next(docs, digests.rarity(docs))
+
+
 def op10_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_of_id("doc_id") % 3 == 1
@@ -50,5 +59,7 @@ def _add(query: Callable[[SparkSession, str], DataFrame], oracle: str | None = N
         ORACLES[query.__name__] = oracle
 
 
-for _query in (op4_water_fill_mix, op6_cost_balanced_packing, op7_min_cost_flow_shards, op10_zstd_language):
+for _query in (
+    op3_multiprobe_neighbours, op4_water_fill_mix, op6_cost_balanced_packing, op7_min_cost_flow_shards, op9_improbable_features, op10_zstd_language,
+):
     _add(_query)

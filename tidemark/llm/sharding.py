@@ -12,6 +12,7 @@ repeated rows are kept; extra columns are not carried.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from dataclasses import dataclass
 
@@ -79,23 +80,28 @@ def choose_blocks(blocks: list[tuple[int, int, int, int]], flow: dict[tuple[int,
     """Blocks that carry the flow: {(shard, block): new shard}.
 
     `blocks` lists (shard, file, block, bytes). Whole files are drained one
-    after the other, so few files are touched; each leg of the flow is met to
-    within half a block, and its error is carried into the shard's next leg.
+    after the other, so few files are touched; what a leg still lacks is
+    filled with the largest blocks that fit, to within the smallest block.
     """
     by_shard: dict[int, list[tuple[int, int, int]]] = {}
     for shard, file, block, size in blocks:
         by_shard.setdefault(shard, []).append((file, block, size))
     out = {}
     for shard, held in by_shard.items():
-        rest = iter(sorted(held))
-        item, carry = next(rest, None), 0
-        for (_, to), wanted in sorted((leg, units) for leg, units in flow.items() if leg[0] == shard and leg[1] != shard):
-            sent = -carry
-            while item and sent + item[2] / 2 <= wanted:
-                out[shard, item[1]] = to
-                sent += item[2]
-                item = next(rest, None)
-            carry = wanted - sent
+        held.sort(reverse=True)
+        for (_, to), lacking in sorted((leg, units) for leg, units in flow.items() if leg[0] == shard and leg[1] != shard):
+            while held and held[-1][2] <= lacking:
+                _, block, size = held.pop()
+                out[shard, block] = to
+                lacking -= size
+            by_size = sorted((size, block, file) for file, block, size in held)
+            taken = set()
+            while (n := bisect.bisect_right(by_size, (lacking, float("inf"))) - 1) >= 0:
+                size, block, _ = by_size.pop(n)
+                out[shard, block] = to
+                taken.add(block)
+                lacking -= size
+            held = [h for h in held if h[1] not in taken]
     return out
 
 
