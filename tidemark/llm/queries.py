@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import digests, language, mixing, neighbours, packing, scoring, sharding
+from tidemark.llm import digests, extraction, language, mixing, neighbours, packing, scoring, sharding
 from tidemark.llm.common import crc_of_id, table
 from tidemark.session import ensure
 
 
+def op1_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages")).drop("slots")
+
+
 def op2_elias_fano_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,6 @@ def _add(query: Callable[[SparkSession, str], DataFrame], oracle: str | None = N
 
 
 for _query in (
-    op2_elias_fano_scores, op3_multiprobe_neighbours, op4_water_fill_mix, op6_cost_balanced_packing, op7_min_cost_flow_shards, op9_improbable_features, op10_zstd_language,
+    op1_template_extraction, op2_elias_fano_scores, op3_multiprobe_neighbours, op4_water_fill_mix, op6_cost_balanced_packing, op7_min_cost_flow_shards, op9_improbable_features, op10_zstd_language,
 ):
     _add(_query)
