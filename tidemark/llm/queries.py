@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import digests, extraction, language, mixing, neighbours, packing, scoring, sharding
+from tidemark.llm import digests, extraction, language, mixing, neardups, neighbours, packing, scoring, sharding
 from tidemark.llm.common import crc_of_id, table
 from tidemark.session import ensure
 
@@ -33,6 +33,10 @@ def op4_water_fill_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"))
 
 
+def op5_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardups.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -68,6 +72,6 @@ def _add(query: Callable[[SparkSession, str], DataFrame], oracle: str | None = N
 
 
 for _query in (
-    op1_template_extraction, op2_elias_fano_scores, op3_multiprobe_neighbours, op4_water_fill_mix, op6_cost_balanced_packing, op7_min_cost_flow_shards, op9_improbable_features, op10_zstd_language,
+    op1_template_extraction, op2_elias_fano_scores, op3_multiprobe_neighbours, op4_water_fill_mix, op5_hamming_near_duplicates, op6_cost_balanced_packing, op7_min_cost_flow_shards, op9_improbable_features, op10_zstd_language,
 ):
     _add(_query)
