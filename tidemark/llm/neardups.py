@@ -324,8 +324,8 @@ def near_duplicates(docs: DataFrame, *, words: int, percent: int = 80) -> DataFr
     # Leaders drawn anew for each bucket: they join what the first leaders missed.
     left = cut_lineage(undecided(members, found))
     if not left.isEmpty():
-        again = starred(left.withColumn("_draw", F.xxhash64("key", "node")).repartition(parts, "key").sortWithinPartitions("key", "_draw"),
-                        alone=False)
+        drawn = left.withColumn("_draw", F.xxhash64("key", "node"))
+        again = starred(drawn.repartition(parts, "key").sortWithinPartitions("key", "_draw"))
         fresh = again.select("node", F.explode("leaders").alias("leader"))
         for name in ("node", "leader"):
             fresh = fresh.join(found.select(F.col("node").alias("_n"), F.col("component").alias(f"_{name}")),
