@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import digests, extraction, language, mixing, neardups, neighbours, packing, scoring, sharding
+from tidemark.llm import digests, extraction, language, mixing, neardups, neighbours, packing, repeats, scoring, sharding
 from tidemark.llm.common import crc_of_id, table
 from tidemark.session import ensure
 
@@ -48,6 +48,12 @@ def op7_min_cost_flow_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", repeats.key_of(F.col("text")).alias("key"))
+    left = repeats.remove_repeats(docs, repeats.repeats(docs), carry=["doc_id"])
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digests.compare_with_next(docs, digests.rarity(docs))
@@ -72,6 +78,7 @@ def _add(query: Callable[[SparkSession, str], DataFrame], oracle: str | None = N
 
 
 for _query in (
-    op1_template_extraction, op2_elias_fano_scores, op3_multiprobe_neighbours, op4_water_fill_mix, op5_hamming_near_duplicates, op6_cost_balanced_packing, op7_min_cost_flow_shards, op9_improbable_features, op10_zstd_language,
+    op1_template_extraction, op2_elias_fano_scores, op3_multiprobe_neighbours, op4_water_fill_mix, op5_hamming_near_duplicates, op6_cost_balanced_packing, op7_min_cost_flow_shards,
+    op8_interval_tree_repeats, op9_improbable_features, op10_zstd_language,
 ):
     _add(_query)
