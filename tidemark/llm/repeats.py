@@ -41,9 +41,10 @@ class Rolling:
     """Hashes of all ANCHOR-grams of an array of bytes, by powers of an odd base modulo 2**64."""
 
     def __init__(self, most: int):
-        self.power = np.cumprod(np.concatenate([[1], np.full(most, BASE, np.uint64)]).astype(np.uint64))
-        inverse = pow(BASE, -1, 1 << 64)
-        self.inverse = np.cumprod(np.concatenate([[1], np.full(most, inverse, np.uint64)]).astype(np.uint64))
+        def powers(base: int) -> np.ndarray:
+            return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(most, base, np.uint64)]), dtype=np.uint64)
+
+        self.power, self.inverse = powers(BASE), powers(pow(BASE, -1, 1 << 64))
 
     def hashes(self, data: np.ndarray) -> np.ndarray:
         total = np.zeros(len(data) + 1, np.uint64)
