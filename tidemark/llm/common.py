@@ -24,16 +24,16 @@ def crc_of_id(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+def text_key(text: Column) -> Column:
+    """64-bit identity of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def pieces(total: int | None, each: int) -> int:
     """How many parts of about `each` hold `total`; 1 at least."""
     return max(1, math.ceil((total or 0) / each))
 
 
-def spread(df: DataFrame, parts: int, *columns) -> DataFrame:
-    """Hash-partitions `df` into `parts`; the exchange is the caller's choice."""
-    return df.repartition(parts, *columns)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the texts of each slice hold about `limit` bytes.
 
@@ -50,3 +50,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8_000_000)
             size += length or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def near(df: DataFrame, size: Column) -> DataFrame:
+    """Marks `df` for broadcast if its measured size is small; else a join moves both sides."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total < BROADCAST_BYTES else df

@@ -27,13 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import near, slices
 from tidemark.llm.markup import Piece, blocks, read
 from tidemark.session import cut_lineage
 
 LABEL = 16  # a text of so many words is read word by word
 PAGE = ""  # the token that counts pages
-BROADCAST_BYTES = 64 << 20
 
 
 def tokens(pieces: list[Piece]) -> list[tuple[str, int]]:
@@ -241,19 +240,16 @@ def extract(pages: DataFrame, *, least: int = 8, support: float = 0.8, smallest:
 
     `support` is the share of a host's pages that a class must be on,
     `smallest` the tokens it must have. Templates go to the pages by
-    broadcast while all of them hold less than BROADCAST_BYTES, else by a join
-    on the host.
+    broadcast while all of them are small, else by a join on the host.
     """
     hosted = with_host(pages)
     found = cut_lineage(classes(hosted, least, support, smallest))
-    size = found.agg(F.sum(F.octet_length("classes") + F.octet_length("host"))).first()[0] or 0
-    near = (lambda df: F.broadcast(df)) if size < BROADCAST_BYTES else (lambda df: df)
 
     def to_pages(df: DataFrame) -> DataFrame:
-        right = near(df.withColumnRenamed("host", "_host"))
+        right = near(df.withColumnRenamed("host", "_host"), sum(F.octet_length(c) for c in df.columns))
         return hosted.join(right, F.col("host") == F.col("_host"), "left").drop("_host")
 
-    made = templates(found, cut_lineage(votes(to_pages(found))))
+    made = cut_lineage(templates(found, cut_lineage(votes(to_pages(found)))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict[str, int]] = {}

@@ -95,3 +95,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, level: int = 6,
     types = dict(zip(docs.columns, (f.dataType.simpleString() for f in docs.schema.fields), strict=True))
     schema = ", ".join([f"`{c}` {types[c]}" for c in carry] + ["lang_pred string", "score double", "rejected boolean"])
     return docs.mapInArrow(work, schema)
+
+
+def in_known_language(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose language is told with a sufficient margin."""
+    dictionaries = learn(docs, F.lit(True))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    told = identify(docs.select("text", row.alias("row")), dictionaries, carry=["text", "row"]).where(~F.col("rejected"))
+    return told.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD
+from tidemark.llm.common import WORD, near
+from tidemark.session import cut_lineage
 
 BUCKETS = 4096  # slices of a source's seeded order; each is summed on its own
 
@@ -108,8 +109,8 @@ def mix(docs: DataFrame, size: Column, key: list[Column], *, weights: tuple[floa
     broadcast.
     """
     rows = docs.withColumns({"_size": size, "_place": F.xxhash64(F.lit(seed), *key)})
-    found = cuts(rows, weights=weights, share=share, max_epochs=max_epochs)
-    joined = rows.join(found, F.col("source").eqNullSafe(F.col("_cut.name")))
+    found = cut_lineage(cuts(rows, weights=weights, share=share, max_epochs=max_epochs))
+    joined = rows.join(near(found, F.coalesce(F.octet_length("_cut.name"), F.lit(0)) + 64), F.col("source").eqNullSafe(F.col("_cut.name")))
     here, cut = F.struct(_slice("_place"), F.col("_place")), F.struct(F.col("_cut._cut_slice"), F.col("_cut._cut_place"))
     partly = F.floor(F.col("_cut._cut_words") * F.col("_size") / F.col("_cut._tied")).cast("long")
     extra = F.when(F.col("_cut._cut_place").isNull(), F.lit(0)).when(here < cut, F.col("_size")).when(

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, slices
+from tidemark.llm.common import near, pieces, slices, text_key
 from tidemark.llm.components import components
 from tidemark.session import cut_lineage
 
@@ -36,7 +36,6 @@ WIDTH = PLACES // CHUNKS
 DISTANCE = 2 * CHUNKS - 1
 LEADERS = 4
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-BROADCAST_ROWS = 4_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,18 +108,18 @@ def keys_of(signature: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node, signature) of every row; node is a hash of the whole set."""
+    """(doc_id, key, n_shingles, node, signature) of every row of (doc_id, text, key); node is a hash of the whole set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4_000_000):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()),
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()),
                  pa.array([r.tobytes() for r in signatures(sets)], pa.binary())],
-                names=["doc_id", "n_shingles", "node", "signature"])
+                names=["doc_id", "key", "n_shingles", "node", "signature"])
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, node long, signature binary")
+    return docs.mapInArrow(work, "doc_id long, key long, n_shingles long, node long, signature binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -197,9 +196,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             columns = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             left, right = (np.frombuffer(b"".join(columns[c].to_pylist()), np.uint16).reshape(-1, PLACES)
                            for c in ("_signature_a", "_signature_b"))
-            near = (left != right).sum(axis=1) <= DISTANCE
+            close = (left != right).sum(axis=1) <= DISTANCE
             kept = []
-            for n in np.flatnonzero(near):
+            for n in np.flatnonzero(close):
                 x, y = (np.frombuffer(columns[c][int(n)].as_py(), np.uint64) for c in ("_set_a", "_set_b"))
                 small, large = sorted((len(x), len(y)))
                 if 100 * small < percent * large:
@@ -259,11 +258,11 @@ def remaining_pairs(members: DataFrame, nodes: DataFrame, parts: int, block: int
         for n in np.flatnonzero(apart):
             # partners at home in this block; among those apart, each pair once
             other = (home == cut) & (component != component[n]) & (~apart | (node > node[n]) | (home[n] != cut))
-            near = np.flatnonzero(other)
-            near = near[(rows[near] != rows[n]).sum(axis=1) <= DISTANCE]
-            if len(near):
-                first = keys[n, (keys[near] == keys[n]).argmax(axis=1)].astype(np.int64)
-                out.extend((int(node[n]), int(m)) for m in node[near[first == held[0][0]]])
+            close = np.flatnonzero(other)
+            close = close[(rows[close] != rows[n]).sum(axis=1) <= DISTANCE]
+            if len(close):
+                first = keys[n, (keys[close] == keys[n]).argmax(axis=1)].astype(np.int64)
+                out.extend((int(node[n]), int(m)) for m in node[close[first == held[0][0]]])
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,22 +285,42 @@ def remaining_pairs(members: DataFrame, nodes: DataFrame, parts: int, block: int
         work, "x long, y long").select(*_pair("x", "y")).distinct()
 
 
+def without_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, all columns, of which one document of each group of near-duplicates stays.
+
+    What goes is listed by id and text and taken out by an anti join; of rows
+    alike in both one stays. Rows without an id stay.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"), row.alias("row"))
+    told = cut_lineage(near_duplicates(docs.select("doc_id", "text"), words=words, percent=percent))
+    gone = told.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key"))
+    left = held.join(near(gone, F.lit(16)), same, "left_anti")
+    twice = told.where(F.col("kept") & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    twice = cut_lineage(twice.drop("_n"))
+    if not twice.isEmpty():
+        once = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "key"])
+        left = left.join(twice, same, "left_anti").unionByName(once)
+    return left.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def near_duplicates(docs: DataFrame, *, words: int, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of `docs` (doc_id, text).
+    """doc_id, key, n_shingles, component_id, kept of every row of `docs` (doc_id, text); key is a hash of the text.
 
     Linked are documents whose sets of `words`-word shingles have at least
     `percent` of their union in common. Only sets of documents that share a
     key with another are moved, once; between rounds everything is
     checkpointed, so a lost executor costs one step.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
     signed = cut_lineage(sign(docs, words))
     nodes = cut_lineage(signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("first"), F.min("signature").alias("signature")))
     parts = pieces(nodes.count() * PLACES, 1_000_000)
     members = cut_lineage(shared_keys(nodes, parts))
     wanted = members.select(F.col("node").alias("_node")).distinct()
-    few = wanted.count() <= BROADCAST_ROWS
     listed = nodes.join(wanted, F.col("node") == F.col("_node")).select("_node", F.col("first").alias("_first"), "signature")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,10 +330,9 @@ def near_duplicates(docs: DataFrame, *, words: int, percent: int = 80) -> DataFr
                 [batch.column(0), pa.array([xxhash.xxh3_64_intdigest(s) >> 1 for s in sets], pa.int64()), pa.array(sets, pa.binary())],
                 names=["doc_id", "node", "set"])
 
-    # Narrow ids go to the texts, 16 bytes each, while they are few; else both sides meet by a join.
-    narrow = listed.select("_node", "_first")
+    narrow = near(listed.select("_node", "_first"), F.lit(16))
     sets = docs.mapInArrow(whole, "doc_id long, node long, set binary").join(
-        F.broadcast(narrow) if few else narrow, (F.col("node") == F.col("_node")) & (F.col("doc_id") == F.col("_first"))).select("node", "set")
+        narrow, (F.col("node") == F.col("_node")) & (F.col("doc_id") == F.col("_first"))).select("node", "set")
     sets = sets.join(listed.select("_node", "signature"), F.col("node") == F.col("_node")).select("node", "signature", "set")
     sets = cut_lineage(sets.dropDuplicates(["node"]))
 
@@ -347,4 +365,4 @@ def near_duplicates(docs: DataFrame, *, words: int, percent: int = 80) -> DataFr
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.col("node") == F.col("_node"))
     own = F.coalesce("component_id", "doc_id")
     return signed.join(answer, linked, "left").select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+        "doc_id", "key", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))

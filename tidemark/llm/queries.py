@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import digests, extraction, language, mixing, neardups, neighbours, packing, repeats, scoring, sharding
-from tidemark.llm.common import crc_of_id, table
+from tidemark.llm.common import crc_of_id, table, text_key
 from tidemark.session import ensure
 
 
@@ -34,7 +34,7 @@ def op4_water_fill_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardups.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+    return neardups.near_duplicates(table(spark, sf_dir, "documents"), words=4).drop("key")
 
 
 def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op7_min_cost_flow_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_interval_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", repeats.key_of(F.col("text")).alias("key"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", text_key(F.col("text")).alias("key"))
     left = repeats.remove_repeats(docs, repeats.repeats(docs), carry=["doc_id"])
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, slices
+from tidemark.llm.common import WORD, near, pieces, slices, text_key
 from tidemark.session import cut_lineage
 
 LENGTH = 200
@@ -34,7 +34,6 @@ LEFT = LENGTH - ANCHOR  # bytes before an anchor that a string can reach
 SEGMENT = 900_000  # bytes looked at in one go, below 2 ** PLACE_BITS
 PLACE_BITS = 20
 BASE = 0x9E3779B97F4A7C15 | 1
-BROADCAST_BYTES = 64 << 20
 
 
 class Rolling:
@@ -101,10 +100,6 @@ def anchors(texts: list[bytes], rolling: Rolling) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate([e, *(o[k] for o in out)]) for k, e in enumerate((empty, empty, empty.astype(np.uint64))))
 
 
-def key_of(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
     """(key, place) of the anchors that occur at more than one place of the distinct texts.
 
@@ -146,12 +141,6 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
     return ordered.mapInArrow(meet, "key long, place long")
 
 
-def near(df: DataFrame, size: Column) -> DataFrame:
-    """Marks `df` for broadcast if its measured size is small; else the join moves both sides."""
-    total = df.agg(F.sum(size)).first()[0] or 0
-    return F.broadcast(df) if total < BROADCAST_BYTES else df
-
-
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(part, key, place, before, context) of the wanted anchors of one document per text."""
 
@@ -303,7 +292,11 @@ def repeats(docs: DataFrame, *, per_part: int = 50_000, most: int = 100_000) ->
 
 
 def remove_repeats(docs: DataFrame, found: DataFrame, *, carry: list[str]) -> DataFrame:
-    """Adds kept (the bytes left), n_bytes, n_removed and n_spans to the columns `carry` of `docs` (text, key among them)."""
+    """Adds kept, kept_text, n_bytes, n_removed and n_spans to the columns `carry` of `docs` (which has text and key).
+
+    `kept` are the bytes left; `kept_text` the same without characters that a
+    removed span cut in two.
+    """
     copies = docs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     spans = found.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     told = cut_lineage(spans.withColumnRenamed("key", "_k").join(copies, F.col("_k") == F.col("key"), "full").select(
@@ -328,10 +321,25 @@ def remove_repeats(docs: DataFrame, found: DataFrame, *, carry: list[str]) -> Da
                 told.append((len(data), len(data) - len(kept[-1]), len(gone)))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(names.index(c)) for c in carry), pa.array(kept, pa.binary()),
+                 pa.array([k.decode(errors="ignore") for k in kept], pa.string()),
                  *(pa.array([t[k] for t in told], pa.int64()) for k in range(3))],
-                names=[*carry, "kept", "n_bytes", "n_removed", "n_spans"])
+                names=[*carry, "kept", "kept_text", "n_bytes", "n_removed", "n_spans"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "kept binary, n_bytes long, n_removed long, n_spans long"])
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "kept binary, kept_text string, n_bytes long, n_removed long, n_spans long"])
     joined = docs.join(told, F.col("key") == F.col("_key"), "left")
     return joined.select(*dict.fromkeys([*carry, "text"]), "spans", "_copies").mapInArrow(cut, schema)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, without their repeated passages; n_chars follows if there is one.
+
+    A document of which no word is left goes.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    held = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"), row.alias("row"))
+    left = remove_repeats(held, repeats(held.select("doc_id", "text", "key")), carry=["text", "row"])
+    left = left.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
+    changed = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    told = {"text": changed, "n_chars": F.char_length(changed).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return left.select(*[told.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
