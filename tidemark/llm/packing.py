@@ -71,7 +71,7 @@ def place(lengths: list[int], capacity: int, linear: float, quadratic: float) ->
     """For each piece its parts as (sequence, offset in it, start in piece, length).
 
     Longest first, always onto the cheapest sequence with capacity left; as
-    many sequences as the tokens need, so at most one of them ends up padded.
+    many sequences as the tokens need, so less than one sequence is padding.
     """
     count = -(-sum(lengths) // capacity)
     open_ = [(0.0, n, 0) for n in range(count)]
@@ -94,7 +94,7 @@ def pack(docs: DataFrame, vocabulary_path: str, *, capacity: int = CAPACITY, clo
 
     Every task packs its own rows, `group_tokens` tokens at a time: nothing is
     shuffled, memory is bounded by the group, and a lost task is simply run
-    again. Each group pads one sequence at most. Sequence ids hold the task's
+    again. The padding of a group is less than one sequence. Sequence ids hold the task's
     partition and a running number. The vocabulary has fewer than 65,536 ids
     and is read once, on the driver.
     """
