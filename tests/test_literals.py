@@ -181,10 +181,24 @@ def test_acyclic_graph_has_no_cycles(spark):
     assert graphs.cycles(edges).count() == 0
 
 
-def test_unsettled_loop_raises(spark):
-    chain = edge_rows(spark, *[(f"n{i:02d}", f"n{(i + 1) % 12:02d}") for i in range(12)])
-    with pytest.raises(RuntimeError):
-        graphs.strong_groups(chain, max_rounds=3)
+def test_long_chains_settle(spark):
+    chain = edge_rows(spark, *[(f"n{i:02d}", f"n{(i + 1) % 30:02d}") for i in range(30)])
+    assert graphs.strong_groups(chain).select("group").distinct().count() == 1
+
+
+def test_rules_see_every_kind_of_line(spark):
+    breaks = ["\r\n", *"\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029"]
+    files = spark.createDataFrame([("r", f"f{n}", f"x{b}DEBUG = True{b}y") for n, b in enumerate(breaks)],
+                                  "repository_id string, path string, content string")
+    found = rules.scan_rules(files, [rules.DEBUG_ON])
+    assert sorted(r.file_path for r in found.collect()) == sorted(f"f{n}" for n in range(len(breaks)))
+    assert {r.start_line for r in found.collect()} == {2}
+
+
+def test_rules_with_line_bound_patterns(spark):
+    files = spark.createDataFrame([("r", "f", "safe\nbad = 1\nsafe")], "repository_id string, path string, content string")
+    rule = rules.LineRule("X", "LOW", 50, "{path}", ((r"^bad = 1(?!\s*safe)", ""),))
+    assert rules.scan_rules(files, [rule]).count() == 1
 
 
 def test_plan_defects(spark):

@@ -143,9 +143,9 @@ def test_search_equals_numpy_and_blocks_agree(spark):
                                    "id int, repository_id string, embedding array<float>").repartition(5)
     queries = spark.createDataFrame([(i, [float(x) for x in vectors[i]]) for i in (7, 50, 60)], "query_id int, embedding array<float>")
     unit = vectors.astype(np.float64) / np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
-    for numbers in (10**6, 8):
+    for chunk_rows, query_rows in ((10**6, 10**6), (70, 1)):
         got = {}
-        for r in retrieval.search(chunks, queries, 5, query_numbers=numbers).collect():
+        for r in retrieval.search(chunks, queries, 5, chunk_rows=chunk_rows, query_rows=query_rows).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id))
         for q, found in got.items():
             scores = unit @ unit[q]

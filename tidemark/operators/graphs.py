@@ -3,8 +3,8 @@
 Edges are rows (repository_id, src, dst), distinct and without self-loops. The
 loops below run over all repositories at once; each round is a join and an
 aggregate on node keys, materialised through the shared checkpoint folder, so a
-lost executor costs a re-read and not a replay. A loop that does not settle
-within `max_rounds` raises instead of stopping early.
+lost executor costs a re-read and not a replay. What a round changes only ever
+gets better and is bounded, so every loop ends by itself.
 """
 
 from __future__ import annotations
@@ -59,16 +59,17 @@ def high_coupling(degrees: DataFrame, limit: int = HIGH_COUPLING) -> DataFrame:
 
 # --- fixed points ---------------------------------------------------------------------
 
-def _relax(values: DataFrame, edges: DataFrame, message: Column, better: str, max_rounds: int) -> DataFrame:
+def _relax(values: DataFrame, edges: DataFrame, message: Column, better: str) -> DataFrame:
     """Values per node after messages along edges stop improving them.
 
     Only nodes that improved in the last round send again. `better` is min or
     max; `message` is built from the sender's `value` and the edge's columns.
     `values` should be cheap to read twice; every later round is materialised.
+    Values only improve and are bounded, so the rounds end.
     """
     combine = F.min if better == "min" else F.max
     known = senders = values
-    for _ in range(max_rounds):
+    while True:
         sent = (
             senders.withColumnRenamed("node", "src").join(edges, ["repository_id", "src"])
             .select("repository_id", F.col("dst").alias("node"), message.alias("offer"))
@@ -82,7 +83,6 @@ def _relax(values: DataFrame, edges: DataFrame, message: Column, better: str, ma
         senders = stepped.filter("_moved").drop("_moved")
         if senders.isEmpty():
             return known
-    raise RuntimeError(f"no fixed point within {max_rounds} rounds")
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def _labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.filter("_a = _b").select("repository_id", "src", "dst", F.col("_a").alias("group"))
 
 
-def strong_groups(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def strong_groups(edges: DataFrame) -> DataFrame:
     """(repository_id, node, group) for nodes on a cycle; group is its smallest node.
 
     Each pass gives every node the smallest node that reaches it. A node that
@@ -117,15 +117,13 @@ def strong_groups(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         left = _without_ends(left)
     left = cut_lineage(left)
     found: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         start = _nodes(left).withColumn("value", F.col("node"))
-        labels = _relax(start, left, F.col("value"), "min", max_rounds)
+        labels = _relax(start, left, F.col("value"), "min")
         same = cut_lineage(_labelled(left, labels))
         back = same.select("repository_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
         flags = labels.select(*NODE, F.when(F.col("node") == F.col("value"), 0).otherwise(1).alias("value"))
-        reach = _relax(flags, back, F.col("value"), "min", max_rounds).filter("value = 0").select(*NODE)
+        reach = _relax(flags, back, F.col("value"), "min").filter("value = 0").select(*NODE)
         members = cut_lineage(labels.join(reach, NODE, "left_semi").select(*NODE, F.col("value").alias("group")))
         found.append(members)
         gone = members.select(*NODE)
@@ -133,8 +131,6 @@ def strong_groups(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         for end in ("src", "dst"):
             rest = rest.join(gone.withColumnRenamed("node", end), ["repository_id", end], "left_anti")
         left = cut_lineage(_without_ends(_without_ends(rest)))
-    else:
-        raise RuntimeError(f"cycles not separated within {max_rounds} rounds")
     if not found:
         return _nodes(left).withColumn("group", F.col("node"))
     everyone = reduce(DataFrame.unionByName, found)
@@ -142,14 +138,14 @@ def strong_groups(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return cut_lineage(everyone.join(several, ["repository_id", "group"], "left_semi").select(*NODE, "group"))
 
 
-def cycles(edges: DataFrame, groups: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def cycles(edges: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One canonical cycle per strongly connected group.
 
     `chain` is a shortest cycle through the group's smallest node, the
     smallest such chain by its nodes, closed by repeating that node; `members`
     counts the group. The search keeps one path per reached node.
     """
-    groups = strong_groups(edges, max_rounds) if groups is None else groups
+    groups = strong_groups(edges) if groups is None else groups
     inside = cut_lineage(_labelled(
         edges.select("repository_id", "src", "dst").distinct(), groups.withColumnRenamed("group", "value")))
     key = ["repository_id", "group"]
@@ -157,7 +153,7 @@ def cycles(edges: DataFrame, groups: DataFrame | None = None, max_rounds: int =
     frontier = sizes.select(*key, F.col("group").alias("node"), F.array("group").alias("path"))
     seen = frontier.select(*key, "node")
     closed: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         step = frontier.withColumnRenamed("node", "src").join(inside, [*key, "src"])
         step = cut_lineage(step.groupBy(*key, F.col("dst").alias("node")).agg(F.min("path").alias("path")))
         home = step.filter(F.col("node") == F.col("group")).select(
@@ -168,8 +164,6 @@ def cycles(edges: DataFrame, groups: DataFrame | None = None, max_rounds: int =
         if frontier.isEmpty():
             break
         seen = cut_lineage(seen.unionByName(frontier.select(*key, "node")))
-    else:
-        raise RuntimeError(f"no cycle closed within {max_rounds} rounds")
     chains = reduce(DataFrame.unionByName, closed)
     return chains.join(sizes, key)
 
@@ -190,9 +184,9 @@ def cycle_edges(found: DataFrame) -> DataFrame:
         "repository_id", "group", "position", "e.src", "e.dst")
 
 
-def dependency_depth(edges: DataFrame, groups: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def dependency_depth(edges: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Longest import chain from each node, in nodes; a cycle counts all its members."""
-    groups = strong_groups(edges, max_rounds) if groups is None else groups
+    groups = strong_groups(edges) if groups is None else groups
     nodes = _nodes(edges).join(groups, NODE, "left").select(*NODE, F.coalesce("group", "node").alias("group"))
     nodes = cut_lineage(nodes)
     sizes = nodes.groupBy("repository_id", "group").agg(F.count("*").alias("size"))
@@ -203,7 +197,7 @@ def dependency_depth(edges: DataFrame, groups: DataFrame | None = None, max_roun
     weighted = cut_lineage(between.join(
         sizes.select("repository_id", F.col("group").alias("dst"), "size"), ["repository_id", "dst"]))
     start = sizes.select("repository_id", F.col("group").alias("node"), F.col("size").alias("value"))
-    depths = _relax(start, weighted, F.col("value") + F.col("size"), "max", max_rounds)
+    depths = _relax(start, weighted, F.col("value") + F.col("size"), "max")
     return nodes.join(depths.withColumnRenamed("node", "group"), ["repository_id", "group"]).select(
         "repository_id", F.col("node").alias("path"), F.col("value").alias("depth"))
 

@@ -66,7 +66,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     Each import becomes the one name it looks for, and joins the table of names
     files answer to by equality. Nothing is multiplied on the import side; a
     file that everything imports is a hot key of the left side, which adaptive
-    execution splits.
+    execution splits. Imports that name no file (packages) skip the join.
     """
     require_columns(imports, "repository_id", "file_path", "language", "module")
     module, source = F.col("module"), F.col("file_path")
@@ -77,7 +77,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
         .when(family == "java", F.replace(module, F.lit("."), F.lit("/"))))
     key = ["repository_id", "_family", "_stem"]
     wanted = imports.withColumn("_family", family).withColumn("_stem", stem)
-    return wanted.join(file_stems(files), key, "left").select(*imports.columns, "target_path")
+    external = wanted.filter("_stem IS NULL OR _family IS NULL").select(*imports.columns, F.lit(None).cast("string").alias("target_path"))
+    inside = wanted.filter("_stem IS NOT NULL AND _family IS NOT NULL").join(file_stems(files), key, "left")
+    return inside.select(*imports.columns, "target_path").unionByName(external)
 
 
 def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -128,7 +128,9 @@ def with_commit(matched: DataFrame, commits: DataFrame) -> DataFrame:
         F.struct("sha", "message", "author_name", "author_email", "author_login").alias("commit"))
     # Commits are a large table: repeating them per salt would cost more than a hot key, which adaptive execution splits.
     keyed = matched.withColumn("_sha", F.col("deployment.commit_sha"))
-    return keyed.join(known, ["repository_id", "_sha"], "left").drop("_sha")
+    # Incidents without a deployed commit skip the join, or they would all meet in one task.
+    without = keyed.filter("_sha IS NULL").withColumn("commit", F.lit(None).cast(known.schema["commit"].dataType))
+    return keyed.filter("_sha IS NOT NULL").join(known, ["repository_id", "_sha"], "left").unionByName(without).drop("_sha")
 
 
 def commit_signals(with_commits: DataFrame) -> DataFrame:

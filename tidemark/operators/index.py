@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -207,13 +206,15 @@ def symbol_chunks(symbols: DataFrame, files: DataFrame) -> DataFrame:
     members = symbols.filter("parent_id IS NOT NULL").groupBy(*FILE, F.col("parent_id").alias("id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "id", "signature"))),
                                  lambda m: F.concat(F.lit("    "), F.coalesce(m["signature"], F.lit("None")))), "\n").alias("_members"))
-    joined = symbols.filter("kind <> 'MODULE'").join(sources, FILE).join(members, [*FILE, "id"], "left")
+    # The lines of a symbol are cut out before its members join, so a file's text moves once.
+    cut = symbols.filter("kind <> 'MODULE'").join(sources, FILE).withColumn(
+        "_own", tx.line_slice(F.col("_source"), F.col("start_line"), F.col("end_line"))).drop("_source")
+    joined = cut.join(members, [*FILE, "id"], "left")
     summary = F.concat_ws(
         "\n", F.coalesce(tx.non_empty(F.col("signature")), F.concat(F.lit("class "), "name")),
         F.when(F.coalesce("doc_comment", F.lit("")) != "", F.concat(F.lit('"""'), "doc_comment", F.lit('"""'))), "_members")
-    lines = tx.line_slice(F.col("_source"), F.col("start_line"), F.col("end_line"))
     chunks = joined.select(
-        *FILE, F.col("id").alias("symbol_id"), "kind", F.when(F.col("kind") == "CLASS", summary).otherwise(lines).alias("content"),
+        *FILE, F.col("id").alias("symbol_id"), "kind", F.when(F.col("kind") == "CLASS", summary).otherwise(F.col("_own")).alias("content"),
         "start_line")
     return split_oversized(chunks)
 
@@ -244,46 +245,52 @@ def section_chunks(docs: DataFrame, is_heading: Callable[[Column], Column] = is_
     return split_oversized(cut)
 
 
+def _windows(text: Column, lines: Column, limit: int, overlap: int) -> Column:
+    """(begin, length) of the line windows of a text whose breaks are all line feeds.
+
+    Works on positions in the text: a window ends before the first line feed
+    that is at least `limit` characters on, and the next one begins `overlap`
+    lines earlier, but a line further than the last began. One fold, whose
+    steps are idle once the text's end is reached.
+    """
+    def step(state: Column, _: Column) -> Column:
+        begin = state["begin"]
+        feed = F.call_function("locate", F.lit("\n"), text, begin + limit)
+        length = F.when(feed > 0, feed - 1 - begin).otherwise(F.length(text) - begin)
+        window = F.substring(text, begin + 1, length)
+        tail = F.substring_index(window, "\n", -overlap)
+        second = begin + F.length(F.substring_index(window, "\n", 1)) + 1
+        following = F.when(F.length(tail) < length, feed - 1 - F.length(tail)).otherwise(second)
+        moved = F.struct(
+            F.when(feed > 0, following).otherwise(-1).cast("int").alias("begin"),
+            F.array_append(state["found"], F.struct(begin.alias("begin"), length.cast("int").alias("length"))).alias("found"))
+        return F.when(begin < 0, state).otherwise(moved)
+
+    nothing = F.array().cast("array<struct<begin:int,length:int>>")
+    return F.aggregate(F.sequence(F.lit(1), F.size(lines)), F.struct(F.lit(0).alias("begin"), nothing.alias("found")), step, lambda s: s["found"])
+
+
 def split_oversized(chunks: DataFrame, limit: int = MAX_CHUNK_CHARS, overlap: int = OVERLAP_LINES) -> DataFrame:
     """Chunks over `limit` characters as line windows that overlap by `overlap` lines.
 
-    Where a window starts depends on the one before it, so only the oversized
-    rows go through Python; a row never exceeds one file. The rest stays native.
+    Each chunk is cut within its own row by column expressions: one pass,
+    nothing is shuffled and no Python runs.
     """
-    keep = [f for f in chunks.schema.fields if f.name not in ("content", "start_line")]
-    names = [f.name for f in keep]
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", content string, start_line int, end_line int"
-
-    def windows(content: str) -> Iterator[tuple[int, int, str]]:
-        lines = content.splitlines()
-        first = 0
-        while first < len(lines):
-            size, last = 0, first
-            while last < len(lines) and size < limit:
-                size += len(lines[last]) + 1
-                last += 1
-            yield first, last, "\n".join(lines[first:last])
-            if last == len(lines):
-                return
-            first = max(last - overlap, first + 1)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                pieces = list(windows(row.content))
-                out = {name: [getattr(row, name)] * len(pieces) for name in names}
-                out["content"] = [text for _, _, text in pieces]
-                out["start_line"] = [row.start_line + first for first, _, _ in pieces]
-                out["end_line"] = [row.start_line + last - 1 for _, last, _ in pieces]
-                yield pd.DataFrame(out)
-
-    # Python counts code points, so length does too.
+    names = [f.name for f in chunks.schema.fields if f.name not in ("content", "start_line")]
+
+    def feeds(text: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+    start = F.col("start_line").cast("int")
     big = F.length("content") > limit
-    breaks = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
-    small = chunks.filter(~big).select(
-        *names, "content", F.col("start_line").cast("int").alias("start_line"), (F.col("start_line") + breaks).cast("int").alias("end_line"))
-    large = chunks.filter(big).select(*names, "content", F.col("start_line").cast("int").alias("start_line")).mapInPandas(cut, shape)
-    return _sized(small.unionByName(large))
+    lined = chunks.select(*names, "content", start.alias("start_line"), F.when(big, tx.text_lines(F.col("content"))).alias("_lines"))
+    plain = lined.withColumn("_text", F.array_join("_lines", "\n"))
+    parts = F.transform(_windows(F.col("_text"), F.col("_lines"), limit, overlap), lambda w: F.struct(
+        F.substring(F.col("_text"), w["begin"] + 1, w["length"]).alias("content"),
+        (start + feeds(F.substring(F.col("_text"), F.lit(1), w["begin"]))).cast("int").alias("start_line")))
+    whole = F.array(F.struct(F.col("content"), start.alias("start_line")))
+    cut = plain.select(*names, F.inline(F.when(F.col("_lines").isNotNull(), parts).otherwise(whole)))
+    return _sized(cut.select(*names, "content", "start_line", (F.col("start_line") + feeds(F.col("content"))).cast("int").alias("end_line")))
 
 
 # --- listings -------------------------------------------------------------------------

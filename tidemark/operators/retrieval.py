@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,23 +19,22 @@ HISTORY_MESSAGES = 15
 CHAT_EVIDENCE_CHARS, TASK_EVIDENCE_CHARS = 1000, 1500
 DOC_KIND = "DOCUMENTATION"
 
-# How many query numbers may be held by each task at once (40 MB of doubles).
-QUERY_NUMBERS = 5_000_000
+# One task's share of a search: rows of either side (a side of 8192 vectors of 768 doubles is 50 MB).
+CHUNK_ROWS, QUERY_ROWS = 32_768, 8_192
 
 
 # --- search ---------------------------------------------------------------------------
 
 def search(
     chunks: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, repository_ids: Sequence[str] | None = None,
-    kinds: Sequence[str] | None = None, query_numbers: int = QUERY_NUMBERS,
+    kinds: Sequence[str] | None = None, chunk_rows: int = CHUNK_ROWS, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """Exact cosine top-k of `chunks` for each query, filters first.
 
-    `queries` has query_id and embedding. Their number is checked: what fits
-    in `query_numbers` numbers goes to the tasks as one block; more queries are
-    split by hash into blocks, each scored by its own scan of the chunks. A
-    task scores a batch with one matrix product and passes on only rows that
-    can be among the first k, so k rows per query and batch are shuffled.
+    `queries` has query_id and embedding. Both sides are dealt by hash into
+    blocks; each pair of blocks meets in one task, which scores it with one
+    matrix product and passes on only what can be among the first k. Neither
+    side goes through the driver, and a task's memory is set by the block sizes.
     """
     require_columns(chunks, "id", "repository_id", "embedding")
     rows = chunks.filter(F.col("embedding").isNotNull())
@@ -43,46 +42,46 @@ def search(
         rows = rows.filter(F.col("repository_id").isin(*repository_ids))
     if kinds:
         rows = rows.filter(F.col("kind").isin(*kinds))
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    blocks = max(1, -(-(size["n"] * (size["d"] or 1)) // query_numbers))
-    slim = rows.select(F.col("id").alias("chunk_id"), "embedding")
-    scored = None
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        hits = _score(slim, part.select("query_id", "embedding"), k)
-        scored = hits if scored is None else scored.unionByName(hits)
+    chunk_blocks = max(1, -(-rows.count() // chunk_rows))
+    query_blocks = max(1, -(-queries.count() // query_rows))
+    held = rows.select(
+        F.pmod(F.xxhash64("id"), F.lit(chunk_blocks)).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("_q"),
+        F.col("id").alias("chunk_id"), "embedding")
+    asking = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(chunk_blocks - 1))).alias("_c"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("_q"),
+        "query_id", "embedding")
+    types = {name: df.schema[name].dataType.simpleString() for df, name in ((held, "chunk_id"), (asking, "query_id"))}
+    scored = held.groupBy("_c", "_q").cogroup(asking.groupBy("_c", "_q")).applyInArrow(
+        _scorer(k), f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, score double")
     return top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], k, rank="rank")
 
 
-def _score(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    held = queries.toArrow()
-    ids = held.column("query_id").combine_chunks()
-    matrix = np.array(held.column("embedding").to_pylist(), dtype=np.float64)
-    if len(ids):
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = matrix / np.where(norms == 0, 1.0, norms)
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    chunk_type = chunks.schema["chunk_id"].dataType.simpleString()
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            vectors = batch.column(1)
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            lengths = np.linalg.norm(flat, axis=1)
-            products = (flat @ matrix.T) / np.where(lengths == 0, 1.0, lengths)[:, None]
-            if batch.num_rows > k:
+def _scorer(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def unit(table: pa.Table) -> np.ndarray:
+        flat = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        rows = flat.reshape(table.num_rows, -1)
+        lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+        return rows / np.where(lengths == 0, 1.0, lengths)
+
+    def score(held: pa.Table, asking: pa.Table) -> pa.Table:
+        chunk_at, query_at, scores = [], [], []
+        if held.num_rows and asking.num_rows:
+            vectors, questions = unit(held), unit(asking)
+            for begin in range(0, len(questions), 512):
+                products = questions[begin:begin + 512] @ vectors.T
                 # Keeps ties with the k-th score, so the final cut by id stays exact.
-                floor = np.partition(products, batch.num_rows - k, axis=0)[batch.num_rows - k]
-                chunk_at, query_at = np.nonzero(products >= floor)
-            else:
-                chunk_at, query_at = np.nonzero(np.ones_like(products, dtype=bool))
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(query_at)), batch.column(0).take(pa.array(chunk_at)), pa.array(products[chunk_at, query_at])],
-                names=["query_id", "chunk_id", "score"])
-
-    return chunks.mapInArrow(score, f"query_id {id_type}, chunk_id {chunk_type}, score double")
+                floor = np.partition(products, -k, axis=1)[:, -k, None] if products.shape[1] > k else -np.inf
+                rows, columns = np.nonzero(products >= floor)
+                query_at.append(rows + begin)
+                chunk_at.append(columns)
+                scores.append(products[rows, columns])
+        none = np.zeros(0, np.int64)
+        return pa.table({
+            "query_id": asking["query_id"].take(pa.array(np.concatenate([none, *query_at]))),
+            "chunk_id": held["chunk_id"].take(pa.array(np.concatenate([none, *chunk_at]))),
+            "score": np.concatenate([np.zeros(0), *scores])})
+
+    return score
 
 
 def search_organization(

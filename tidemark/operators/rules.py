@@ -7,6 +7,7 @@ its lines are built.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -147,12 +148,25 @@ def explode_lines(files: DataFrame, where: Column | None = None) -> DataFrame:
     )
 
 
+# What can make a pattern that fits one line fail on the text around it:
+# negative lookaround, atomic and possessive groups, anchors of the whole text.
+LINE_BOUND = re.compile(r"\(\?(?:!|<!|>)|[*+?}]\+|\\[AzZG]")
+
+
 def _some_line_may_match(rules: Sequence[LineRule], text: Column) -> Column:
-    """Whether any rule's line pattern is found anywhere in the whole text."""
+    """Whether any rule's line pattern may be found in some line of the text.
+
+    All line breaks become line feeds first, so `^` and `$` see the same lines
+    as the split does. A pattern that other lines could keep from matching is
+    not tested here: its files always pass.
+    """
+    patterns = [pattern for rule in rules for pattern, _ in rule.any_of]
+    if any(LINE_BOUND.search(p) for p in patterns):
+        return F.lit(True)
+    unified = F.regexp_replace(text, tx.TEXT_BREAKS, "\n")
     found = F.lit(False)
-    for rule in rules:
-        for pattern, _ in rule.any_of:
-            found = found | text.rlike("(?m)" + pattern)
+    for pattern in patterns:
+        found = found | unified.rlike("(?m)" + pattern)
     return found
 
 

@@ -33,7 +33,7 @@ def with_ctes(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    head = ",\n".join(f"{name} AS ({CTES[name]})" for name in needed)
+    head = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in needed)
     rest = body.strip()
     recursive = rest.upper().startswith("WITH RECURSIVE")
     if recursive:
@@ -48,7 +48,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
-    """A table whose rows are costly to work on, spread over the cores when small."""
+    """The named columns of a table."""
     return read_table(spark, f"{sf}/{name}.parquet", *columns)
 
 

@@ -5,23 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small scan dealt out over all cores; a large scan is left alone.
-
-    A file with a single row group is one task however many cores there are.
-    The test is the planner's size estimate, so nothing is read for it; once
-    the input fills one split per core, the scan is parallel by itself and no
-    shuffle is added.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")))
-    return df.repartition(cores) if cores > 1 and size < cores * split else df
-
-
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """The named columns of a Parquet table, spread when it is small."""
+    """The named columns of a Parquet table."""
     df = spark.read.parquet(path)
-    return spread(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df
