@@ -143,14 +143,15 @@ def write_shards(docs: DataFrame, path: str, shards: int, files: int, blocks: in
     rows = docs.select(doc_id, text, block_of(text, doc_id, blocks).alias("_b"), size_of(text).alias("size"))
     large = rows.groupBy("_b").agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > split_over).select(
         F.col("_b").alias("_large"), F.ceil(F.col("_bytes") / split_over).alias("_cuts"))
-    cut = rows.join(large, F.col("_b") == F.col("_large"), "left")
+    # At most total / split_over rows, whatever the input: 64 per shard as called below.
+    cut = rows.join(F.broadcast(large), F.col("_b") == F.col("_large"), "left")
     part = F.coalesce(F.pmod(F.xxhash64(F.lit(5), doc_id), F.col("_cuts")), F.lit(0))
     cut = cut.withColumn("block", F.col("_b") + part * blocks)
     dealt = F.xxhash64(F.lit(11), "block")
     cut = cut.withColumn("shard", F.pmod(dealt, F.lit(shards)).cast("int")).withColumn(
         "file", F.pmod(F.shiftright(dealt, 20), F.lit(files)).cast("int"))
-    cut.select("doc_id", "text", "block", "size", "shard", "file").repartition(shards * files, "shard", "file").write.partitionBy(
-        "shard", "file").parquet(path)
+    cut.select("doc_id", "text", "block", "size", "shard", "file").repartition(shards * files, "shard", "file").write.option(
+        "compression", "zstd").partitionBy("shard", "file").parquet(path)
     return Layout([(path, None)])
 
 
@@ -181,7 +182,8 @@ def reshard(spark: SparkSession, old: Layout, shards: int, path: str) -> tuple[L
     rewritten = now.where(F.col("shard").isin(sorted({s for s, _ in touched}))).where(hit).join(
         plan, (F.col("shard") == F.col("_s")) & (F.col("block") == F.col("_b")), "left")
     rewritten = rewritten.withColumn("shard", F.coalesce("_to", "shard")).drop("_s", "_b", "_to")
-    rewritten.repartition(F.col("shard"), F.col("file")).write.partitionBy("shard", "file").parquet(path)
+    # Each task splits the files it read: the moved rows need no exchange.
+    rewritten.write.option("compression", "zstd").partitionBy("shard", "file").parquet(path)
     kept = [(p, ~hit if valid is None else valid & ~hit) for p, valid in old.parts]
     return Layout([*kept, (path, None)]), stats
 
@@ -203,15 +205,17 @@ def with_slots(rows: DataFrame) -> DataFrame:
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, *, old_shards: int = 7, shards: int = 8, files: int = 8,
-                    blocks_per_shard: int = 512, block_bytes: int = 128 << 20) -> DataFrame:
+                    file_bytes: int = 256 << 20, blocks_per_shard: int = 512, block_bytes: int = 128 << 20) -> DataFrame:
     """The documents in `old_shards` hash shards, then brought to `shards` equal ones.
 
     Returns doc_id, size, text_crc32, block, shard and slot as read back from
     the files. There are `blocks_per_shard` blocks per shard, more when they
-    would hold over `block_bytes`.
+    would hold over `block_bytes`, and `files` files per old shard, more when
+    they would hold over `file_bytes`.
     """
     total = docs.select(F.sum(size_of(F.col("text")))).first()[0]
     blocks = shards * max(blocks_per_shard, pieces(total, block_bytes * shards))
+    files = max(files, pieces(total, file_bytes * old_shards))
     root = scratch_path(spark, "shards")
     old = write_shards(docs, f"{root}/old", old_shards, files, blocks, max(1, (total or 0) // (shards * 64)))
     new, _ = reshard(spark, old, shards, f"{root}/new")
