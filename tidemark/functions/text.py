@@ -53,8 +53,8 @@ def clip(content: Column, limit: int) -> Column:
 
 
 def word_hits(content: Column, word: Column) -> Column:
-    """How often `word` stands alone in `content`, without building a regex."""
-    words = F.regexp_extract_all(content, F.lit(r"\w+"), F.lit(0))
+    """How often `word` stands alone in `content`, letters of all scripts counting, without building a regex."""
+    words = F.regexp_extract_all(content, F.lit(r"(?U)\w+"), F.lit(0))
     return F.size(F.filter(words, lambda token: token == word))
 
 

@@ -22,6 +22,11 @@ FAILED_CONCLUSIONS = ["failure", "timed_out", "startup_failure"]
 
 # --- upserts --------------------------------------------------------------------------
 
+def _by_content(rows: DataFrame) -> list[Column]:
+    """An order that depends on what the rows hold and on nothing else."""
+    return [F.to_json(F.struct(*[F.col(c) for c in rows.columns]))]
+
+
 def upsert(
     target: DataFrame, updates: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None,
     keep_null: Sequence[str] = (), newest_first: Sequence[Column] | None = None,
@@ -30,12 +35,12 @@ def upsert(
 
     Keys compare null-safe. `columns` defaults to every column that is not a
     key; columns in `keep_null` keep the old value when the update has none.
-    Several updates of one key reduce to the first by `newest_first`. One
-    shuffle per side, on the key.
+    Several updates of one key reduce to the first by `newest_first`, else by
+    their content. One shuffle per side, on the key.
     """
     values = [c for c in target.columns if c not in keys]
     changed = set(values if columns is None else columns)
-    order = list(newest_first) if newest_first else [F.lit(0)]
+    order = list(newest_first) if newest_first else _by_content(updates)
     once = first_per_key(updates, keys, order)
     old = target.withColumn("_old", F.lit(True)).alias("t")
     new = once.withColumn("_new", F.lit(True)).alias("u")
@@ -53,9 +58,10 @@ def upsert(
 
 
 def insert_new(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
-    """`target` plus the rows whose key it lacks; stored rows never change."""
-    once = first_per_key(rows, keys, list(order) if order else [F.lit(0)])
-    fresh = once.join(target.select(*keys), list(keys), "left_anti")
+    """`target` plus the rows whose key it lacks, nulls in keys being alike; stored rows never change."""
+    once = first_per_key(rows, keys, list(order) if order else _by_content(rows)).alias("u")
+    same = reduce(lambda a, c: a & c, [F.col(f"t.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys])
+    fresh = once.join(target.select(*keys).alias("t"), same, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 

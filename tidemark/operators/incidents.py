@@ -272,12 +272,16 @@ def blast_radius(incidents: DataFrame, services: DataFrame) -> DataFrame:
         F.coalesce(F.col("_critical") - F.col("_self_critical"), F.lit(0)).alias("critical_services"))
 
 
-def affected_services(incident: DataFrame, services: DataFrame) -> DataFrame:
-    """The other services of one incident's repository; `incident` has one row."""
-    mine = services.join(incident.select("organization_id", F.col("service_id").alias("id")), ["organization_id", "id"])
-    home = mine.select("organization_id", "repository_id", F.col("id").alias("_own"))
-    return services.join(home, ["organization_id", "repository_id"]).filter(F.col("id") != F.col("_own")).select(
-        "id", "name", "criticality")
+def affected_services(incidents: DataFrame, services: DataFrame) -> DataFrame:
+    """The other services of the repositories that incidents hit, by the service hit (`service_id`).
+
+    Incidents reduce to their distinct services first, so the answer grows
+    with the service catalogue and not with the incidents.
+    """
+    hit = incidents.select("organization_id", F.col("service_id").alias("id")).distinct()
+    home = services.join(hit, ["organization_id", "id"]).select("organization_id", "repository_id", F.col("id").alias("service_id"))
+    return services.join(home, ["organization_id", "repository_id"]).filter(F.col("id") != F.col("service_id")).select(
+        "service_id", "id", "name", "criticality")
 
 
 def service_health(services: DataFrame, snapshots: DataFrame, live: DataFrame) -> DataFrame:

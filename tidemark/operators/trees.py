@@ -341,7 +341,7 @@ def unused_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     bare = F.trim(F.element_at(F.split(name, r"\."), -1), F.lit("* "))
     named = (
         imports.select("repository_id", "file_path", "module", F.explode("imported_names").alias("imported"))
-        .withColumn("name", bare).filter(F.col("name").rlike(r"^[A-Za-z_]\w*$")))
+        .withColumn("name", bare).filter(F.col("name").rlike(r"(?U)^[\p{L}_]\w*$")))
     sources = files.select("repository_id", F.col("path").alias("file_path"), "content")
     once = named.join(sources, FILE).filter(tx.word_hits(F.col("content"), F.col("name")) <= 1)
     return finding_rows(

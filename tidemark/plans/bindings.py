@@ -353,10 +353,9 @@ def repository_of(customer: str) -> str:
 
 
 def graph_edges(spark, sf) -> DataFrame:
-    """Urgent finished orders as edges; customers are files, every ten of them in one of seven repositories."""
+    """Orders as edges; customers are files, every ten of them in one of seven repositories."""
     return (
         table(spark, sf, "orders")
-        .filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
         .selectExpr(f"{repository_of('o_custkey')} AS repository_id", "CAST(o_custkey AS string) AS src",
                     "CAST(CAST(floor(o_custkey / 10) AS bigint) * 10 + o_orderkey % 10 AS string) AS dst")
         .filter("src <> dst").distinct()
@@ -366,25 +365,16 @@ def graph_edges(spark, sf) -> DataFrame:
 CTES["graph"] = """
 SELECT DISTINCT 'r' || (o_custkey // 10 % 7) AS repository_id, o_custkey::VARCHAR AS src,
        ((o_custkey // 10) * 10 + o_orderkey % 10)::VARCHAR AS dst
-FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'
-  AND o_custkey <> (o_custkey // 10) * 10 + o_orderkey % 10"""
+FROM orders WHERE o_custkey <> (o_custkey // 10) * 10 + o_orderkey % 10"""
 
 
 def dag_edges(spark, sf) -> DataFrame:
-    orders = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
-    customers = table(spark, sf, "customer").agg(F.count("*").alias("n")).scalar()
-    return (
-        orders.select(F.concat(F.lit("r"), F.col("o_custkey") % 1).alias("repository_id"), F.col("o_custkey").alias("src"),
-                      (F.col("o_orderkey") % customers).alias("dst"))
-        .filter("src < dst").distinct()
-        .select("repository_id", F.col("src").cast("string"), F.col("dst").cast("string"))
-    )
+    """The same edges, but only from a smaller number to a larger one, in one repository."""
+    return graph_edges(spark, sf).filter("CAST(src AS bigint) < CAST(dst AS bigint)").select(
+        F.lit("r0").alias("repository_id"), "src", "dst")
 
 
-CTES["dag"] = """
-SELECT DISTINCT 'r0' AS repository_id, o_custkey::VARCHAR AS src,
-       (o_orderkey % (SELECT count(*) FROM customer))::VARCHAR AS dst
-FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey < o_orderkey % (SELECT count(*) FROM customer)"""
+CTES["dag"] = "SELECT 'r0' AS repository_id, src, dst FROM graph WHERE src::BIGINT < dst::BIGINT"
 
 
 # --- events ------------------------------------------------------------------------

@@ -267,17 +267,17 @@ for _sort in ("name", "stars", "updated", "created"):
 
 
 def offered(spark, sf):
-    available = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("github_repo_id"), F.col("c_name").alias("name"))
-    imported = b.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(
+    available = b.table(spark, sf, "customer").select((F.col("c_custkey") * 3).alias("github_repo_id"), F.col("c_name").alias("name"))
+    imported = b.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("github_repo_id"))
     return available, imported
 
 
-b.CTES["imported"] = "SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"
+b.CTES["imported"] = "SELECT DISTINCT o_custkey FROM orders"
 add("dl9_importable", lambda spark, sf: dl.importable(*offered(spark, sf)), """
-SELECT c_custkey AS github_repo_id, c_name AS name, c_custkey IN (SELECT o_custkey FROM imported) AS already_imported FROM customer""")
+SELECT c_custkey * 3 AS github_repo_id, c_name AS name, c_custkey * 3 IN (SELECT o_custkey FROM imported) AS already_imported FROM customer""")
 add("dl9_new_repositories", lambda spark, sf: dl.new_repositories(*offered(spark, sf)), """
-SELECT c_custkey AS github_repo_id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM imported)""")
+SELECT c_custkey * 3 AS github_repo_id, c_name AS name FROM customer WHERE c_custkey * 3 NOT IN (SELECT o_custkey FROM imported)""")
 add("dl12_list_deployments", lambda spark, sf: dl.list_deployments(
     b.deployments(spark, sf), environment="main", status="SUCCESS", page=2, page_size=25).select(
     "id", "service_id", "deployed_at", "total_count"), """

@@ -178,7 +178,7 @@ def supplier_services(spark, sf):
 
 
 def order_incidents(spark, sf):
-    return b.table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(
+    return b.table(spark, sf, "lineitem").select(
         F.concat_ws("-", F.lit("i"), "l_orderkey").alias("id"), F.lit("o").alias("organization_id"),
         F.concat(F.lit("s"), "l_suppkey").alias("service_id")).distinct()
 
@@ -190,14 +190,12 @@ WITH homes AS (SELECT 's' || s_suppkey AS id, CASE WHEN s_nationkey <> 3 THEN 'n
 SELECT i.id AS incident_id, i.service_id, h.home AS repository_id,
        (SELECT count(*) FROM homes o WHERE o.home = h.home AND o.id <> h.id) AS affected_services,
        (SELECT count(*) FROM homes o WHERE o.home = h.home AND o.id <> h.id AND o.critical) AS critical_services
-FROM (SELECT DISTINCT 'i-' || l_orderkey AS id, 's' || l_suppkey AS service_id FROM lineitem WHERE l_returnflag = 'R') i
+FROM (SELECT DISTINCT 'i-' || l_orderkey AS id, 's' || l_suppkey AS service_id FROM lineitem) i
 LEFT JOIN homes h ON h.id = i.service_id""")
-add("in13_affected_services", lambda spark, sf: inc.affected_services(
-    order_incidents(spark, sf).orderBy("id", "service_id").limit(1), supplier_services(spark, sf)), """
-WITH one AS (SELECT DISTINCT 'i-' || l_orderkey AS id, 's' || l_suppkey AS service_id FROM lineitem WHERE l_returnflag = 'R'
-             ORDER BY 1, 2 LIMIT 1)
-SELECT 's' || o.s_suppkey AS id, o.s_name AS name, CASE WHEN o.s_acctbal > 5000 THEN 'CRITICAL' ELSE 'LOW' END AS criticality
-FROM one JOIN supplier s ON 's' || s.s_suppkey = one.service_id JOIN supplier o ON o.s_nationkey = s.s_nationkey
+add("in13_affected_services", lambda spark, sf: inc.affected_services(order_incidents(spark, sf), supplier_services(spark, sf)), """
+WITH hit AS (SELECT DISTINCT 's' || l_suppkey AS service_id FROM lineitem)
+SELECT service_id, 's' || o.s_suppkey AS id, o.s_name AS name, CASE WHEN o.s_acctbal > 5000 THEN 'CRITICAL' ELSE 'LOW' END AS criticality
+FROM hit JOIN supplier s ON 's' || s.s_suppkey = service_id JOIN supplier o ON o.s_nationkey = s.s_nationkey
 WHERE s.s_nationkey <> 3 AND o.s_suppkey <> s.s_suppkey""")
 
 

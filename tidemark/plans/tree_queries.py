@@ -160,7 +160,7 @@ add("tm11_unused_imports", lambda spark, sf: trees.unused_imports(first_word_imp
     "file_path", "title"), """
 WITH names AS (SELECT path, content, regexp_extract(content, '[A-Za-z_]+') AS name FROM doc_files)
 SELECT path AS file_path, 'Unused import `' || name || '` in ' || path AS title FROM names
-WHERE name <> '' AND len(list_filter(regexp_extract_all(content, '\\w+'), lambda w: w = name)) <= 1""")
+WHERE name <> '' AND len(list_filter(regexp_extract_all(content, '[\\p{L}\\p{M}\\p{N}_]+'), lambda w: w = name)) <= 1""")
 b.CTES["ast_calls"] = f"""
 SELECT c.*, coalesce(n.text, CASE WHEN f.type IN ('attribute', 'member_expression') THEN p.text ELSE f.text END) AS callee
 FROM ast_nodes c LEFT JOIN ast_nodes n ON n.file_path = c.file_path AND n.parent_id = c.node_id AND n.field = 'name'
