@@ -32,7 +32,6 @@ from tidemark.llm.markup import Piece, blocks, read
 from tidemark.session import cut_lineage
 
 LABEL = 16  # a text of so many words is read word by word
-PAGE = ""  # the token that counts pages
 
 
 def tokens(pieces: list[Piece]) -> list[tuple[str, int]]:
@@ -68,7 +67,7 @@ def vectors(pages: DataFrame) -> DataFrame:
             seen: dict[tuple[str, str], list] = {}
             for page_id, url, page, host in zip(*(batch.column(n).to_pylist() for n in range(4)), strict=True):
                 number = xxhash.xxh3_64_intdigest(f"{page_id} {url}".encode())
-                counted: dict[str, list[int]] = {PAGE: [1, -1]}
+                counted: dict[str, list[int]] = {}
                 for place, (token, _) in enumerate(tokens(read(page or ""))):
                     if (entry := counted.get(token)) is None:
                         counted[token] = [1, place]
@@ -104,14 +103,14 @@ def classes(pages: DataFrame, least: int, support: float, smallest: int) -> Data
     is bounded by the size of a page. One row per host.
     """
     seen = vectors(pages)
-    hosts = seen.where(F.col("token") == PAGE).select(F.col("host").alias("_host"), F.col("pages").alias("_pages")).where(
-        F.col("_pages") >= least)
-    frequent = seen.where((F.col("token") != PAGE) & (F.col("pages") >= 3)).join(hosts, F.col("host") == F.col("_host")).where(
+    hosts = pages.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("_pages")).where(F.col("_pages") >= least)
+    frequent = seen.where(F.col("pages") >= 3).join(hosts, F.col("host") == F.col("_host")).where(
         F.col("pages") >= support * F.col("_pages"))
     grouped = frequent.groupBy("host", "_pages", "pages", "times", "high", "low").agg(
         F.array_sort(F.collect_list(F.struct(F.col("at.place").alias("place"), "token"))).alias("tokens"))
     large = grouped.where(F.size("tokens") >= smallest)
-    named = F.struct("pages", F.col("tokens.token").alias("tokens"))
+    # the outermost class comes first: it is on the most pages and opens them
+    named = F.struct("pages", (-F.element_at("tokens", 1)["place"]).alias("opens"), F.col("tokens.token").alias("tokens"))
     return large.groupBy("host").agg(F.to_json(F.reverse(F.array_sort(F.collect_list(named)))).alias("classes"))
 
 
@@ -209,7 +208,7 @@ def valid(known: list[dict], said: list[dict], agreed: float) -> tuple[dict[str,
     astray = {(v["class"], v["number"]) for v in said if v["kind"] == -2 and v["n"] > (1 - agreed) * seen[v["class"]]}
     nested = {v["class"]: (v["kind"], v["number"]) for v in said
               if v["kind"] >= 0 and v["n"] >= agreed * seen[v["class"]]}
-    outermost = 0  # classes come by the number of their pages
+    outermost = 0
     return ({t: c for c, one in enumerate(known) if c == outermost or c in nested
              for n, t in enumerate(one["tokens"]) if (c, n) not in astray}, nested)
 
@@ -226,12 +225,17 @@ def main_blocks(page: str | None, template: dict[str, int]) -> list[dict]:
             slot = n
         slots[piece] = slot
     listed = [b for b in blocks(pieces) if not b.dropped]
-    # A block made of template words alone is part of the template; a page never loses all its blocks to that.
+    if not listed:
+        return []
+    # A block made of template words alone is part of the template. An article may hold such blocks, but
+    # where they are most of it the pages are copies; and no page loses all its blocks to the template.
     ends = [*(b.begin for b in listed[1:]), len(pieces)]
     own = [b for b, end in zip(listed, ends, strict=True)
            if not (known := [k for n in range(b.begin, end) if not pieces[n].tag for k in of_piece.get(n, [])]) or not all(known)]
     region = max((b.region for b in own or listed), default=0)
-    kept = [b for b in own if b.region == region] or [b for b in listed if b.region == region]
+    whole, kept = ([b for b in some if b.region == region] for some in (listed, own))
+    if not kept or region and 2 * sum(len(b.text) for b in kept) < sum(len(b.text) for b in whole):
+        kept = whole
     return [{"text": b.text, "path": b.path, "slot": slots.get(b.begin, -1)} for b in kept]
 
 
@@ -246,7 +250,8 @@ def extract(pages: DataFrame, *, least: int = 8, support: float = 0.8, smallest:
     found = cut_lineage(classes(hosted, least, support, smallest))
 
     def to_pages(df: DataFrame) -> DataFrame:
-        right = near(df.withColumnRenamed("host", "_host"), sum(F.octet_length(c) for c in df.columns))
+        renamed = df.withColumnRenamed("host", "_host")
+        right = near(renamed, sum(F.octet_length(c) for c in renamed.columns))
         return hosted.join(right, F.col("host") == F.col("_host"), "left").drop("_host")
 
     made = cut_lineage(templates(found, cut_lineage(votes(to_pages(found)))))

@@ -19,6 +19,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
+HIDDEN = re.compile(r"\shidden(?:[\s/]|$)|display\s*:\s*none", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -70,6 +71,8 @@ def words_of(value: str) -> list[str]:
 
 def marked(name: str, rest: str, region: int) -> tuple[bool, int, str]:
     """Whether a start tag opens something to drop, the region it opens, and its first class."""
+    if not rest or rest.isspace() or rest == "/":  # most tags have no attributes
+        return name in DROPPED or name == "header" and not region, 2 if name == "article" else max(region, int(name == "main")), ""
     values: dict[str, str] = {}
     if "=" in rest:
         for key, a, b, c in ATTRIBUTE.findall(rest):
@@ -83,14 +86,12 @@ def marked(name: str, rest: str, region: int) -> tuple[bool, int, str]:
     dropped = name in DROPPED or role in DROPPED_ROLES
     if name == "header" and not region:
         dropped = True
-    lowered = rest.lower()
-    if re.search(r"\shidden(?:[\s/]|$)", lowered) or "display:none" in lowered.replace(" ", "") \
-            or values.get("aria-hidden", "").lower() == "true":
+    if HIDDEN.search(rest) or values.get("aria-hidden", "").lower() == "true":
         dropped = True
     if name not in ("html", "body", "main") and not dropped and (named or "id" in values):
         listed = words_of(named) + ["|"] + words_of(values.get("id", ""))
         for before, word in zip(["|", *listed], listed, strict=False):
-            if word in DROPPED_WORDS and before not in ABOUT_WORDS or word in ("header", "heading") and word == "header" and not region:
+            if word in DROPPED_WORDS and before not in ABOUT_WORDS or word == "header" and not region:
                 dropped = True
     return dropped, region, named.split()[0] if named.split() else ""
 
@@ -108,7 +109,7 @@ def read(page: str) -> list[Piece]:
             text = found[0]
             if text[0] != "<" or text == "<":
                 top = stack[-1]
-                out.append(Piece(top.path, html.unescape(text), "", top.dropped, top.region, False))
+                out.append(Piece(top.path, html.unescape(text) if "&" in text else text, "", top.dropped, top.region, False))
             continue
         name = name.lower()
         if found["end"]:
