@@ -10,9 +10,9 @@ At a similarity of 0.8 a place differs with probability 0.2; that more than 31
 of 64 do has a probability of 2e-7.
 
 Documents with equal sets are one node. Buckets are not paired out: members
-meet a few leaders first; what is then in one component needs no more tests,
-and only members of different components in one bucket are compared further,
-all of them. Documents without words are linked with nothing, nor are rows
+meet their bucket's leaders first; what is then in one component needs no more
+tests, and only members of different components are compared further, all of
+them. Documents without words are linked with nothing, nor are rows
 without an id; repeated rows and ids are nodes by their sets; an empty table
 gives no rows.
 """
@@ -34,7 +34,7 @@ from tidemark.session import cut_lineage
 PLACES, CHUNKS = 64, 16
 WIDTH = PLACES // CHUNKS
 DISTANCE = 2 * CHUNKS - 1
-LEADERS = 4
+LEADERS = 2
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -188,6 +188,17 @@ def starred(ordered: DataFrame) -> DataFrame:
     return ordered.select("key", "node").mapInArrow(work, "key long, node long, leaders array<long>")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have `percent` of their union in common."""
+    small, large = sorted((len(x), len(y)))
+    if 100 * small < percent * large:
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes that lie within the signature distance and, on full sets, within the similarity."""
 
@@ -200,13 +211,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             kept = []
             for n in np.flatnonzero(close):
                 x, y = (np.frombuffer(columns[c][int(n)].as_py(), np.uint64) for c in ("_set_a", "_set_b"))
-                small, large = sorted((len(x), len(y)))
-                if 100 * small < percent * large:
-                    continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
+                if similar(x, y, percent):
                     kept.append(int(n))
             yield pa.RecordBatch.from_arrays([columns["a"].take(pa.array(kept, pa.int32())),
                                               columns["b"].take(pa.array(kept, pa.int32()))], names=["a", "b"])
@@ -233,56 +238,67 @@ def undecided(members: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(mixed, F.col("key") == F.col("_key")).drop("_key")
 
 
-def remaining_pairs(members: DataFrame, nodes: DataFrame, parts: int, block: int = 8192) -> DataFrame:
-    """All pairs within the distance that share a bucket and lie in different components.
+def linked_within(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between components among (node, component, apart, home, cut, signature, set) of one block.
 
-    A bucket's members outside its most frequent component meet all its
-    members. Large buckets are cut into blocks of about `block` members, each
-    with all of the former. A pair is given by the first key it shares only.
+    Members apart from the largest component meet all members at home in the
+    block. What a link joins needs no further test between its parts.
     """
-    counted = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    top = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("_top"), F.sum("n").alias("_n"))
-    cut = members.join(top.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")).withColumn(
-        "_cuts", F.ceil(F.col("_n") / block).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int")
-    everywhere = F.sequence(F.lit(0), F.col("_cuts") - 1)
-    dealt = cut.select("key", "node", "component", (F.col("component") != F.col("_top")).alias("apart"), own.alias("home"),
-                       F.explode(F.when(F.col("component") != F.col("_top"), everywhere).otherwise(F.array(own))).alias("cut"))
-    signed = dealt.join(nodes.select(F.col("node").alias("_node"), "signature"), F.col("node") == F.col("_node")).drop("_node")
-    ordered = signed.repartition(parts, "key", "cut").sortWithinPartitions("key", "cut", "node")
-
-    def compare(held: list[tuple]) -> list[tuple[int, int]]:
-        node, component, apart, home = (np.array(c) for c in list(zip(*held, strict=True))[2:6])
-        rows = np.frombuffer(b"".join(h[6] for h in held), np.uint16).reshape(-1, PLACES)
-        keys, cut, out = keys_of(rows), held[0][1], []
-        for n in np.flatnonzero(apart):
-            # partners at home in this block; among those apart, each pair once
-            other = (home == cut) & (component != component[n]) & (~apart | (node > node[n]) | (home[n] != cut))
-            close = np.flatnonzero(other)
-            close = close[(rows[close] != rows[n]).sum(axis=1) <= DISTANCE]
-            if len(close):
-                first = keys[n, (keys[close] == keys[n]).argmax(axis=1)].astype(np.int64)
-                out.extend((int(node[n]), int(m)) for m in node[close[first == held[0][0]]])
-        return out
+    node, component, apart, home = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
+    cut = rows[0][4]
+    signature = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(-1, PLACES)
+    sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+    size = np.array([len(s) for s in sets])
+    out = []
+    for n in np.flatnonzero(apart):
+        other = (home == cut) & (component != component[n]) & (~apart | (node > node[n]) | (home[n] != cut))
+        other &= (100 * size >= percent * size[n]) & (100 * size[n] >= percent * size)
+        close = np.flatnonzero(other)
+        for m in close[(signature[close] != signature[n]).sum(axis=1) <= DISTANCE]:
+            if component[m] != component[n] and similar(sets[n], sets[m], percent):
+                out.append((int(node[n]), int(node[m])))
+                component[component == component[m]] = component[n]
+    return out
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
 
-        def told() -> pa.RecordBatch:
-            found = compare(held)
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["x", "y"])
+def remaining_links(left: DataFrame, sets: DataFrame, percent: int, block_bytes: int = 32 << 20) -> DataFrame:
+    """Links (a, b) among documents that share a bucket and lie in different components.
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:2] != held[0][:2]:
-                    yield told()
-                    held = []
-                held.append(row)
-        if held:
-            yield told()
+    Buckets with common members form clusters. A cluster's documents, with
+    their sets, are dealt to blocks of about `block_bytes`; those outside its
+    largest component go to all of its blocks, so all pairs of different
+    components meet and a set moves once if it is in the largest.
+    """
+    firsts = left.groupBy("key").agg(F.min("node").alias("_first")).withColumnRenamed("key", "_key")
+    found = components(left.join(firsts, F.col("key") == F.col("_key")).select(F.col("node").alias("a"), F.col("_first").alias("b")).distinct())
+    clusters = found.select(F.col("node").alias("_node"), F.col("component").alias("cluster"))
+    members = left.select("node", "component").distinct().join(clusters, F.col("node") == F.col("_node")).drop("_node")
+    full = cut_lineage(members.join(sets.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node"))
+    counted = full.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum(F.octet_length("set") + 2 * PLACES + 64).alias("bytes"))
+    top = cut_lineage(counted.groupBy(F.col("cluster").alias("_cluster")).agg(
+        F.max_by("component", F.struct("n", "component")).alias("_top"), F.sum("bytes").alias("_bytes")))
+    total = top.agg(F.sum("_bytes")).first()[0]
+    sized = full.join(top, F.col("cluster") == F.col("_cluster")).withColumn("_cuts", F.ceil(F.col("_bytes") / block_bytes).cast("int"))
+    apart, home = F.col("component") != F.col("_top"), F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int")
+    everywhere = F.sequence(F.lit(0), F.col("_cuts") - 1)
+    dealt = sized.select("cluster", "node", "component", apart.alias("apart"), home.alias("home"),
+                         F.explode(F.when(apart, everywhere).otherwise(F.array(home))).alias("cut"), "signature", "set")
+
+    def work(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("cluster", "ascending"), ("cut", "ascending"), ("node", "ascending")]).select(
+            ["cluster", "node", "component", "apart", "home", "cut", "signature", "set"])
+        out: list[tuple[int, int]] = []
+        held: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if held and (row[0], row[5]) != (held[0][0], held[0][5]):
+                out += linked_within([h[1:] for h in held], percent)
+                held = []
+            held.append(row)
+        out += linked_within([h[1:] for h in held], percent)
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
-    return ordered.select("key", "cut", "node", "component", "apart", "home", "signature").mapInArrow(
-        work, "x long, y long").select(*_pair("x", "y")).distinct()
+    group = F.pmod(F.xxhash64("cluster", "cut"), F.lit(pieces(total, block_bytes)))
+    return dealt.withColumn("group", group).groupBy("group").applyInArrow(work, "a long, b long")
 
 
 def without_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -339,25 +355,10 @@ def near_duplicates(docs: DataFrame, *, words: int, percent: int = 80) -> DataFr
     tested = members.select("node", F.explode("leaders").alias("leader")).select(*_pair("node", "leader")).distinct()
     links = cut_lineage(confirm(tested, sets, percent))
     found = components(links)
-    # Leaders drawn anew for each bucket: they join what the first leaders missed.
     left = cut_lineage(undecided(members, found))
     if not left.isEmpty():
-        drawn = left.withColumn("_draw", F.xxhash64("key", "node"))
-        again = starred(drawn.repartition(parts, "key").sortWithinPartitions("key", "_draw"))
-        fresh = again.select("node", F.explode("leaders").alias("leader"))
-        for name in ("node", "leader"):
-            fresh = fresh.join(found.select(F.col("node").alias("_n"), F.col("component").alias(f"_{name}")),
-                               F.col(name) == F.col("_n"), "left").drop("_n")
-        fresh = fresh.where(F.coalesce("_node", "node") != F.coalesce("_leader", "leader")).select(*_pair("node", "leader")).distinct()
-        fresh = cut_lineage(fresh.join(tested, ["a", "b"], "left_anti"))
-        links = cut_lineage(links.unionByName(confirm(fresh, sets, percent)))
+        links = cut_lineage(links.unionByName(remaining_links(left, sets, percent)))
         found = components(links)
-        left = cut_lineage(undecided(left.select("key", "node"), found))
-        if not left.isEmpty():
-            rest = remaining_pairs(left, nodes, parts)
-            rest = rest.join(tested, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti")
-            links = cut_lineage(links.unionByName(confirm(rest, sets, percent)))
-            found = components(links)
     placed = nodes.select("node", "first").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
         "node", "first", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id")).withColumnRenamed("component", "_component")
