@@ -141,22 +141,43 @@ def repeated_anchors(docs: DataFrame, parts: int) -> DataFrame:
     return ordered.mapInArrow(meet, "key long, place long")
 
 
-def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(part, key, place, before, context) of the wanted anchors of one document per text."""
+def contexts(docs: DataFrame, wanted: DataFrame, combine: bool) -> DataFrame:
+    """(part, key, place, before, context) of the wanted anchors of one document per text.
+
+    With `combine`, a whole context that occurs again in the same slice of
+    texts is told at once: its occurrences come as spans, with no part, their
+    begin as place and their length as before, and one of them stands for all
+    towards other tasks. So a passage that very many documents share makes one
+    row per slice.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1_000_000):
             names = batch.schema.names
             out: list[tuple] = []
+            first: dict[tuple[int, bytes], tuple[int, int] | None] = {}
+            spans: list[tuple[int, int, int]] = []
             for key, text, found in zip(*(batch.column(names.index(c)).to_pylist() for c in ("key", "text", "places")), strict=True):
                 data = (text or "").encode()
                 for place in found:
                     begin = max(0, place - LEFT)
-                    out.append((xxhash.xxh3_64_intdigest(data[place:place + ANCHOR]) >> 1, key, place, place - begin,
-                                data[begin:place + LENGTH]))
+                    context = data[begin:place + LENGTH]
+                    if combine and len(context) >= LENGTH:
+                        known = (place - begin, context)
+                        if known in first:
+                            if (other := first[known]) is not None:
+                                spans.append((*other, other[1] + len(context)))
+                                first[known] = None
+                            spans.append((key, begin, begin + len(context)))
+                            continue
+                        first[known] = key, begin
+                    out.append((xxhash.xxh3_64_intdigest(data[place:place + ANCHOR]) >> 1, key, place, place - begin, context))
                 if len(out) > 20_000:
                     yield batch_of(out)
                     out = []
+            if spans:
+                out += [(None, int(k), int(a), int(b - a), None) for k, a, b in zip(
+                    *merged(*(np.array(c, np.int64) for c in zip(*spans, strict=True))), strict=True)]
             if out:
                 yield batch_of(out)
 
@@ -177,7 +198,9 @@ def split_large(found: DataFrame, most: int) -> DataFrame:
     on one side at least, so contexts that share one meet under the anchor
     with that much before it or with that much after it.
     """
+    # The contexts are cut again rather than stored: they come from the texts without an exchange.
     large = found.groupBy("part").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(F.col("part").alias("_large"))
+    large = near(cut_lineage(large), F.lit(8))
     half = LEFT // 2
     joined = found.join(large, F.col("part") == F.col("_large"), "left")
     after = F.when(F.octet_length("context") - F.col("before") >= ANCHOR + half,
@@ -211,8 +234,8 @@ def intervals(shared: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
             stack.append([length, begin])
 
 
-def maximal_repeats(before: np.ndarray, rows: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(group, occurrence, bytes before the anchor, bytes from it) of the repeats of at least `length` bytes.
+def maximal_repeats(before: np.ndarray, rows: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(occurrences, bytes before the anchor of each, bytes from it) of each group of repeats of at least `length` bytes.
 
     A group lists all occurrences that extend as far as another one in it.
     """
@@ -230,8 +253,6 @@ def maximal_repeats(before: np.ndarray, rows: list[bytes], length: int) -> tuple
     by_left = np.argsort(left.view(f"S{LEFT}").ravel(), kind="stable")
     rank = np.empty(n, np.int64)
     rank[by_left] = np.arange(n)
-    groups, members, reach_left, reach_right = [], [], [], []
-    group = 0
     for depth, first, last in intervals(shared, ANCHOR):
         own = order[first:last + 1]
         own = own[np.argsort(rank[own])]
@@ -240,14 +261,7 @@ def maximal_repeats(before: np.ndarray, rows: list[bytes], length: int) -> tuple
         reach = np.maximum(np.concatenate([[0], beside]), np.concatenate([beside, [0]]))
         long = reach + depth >= length
         if long.any():
-            k = int(long.sum())
-            groups.append(np.full(k, group))
-            members.append(own[long])
-            reach_left.append(reach[long])
-            reach_right.append(np.full(k, depth))
-            group += 1
-    empty = np.zeros(0, np.int64)
-    return tuple(np.concatenate([empty, *x]) for x in (groups, members, reach_left, reach_right))
+            yield own[long], reach[long], depth
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -261,11 +275,27 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def repeats(docs: DataFrame, *, per_part: int = 50_000, most: int = 100_000) -> DataFrame:
+def merged(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans (key, begin, end) with those of a key that overlap or touch made one."""
+    if not len(key):
+        return key, begin, end
+    keys, number = np.unique(key, return_inverse=True)
+    apart = int(end.max()) + 2  # lays the texts side by side on one line
+    order = np.argsort(begin + number * apart, kind="stable")
+    number = number[order]
+    begin, end = begin[order] + number * apart, np.maximum.accumulate(end[order] + number * apart)
+    first = np.concatenate([[True], begin[1:] > end[:-1]])
+    number, last = number[first], np.concatenate([first[1:], [True]])
+    return keys[number], begin[first] - number * apart, end[last] - number * apart
+
+
+def repeats(docs: DataFrame, *, joined: bool = False, per_part: int = 25_000, most: int = 20_000) -> DataFrame:
     """(key, group, begin, end) of all occurrences of maximal repeats in the distinct texts of `docs` (doc_id, text, key).
 
-    `group` numbers the repeats of one task. Tasks hold about `per_part`
-    contexts of LEFT + LENGTH bytes; anchors with more than `most` are dealt on.
+    `group` numbers the repeats of one task. With `joined` a task's spans of a
+    text are made one where they overlap, under its first group. Tasks hold
+    about `per_part` contexts of LEFT + LENGTH bytes; anchors with more than
+    `most` are dealt on.
     """
     size = docs.select(F.sum(F.octet_length("text"))).first()[0]
     places = repeated_anchors(docs, pieces(size, 64 << 20))
@@ -273,22 +303,49 @@ def repeats(docs: DataFrame, *, per_part: int = 50_000, most: int = 100_000) ->
     wanted = places.groupBy("key").agg(F.collect_list("place").alias("places"))
     wanted = cut_lineage(wanted.join(firsts, F.col("key") == F.col("_k")).select("key", "first", "places"))
     count = wanted.agg(F.sum(F.size("places"))).first()[0]
-    found = cut_lineage(contexts(docs, wanted))
+    everything = contexts(docs, wanted, joined)
+    found = everything.where(F.col("part").isNotNull())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         held = pa.Table.from_batches(batches)
+        # an occurrence dealt by two strings may come twice and must not meet itself
+        order = np.lexsort((held["place"].to_numpy(), held["key"].to_numpy()))
+        pairs = np.stack([held[c].to_numpy()[order] for c in ("key", "place")])
+        held = held.take(pa.array(order[np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])]))
         before, place, key = (held[c].to_numpy() for c in ("before", "place", "key"))
-        group, member, left, right = maximal_repeats(before, held["context"].to_pylist(), LENGTH)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[member]), pa.array(group), pa.array(place[member] - left), pa.array(place[member] + right)],
-            names=["key", "group", "begin", "end"])
+        found = maximal_repeats(before, held["context"].to_pylist(), LENGTH)
+        if joined:
+            # All spans of an occurrence hold its anchor, so together they reach as far as any does.
+            left, right = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+            for member, reach, depth in found:
+                left[member] = np.maximum(left[member], reach)
+                right[member] = np.maximum(right[member], depth)
+            told = right > 0
+            of, begin, end = merged(key[told], (place - left)[told], (place + right)[told])
+            yield batch_of(of, np.zeros(len(of), np.int64), begin, end)
+            return
+        out: list[tuple[np.ndarray, ...]] = []
+        for group, (member, reach, depth) in enumerate(found):
+            out.append((key[member], np.full(len(member), group), place[member] - reach, place[member] + depth))
+            if sum(len(o[0]) for o in out[-64:]) > 100_000 or len(out) > 10_000:
+                yield batch_of(*(np.concatenate(c) for c in zip(*out, strict=True)))
+                out = []
+        if out:
+            yield batch_of(*(np.concatenate(c) for c in zip(*out, strict=True)))
+
+    def batch_of(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "group", "begin", "end"])
 
     dealt = split_large(found, most).repartition(pieces(count, per_part), "part")
-    return dealt.select("key", "place", "before", "context").mapInArrow(
-        scan, "key long, group long, begin long, end long")
+    scanned = dealt.select("key", "place", "before", "context").mapInArrow(scan, "key long, group long, begin long, end long")
+    if not joined:
+        return scanned
+    told = everything.where(F.col("part").isNull())
+    return scanned.unionByName(told.select("key", F.lit(0).cast("long").alias("group"), F.col("place").alias("begin"),
+                                           (F.col("place") + F.col("before")).alias("end")))
 
 
 def remove_repeats(docs: DataFrame, found: DataFrame, *, carry: list[str]) -> DataFrame:
@@ -298,7 +355,17 @@ def remove_repeats(docs: DataFrame, found: DataFrame, *, carry: list[str]) -> Da
     removed span cut in two.
     """
     copies = docs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    spans = found.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"begin": a, "end": b} for a, b in union([(s["begin"], s["end"]) for s in listed])]
+                     for listed in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))],
+                names=["key", "spans"])
+
+    shape = "key long, spans array<struct<begin: long, end: long>>"
+    spans = found.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans")).mapInArrow(settle, shape)
     told = cut_lineage(spans.withColumnRenamed("key", "_k").join(copies, F.col("_k") == F.col("key"), "full").select(
         F.coalesce("_k", "key").alias("_key"), "spans", F.coalesce("n", F.lit(1)).alias("_copies")))
     told = near(told, F.coalesce(F.size("spans"), F.lit(0)) * 16 + 16)
@@ -338,7 +405,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     held = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"), row.alias("row"))
-    left = remove_repeats(held, repeats(held.select("doc_id", "text", "key")), carry=["text", "row"])
+    left = remove_repeats(held, repeats(held.select("doc_id", "text", "key"), joined=True), carry=["text", "row"])
     left = left.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD))
     changed = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     told = {"text": changed, "n_chars": F.char_length(changed).cast(dict(docs.dtypes).get("n_chars", "long"))}
