@@ -88,21 +88,27 @@ def decode(codes: np.ndarray, functions: int) -> np.ndarray:
     return np.stack([((codes >> (SLOT_BITS * (functions - 1 - n))) & (2 * half - 1)) - half for n in range(functions)], axis=1)
 
 
-def probes(places: np.ndarray, slots: np.ndarray, most: int) -> np.ndarray:
-    """Per query the numbers of the `most` buckets likeliest to hold neighbours."""
+def probes(places: np.ndarray, slots: np.ndarray, sizes: np.ndarray, most: int, least: int) -> list[np.ndarray]:
+    """Per query the numbers of the `most` buckets likeliest to hold neighbours, and further ones until they hold `least` rows."""
     score = np.zeros((len(places), len(slots)))
     for n in range(slots.shape[1]):
         below = slots[None, :, n] - places[:, None, n]  # the slot begins so far above the query
         score += np.square(np.maximum(np.maximum(below, -1.0 - below), 0.0))
     most = min(most, len(slots))
-    return np.argpartition(score, most - 1, axis=1)[:, :most]
+    out = list(np.argpartition(score, most - 1, axis=1)[:, :most])
+    for n, chosen in enumerate(out):
+        if sizes[chosen].sum() < least:
+            order = np.argsort(score[n], kind="stable")
+            out[n] = order[:np.searchsorted(np.cumsum(sizes[order]), least) + 1]
+    return out
 
 
 @dataclass
 class Directory:
-    """Non-empty buckets of a table in order of code, with the first group and the number of groups of each."""
+    """Non-empty buckets of a table in order of code: rows, first group and number of groups of each."""
 
     codes: np.ndarray
+    sizes: np.ndarray
     first: np.ndarray
     splits: np.ndarray
 
@@ -111,12 +117,13 @@ def plan_groups(counted: dict[int, list[tuple[int, int]]], tables: int, group_ro
     """Groups of about `group_rows` vectors: neighbouring buckets share one, a large bucket gets several of its own."""
     out, group = [], 0
     for table in range(tables):
-        codes, first, splits, filled = [], [], [], 0
+        codes, sizes, first, splits, filled = [], [], [], [], 0
         for code, n in sorted(counted.get(table, [])):
             cuts = -(-n // group_rows)
             if filled and (cuts > 1 or filled + n > group_rows):
                 group, filled = group + 1, 0
             codes.append(code)
+            sizes.append(n)
             first.append(group)
             splits.append(cuts)
             if cuts > 1:
@@ -124,21 +131,24 @@ def plan_groups(counted: dict[int, list[tuple[int, int]]], tables: int, group_ro
             else:
                 filled += n
         group += bool(filled)
-        out.append(Directory(np.array(codes, np.int64), np.array(first, np.int64), np.array(splits, np.int64)))
+        out.append(Directory(np.array(codes, np.int64), np.array(sizes, np.int64), np.array(first, np.int64), np.array(splits, np.int64)))
     return out
 
 
 def best(ids: np.ndarray, rows: np.ndarray, pick: np.ndarray, query: np.ndarray, rough: np.ndarray, reach: float,
-         k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k rows of `pick` with the largest product, ties to the smaller id.
+         k: int, spare: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k rows of `pick` with the largest product, ties to the smaller id, each id once; `spare` rows repeat an id.
 
     `rough` holds single-precision products, `reach` bounds their error; what
     they leave in reach of the k-th place is ranked in double precision.
     """
-    if len(pick) > k:
-        pick = pick[rough >= np.partition(rough, -k)[-k] - 2 * reach]
+    if len(pick) > k + spare:
+        pick = pick[rough >= np.partition(rough, -k - spare)[-k - spare] - 2 * reach]
     exact = (rows[pick] * query).sum(axis=1)
-    order = np.lexsort((ids[pick], -exact))[:k]
+    order = np.lexsort((ids[pick], -exact))
+    if spare:
+        order = order[np.sort(np.unique(ids[pick][order], return_index=True)[1])]
+    order = order[:k]
     return ids[pick][order], exact[order]
 
 
@@ -213,7 +223,7 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, tables: int = 4,
                 slots = decode(known.codes, functions)
                 for begin in range(0, len(ids), 256):
                     places = hashing.places(table, unit[begin:begin + 256])
-                    for n, chosen in enumerate(probes(places, slots, visits)):
+                    for n, chosen in enumerate(probes(places, slots, known.sizes, visits, k + 1)):
                         by_group: dict[int, list[int]] = {}
                         for bucket in chosen:
                             for part in range(known.splits[bucket]):
@@ -229,8 +239,11 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, tables: int = 4,
     def scan(held: pa.Table, asking: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if held.num_rows and asking.num_rows:
+            # rows alike in id and vector count once
+            held = held.group_by(["code", "id", "vector"]).aggregate([])
             known, bucket = np.unique(held["code"].to_numpy(), return_inverse=True)
             ids = held["id"].to_numpy()
+            spare = len(ids) - len(np.unique(ids))
             rows = np.frombuffer(b"".join(held["vector"].to_pylist()), np.float64).reshape(-1, length)
             single, reach = rows.astype(np.float32), 1e-5 * np.sqrt(np.square(rows).sum(axis=1).max())
             queries, wanted = asking["id"].to_numpy(), asking["codes"]
@@ -244,7 +257,7 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, tables: int = 4,
                     pick = np.flatnonzero(asked[bucket] & (ids != query))
                     if len(pick):
                         found_ids, scores = best(ids, rows, pick, vector, products[n][pick],
-                                                 reach * np.sqrt(np.square(vector).sum()), k)
+                                                 reach * np.sqrt(np.square(vector).sum()), k, spare)
                         out_q.append(np.full(len(found_ids), query, np.int64))
                         out_v.append(found_ids)
                         out_s.append(scores)

@@ -70,7 +70,7 @@ class EliasFano:
         out = np.zeros(len(at), np.uint64)
         of = at // BLOCK
         starts = np.flatnonzero(np.diff(of, prepend=-1))
-        for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+        for a, b in zip(starts, np.append(starts, len(at))[1:], strict=True):
             out[a:b] = self.block(int(of[a]))[at[a:b] - of[a] * BLOCK]
         return out
 
@@ -81,7 +81,7 @@ class EliasFano:
         # The block before the first entry that is not less holds the answer, or that entry is it.
         of = np.searchsorted(self.first, targets, side="left") - 1
         starts = np.flatnonzero(np.diff(of, prepend=-2))
-        for a, b in zip(starts, [*starts[1:], len(targets)], strict=True):
+        for a, b in zip(starts, np.append(starts, len(targets))[1:], strict=True):
             n = int(of[a])
             if n >= 0:
                 values = self.block(n)
