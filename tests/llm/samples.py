@@ -34,7 +34,7 @@ def document_rows(seed: int = 5) -> list[tuple]:
         texts.append(f"{sentence(rng, 'en', 30)}\n{passage} {sentence(rng, 'en', 25)}")
     texts += ["ab " * 400, sentence(rng, "de", 20_000), base, base, "Tab\tand hard  space\x1cÉcole ünï 中文 \U0001f600 it's",
               "word", "Word", "### 12 %%%", "   \n", "", None, None]
-    rows = [(n, t, None if n % 11 == 5 else ("de" if n % 3 == 0 and n < 40 else "en"), None if n % 13 == 4 else f"src{n % 4}",
+    rows = [(n, t, None if n % 11 == 5 else ("de" if n % 3 == 0 and n < 40 or n == 57 else "en"), None if n % 13 == 4 else f"src{n % 4}",
              len(t or ""), 7, n % 3, 0.5, "row", "mix") for n, t in enumerate(texts)]
     return [*rows, rows[3], rows[3], rows[-1]]
 
