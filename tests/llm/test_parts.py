@@ -1,14 +1,16 @@
 """The pieces operators are made of, against plain versions."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.samples import tables
-from tidemark.llm import digests, packing, repeats, sharding
+from tidemark.llm import digests, neardups, packing, repeats, sharding
 from tidemark.llm.components import components
 from tidemark.llm.neardups import DISTANCE, PLACES, keys_of
 from tidemark.llm.queries import QUERIES
@@ -182,3 +184,42 @@ def test_neighbours(spark, tmp_path):
     few = tables(spark, str(tmp_path / "few"), embeddings=rows[:3])
     assert len(QUERIES["op3_multiprobe_neighbours"](spark, few).collect()) == 2
     assert QUERIES["op3_multiprobe_neighbours"](spark, tables(spark, str(tmp_path / "none"), embeddings=[])).collect() == []
+
+
+def test_remaining_documents_meet_by_bucket_in_bounded_blocks(spark, monkeypatch):
+    # 60 texts that share a third of their shingles, in one chain of buckets, and three pairs of duplicates among them
+    rng = np.random.default_rng(9)
+    common, texts = rng.integers(1, 1 << 62, 150, np.uint64), []
+    for _ in range(60):
+        texts.append(np.unique(np.concatenate([common, rng.integers(1, 1 << 62, 150, np.uint64)])))
+    for n in (3, 20, 41):
+        texts.append(np.unique(np.concatenate([texts[n][:-5], rng.integers(1, 1 << 62, 5, np.uint64)])))
+    signature = neardups.signatures(texts)
+    sets = spark.createDataFrame([(n, s.tobytes(), t.tobytes()) for n, (s, t) in enumerate(zip(signature, texts, strict=True))],
+                                 "node long, signature binary, set binary")
+    listed = [(int(k), n) for n, row in enumerate(keys_of(signature).view(np.int64)) for k in row]
+    often = Counter(k for k, _ in listed)
+    left = spark.createDataFrame([(k, n, n) for k, n in listed if often[k] > 1], "key long, node long, component long")
+    whole, plain, most = sum(t.nbytes for t in texts), neardups.linked_within, 25_000
+
+    def bounded(rows, percent):
+        held = sum(len(r[-1]) for r in rows)
+        assert held < 4 * most < whole, held
+        return plain(rows, percent)
+
+    monkeypatch.setattr(neardups, "linked_within", bounded)
+    found = components(neardups.remaining_links(left, sets, 80, most)).collect()
+    assert {(r.node, r.component) for r in found if r.node != r.component} == {(60, 3), (61, 20), (62, 41)}
+
+
+def test_block_pairs_meet_every_two_members_once(spark):
+    rows = [(key, n, n) for key, size in ((1, 23), (2, 5), (3, 1)) for n in range(size)]
+    members = spark.createDataFrame(rows, "key long, node long, component long")
+
+    def pair(held):
+        assert len(held) <= 23
+        across = held[0][3] != held[-1][3]
+        return [(a[1], b[1]) for i, a in enumerate(held) for b in held[i + 1:] if not across or a[3] != b[3]]
+
+    told = Counter((r.a, r.b) if r.a < r.b else (r.b, r.a) for r in neardups.in_block_pairs(members, F.lit(1), 4, pair, ("a", "b")).collect())
+    assert told == Counter((a, b) for size in (23, 5) for a in range(size) for b in range(a + 1, size))

@@ -10,21 +10,22 @@ At a similarity of 0.8 a place differs with probability 0.2; that more than 31
 of 64 do has a probability of 2e-7.
 
 Documents with equal sets are one node. Buckets are not paired out: members
-meet their bucket's leaders first; what is then in one component needs no more
-tests, and only members of different components are compared further, all of
-them. Documents without words are linked with nothing, nor are rows
+meet their bucket's leaders first, in large ones other leaders while that joins
+many; what is then in one component needs no more tests, and only members of
+different components that share a bucket are compared further, all of them,
+in pairs of bounded blocks. Documents without words are linked with nothing, nor are rows
 without an id; repeated rows and ids are nodes by their sets; an empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import near, pieces, slices, text_key
@@ -35,6 +36,7 @@ PLACES, CHUNKS = 64, 16
 WIDTH = PLACES // CHUNKS
 DISTANCE = 2 * CHUNKS - 1
 LEADERS = 2
+MANY = 1000  # components in a bucket that are worth another turn of leaders
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -238,67 +240,137 @@ def undecided(members: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(mixed, F.col("key") == F.col("_key")).drop("_key")
 
 
+def first_shared(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The first of the keys `own` that each row of `keys` shares."""
+    return own[(keys == own).argmax(axis=1)]
+
+
+def met(key: int, node: np.ndarray, component: np.ndarray, home: np.ndarray, signature: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows) of one task of a bucket that lie in different components and within the signature distance.
+
+    A pair is told under the first key that it shares only. The rows are of
+    one block, or of two whose own pairs meet elsewhere; `component` may
+    change between two rows.
+    """
+    keys = keys_of(signature).view(np.int64)
+    across = home[0] != home[-1]
+    for n in range(len(node) - 1):
+        # rows come by block, so of two blocks the second is what later rows differ in
+        later = np.flatnonzero((component[n + 1:] != component[n]) & (not across or home[n + 1:] != home[n])) + n + 1
+        later = later[(signature[later] != signature[n]).sum(axis=1) <= DISTANCE]
+        if len(later):
+            later = later[first_shared(keys[later], keys[n]) == key]
+        if len(later):
+            yield n, later
+
+
 def linked_within(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links between components among (node, component, apart, home, cut, signature, set) of one block.
+    """Links between components among (key, node, component, home, signature, set) of one task of a bucket.
 
-    Members apart from the largest component meet all members at home in the
-    block. What a link joins needs no further test between its parts.
+    What a link joins needs no further test between its parts.
     """
-    node, component, apart, home = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
-    cut = rows[0][4]
-    signature = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(-1, PLACES)
-    sets = [np.frombuffer(r[6], np.uint64) for r in rows]
-    size = np.array([len(s) for s in sets])
+    node, component, home = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+    signature = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, PLACES)
+    sets = [np.frombuffer(r[5], np.uint64) for r in rows]
     out = []
-    for n in np.flatnonzero(apart):
-        other = (home == cut) & (component != component[n]) & (~apart | (node > node[n]) | (home[n] != cut))
-        other &= (100 * size >= percent * size[n]) & (100 * size[n] >= percent * size)
-        close = np.flatnonzero(other)
-        for m in close[(signature[close] != signature[n]).sum(axis=1) <= DISTANCE]:
+    for n, later in met(rows[0][0], node, component, home, signature):
+        for m in later:
             if component[m] != component[n] and similar(sets[n], sets[m], percent):
                 out.append((int(node[n]), int(node[m])))
                 component[component == component[m]] = component[n]
     return out
 
 
-def remaining_links(left: DataFrame, sets: DataFrame, percent: int, block_bytes: int = 32 << 20) -> DataFrame:
-    """Links (a, b) among documents that share a bucket and lie in different components.
+def met_within(rows: list[tuple]) -> list[tuple[int, int]]:
+    """(key, node) of the rows (key, node, component, home, signature) of one task of a bucket that have a pair to test."""
+    node, component, home = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+    signature = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, PLACES)
+    wanted = np.zeros(len(rows), bool)
+    for n, later in met(rows[0][0], node, component, home, signature):
+        wanted[n] = True
+        wanted[later] = True
+    return [(rows[0][0], n) for n in node[wanted].tolist()]
+
 
-    Buckets with common members form clusters. A cluster's documents, with
-    their sets, are dealt to blocks of about `block_bytes`; those outside its
-    largest component go to all of its blocks, so all pairs of different
-    components meet and a set moves once if it is in the largest.
+def in_block_pairs(members: DataFrame, size: Column, block: int, work: Callable[[list[tuple]], list[tuple]], names: tuple[str, str]) -> DataFrame:
+    """What `work` gives for the rows of each task of `members` (key, node, component, ...).
+
+    The members of a bucket are dealt to blocks that hold about `block` of
+    `size`, and every two blocks meet in one task, which holds no more than
+    these two; smaller buckets come one after the other.
     """
-    firsts = left.groupBy("key").agg(F.min("node").alias("_first")).withColumnRenamed("key", "_key")
-    found = components(left.join(firsts, F.col("key") == F.col("_key")).select(F.col("node").alias("a"), F.col("_first").alias("b")).distinct())
-    clusters = found.select(F.col("node").alias("_node"), F.col("component").alias("cluster"))
-    members = left.select("node", "component").distinct().join(clusters, F.col("node") == F.col("_node")).drop("_node")
-    full = cut_lineage(members.join(sets.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node"))
-    counted = full.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum(F.octet_length("set") + 2 * PLACES + 64).alias("bytes"))
-    top = cut_lineage(counted.groupBy(F.col("cluster").alias("_cluster")).agg(
-        F.max_by("component", F.struct("n", "component")).alias("_top"), F.sum("bytes").alias("_bytes")))
-    total = top.agg(F.sum("_bytes")).first()[0]
-    sized = full.join(top, F.col("cluster") == F.col("_cluster")).withColumn("_cuts", F.ceil(F.col("_bytes") / block_bytes).cast("int"))
-    apart, home = F.col("component") != F.col("_top"), F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int")
-    everywhere = F.sequence(F.lit(0), F.col("_cuts") - 1)
-    dealt = sized.select("cluster", "node", "component", apart.alias("apart"), home.alias("home"),
-                         F.explode(F.when(apart, everywhere).otherwise(F.array(home))).alias("cut"), "signature", "set")
-
-    def work(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("cluster", "ascending"), ("cut", "ascending"), ("node", "ascending")]).select(
-            ["cluster", "node", "component", "apart", "home", "cut", "signature", "set"])
-        out: list[tuple[int, int]] = []
+    sized = members.withColumn("_size", size)
+    buckets = sized.groupBy(F.col("key").alias("_key")).agg(F.sum("_size").alias("_total"), F.count("*").alias("_n"))
+    buckets = cut_lineage(buckets.select("_key", "_n", F.ceil(F.col("_total") / block).cast("int").alias("_blocks")).where(F.col("_n") > 1))
+    told = buckets.agg(F.sum(F.col("_n") * F.col("_blocks")), F.sum(F.col("_n") * F.col("_n")), F.sum(F.col("_blocks") * (F.col("_blocks") + 1) / 2)).first()
+    # as many parts as rows or comparisons ask for, and no more than there are tasks
+    parts = max(pieces(told[0], 50_000), min(pieces(told[1], 20_000_000), int(told[2] or 1), 2000))
+    home = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    placed = members.join(near(buckets, F.lit(24)), F.col("key") == F.col("_key")).withColumn("home", home)
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("other")
+    columns = ["key", "node", "component", "home", *[c for c in members.columns if c not in ("key", "node", "component")]]
+    dealt = placed.select(*columns, other).withColumn("low", F.least("home", "other")).withColumn("high", F.greatest("home", "other"))
+    ordered = dealt.drop("other").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "home", "node")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-            if held and (row[0], row[5]) != (held[0][0], held[0][5]):
-                out += linked_within([h[1:] for h in held], percent)
-                held = []
-            held.append(row)
-        out += linked_within([h[1:] for h in held], percent)
-        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+        at = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) < 2 or at[1] != at[2] and held[0][3] == held[-1][3]:
+                return
+            if found := work(held):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=list(names))
 
-    group = F.pmod(F.xxhash64("cluster", "cut"), F.lit(pieces(total, block_bytes)))
-    return dealt.withColumn("group", group).groupBy("group").applyInArrow(work, "a long, b long")
+        for batch in batches:
+            listed = [[v.as_buffer() for v in c] if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns]
+            for row in zip(*listed, strict=True):
+                if (task := (row[0], *row[-2:])) != at:
+                    yield from done()
+                    at, held = task, []
+                held.append(row[:-2])
+        yield from done()
+
+    return ordered.mapInArrow(stream, ", ".join(f"{n} long" for n in names))
+
+
+def remaining_links(left: DataFrame, sets: DataFrame, percent: int, block_bytes: int = 32 << 20, block_rows: int = 8192) -> DataFrame:
+    """Links (a, b) among documents that share a bucket and lie in different components.
+
+    Buckets are taken one by one, in pairs of blocks. Signatures go first:
+    only members with a pair within the distance, under the first key it
+    shares, bring their sets to the bucket.
+    """
+    marked = sets.select(F.col("node").alias("_node"), "signature")
+    members = left.select("key", "node", "component").join(marked, F.col("node") == F.col("_node")).drop("_node")
+    close = cut_lineage(in_block_pairs(members, F.lit(1), block_rows, met_within, ("key", "node")).distinct())
+    whole = sets.select(F.col("node").alias("_node"), "signature", "set")
+    placed = left.select(F.col("node").alias("_member"), "component").distinct()
+    wanted = close.join(placed, F.col("node") == F.col("_member")).join(whole, F.col("node") == F.col("_node")).select(
+        "key", "node", "component", "signature", "set")
+    size = F.octet_length("set") + 2 * PLACES + 64
+    return in_block_pairs(wanted, size, block_bytes, lambda rows: linked_within(rows, percent), ("a", "b"))
+
+
+def led_again(left: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Links (a, b) of members with the nearest of the leaders that the buckets have in this turn; one test a member at most."""
+    marked = sets.select(F.col("node").alias("_n"), "signature")
+    leaders = left.groupBy(F.col("key").alias("_key")).agg(
+        F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("leader"))
+    pairs = left.join(leaders, F.col("key") == F.col("_key")).where(F.col("component") != F.col("leader.component")).select(
+        "node", F.col("leader.node").alias("leader")).distinct()
+    signed = pairs.join(marked.withColumnRenamed("signature", "x"), F.col("node") == F.col("_n")).drop("_n").join(
+        marked.withColumnRenamed("signature", "y"), F.col("leader") == F.col("_n")).select("node", "leader", "x", "y")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, PLACES) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x != y).sum(axis=1), pa.int64())],
+                                             names=["node", "leader", "distance"])
+
+    measured = signed.mapInArrow(measure, "node long, leader long, distance long").where(F.col("distance") <= DISTANCE)
+    nearest = measured.groupBy("node").agg(F.min_by("leader", F.struct("distance", "leader")).alias("leader"))
+    return confirm(nearest.select(*_pair("node", "leader")).distinct(), sets, percent)
 
 
 def without_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -356,6 +428,19 @@ def near_duplicates(docs: DataFrame, *, words: int, percent: int = 80) -> DataFr
     links = cut_lineage(confirm(tested, sets, percent))
     found = components(links)
     left = cut_lineage(undecided(members, found))
+    turn = 0
+    # Large groups of copies that the leaders are not of: other leaders, as long as they join many.
+    while left.groupBy("key").agg(F.countDistinct("component").alias("n")).where(F.col("n") > MANY).limit(1).count():
+        turn += 1
+        more = cut_lineage(led_again(left, sets, percent, turn))
+        links = cut_lineage(links.unionByName(more))
+        if not (joined := more.count()):
+            break
+        waiting = left.select("node").distinct().count()
+        found = components(links)
+        left = cut_lineage(undecided(members, found))
+        if 20 * joined < waiting:
+            break
     if not left.isEmpty():
         links = cut_lineage(links.unionByName(remaining_links(left, sets, percent)))
         found = components(links)
