@@ -1,13 +1,16 @@
 """The pieces operators are made of, against plain versions."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tests.llm.samples import tables
 from tidemark.llm import digests, neardups, packing, repeats, sharding
@@ -223,3 +226,20 @@ def test_block_pairs_meet_every_two_members_once(spark):
 
     told = Counter((r.a, r.b) if r.a < r.b else (r.b, r.a) for r in neardups.in_block_pairs(members, F.lit(1), 4, pair, ("a", "b")).collect())
     assert told == Counter((a, b) for size in (23, 5) for a in range(size) for b in range(a + 1, size))
+
+
+def packed_like_tokenizers(spark, texts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool = Tokenizer.from_file(path)
+    ids = {n: np.array([*tool.encode(t, add_special_tokens=False).ids, 0], "<u4") for n, t in enumerate(texts)}
+    found = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    told = Counter()
+    for r in found:
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes()))
+        told[r.doc_id] += r.length
+    assert told == Counter({n: len(i) for n, i in ids.items()})
+
+
+def test_very_long_runs_of_blanks_are_packed(spark):
+    packed_like_tokenizers(spark, ["before" + " " * 2_000_000 + "after", "\n" * 1_200_000 + "word", "a\t \r\n" * 3 + "\xa0 \x85" * 500_000 + "b",
+                                   " " * 49_999 + "short", " " * 50_000])

@@ -29,6 +29,9 @@ from tidemark.llm.common import slices
 CAPACITY = 1024
 # Letters on whose classes Unicode versions may differ.
 UNUSUAL = re.compile(r"[^\x00-\u024f]")
+# tiktoken's pattern engine runs out of stack on a run of some 10**6 blanks; 2 * 10**5 are fine.
+BLANKS = 50_000
+RUN = re.compile(rf"(?<!\s)\s{{{BLANKS}}}")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value of byte-level vocabularies
 
 
@@ -44,8 +47,8 @@ class Ids:
 
     The vocabulary file is a byte-level one of the tokenizers library. Its
     ids are in merge order, so tiktoken gives the same ids from the same file,
-    five times as fast; a text with unusual letters goes to tokenizers itself.
-    Special tokens in a text are ordinary text.
+    five times as fast; a text with unusual letters or a very long run of
+    blanks goes to tokenizers itself. Special tokens in a text are ordinary text.
     """
 
     def __init__(self, vocabulary: str):
@@ -58,7 +61,7 @@ class Ids:
         self.fast = tiktoken.Encoding("pack", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def of(self, text: str) -> bytes:
-        if text.isascii() or not UNUSUAL.search(text):
+        if (text.isascii() or not UNUSUAL.search(text)) and not (len(text) > BLANKS and RUN.search(text)):
             return np.array(self.fast.encode_ordinary(text), "<u2").tobytes()
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
