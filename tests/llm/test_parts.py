@@ -243,3 +243,9 @@ def packed_like_tokenizers(spark, texts):
 def test_very_long_runs_of_blanks_are_packed(spark):
     packed_like_tokenizers(spark, ["before" + " " * 2_000_000 + "after", "\n" * 1_200_000 + "word", "a\t \r\n" * 3 + "\xa0 \x85" * 500_000 + "b",
                                    " " * 49_999 + "short", " " * 50_000])
+
+
+def test_added_tokens_in_a_text_get_their_own_id(spark):
+    assert np.frombuffer(packing.Ids(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()).of(
+        "a <|endoftext|> b"), "<u2").tolist() == [64, 220, 50256, 275]
+    packed_like_tokenizers(spark, ["a <|endoftext|> b", "<|endoftext|>" * 700, "中文 <|endoftext|>\n\n", "<|endoftext| >", "\xe9<|endoftext|>x"])

@@ -48,20 +48,20 @@ class Ids:
     The vocabulary file is a byte-level one of the tokenizers library. Its
     ids are in merge order, so tiktoken gives the same ids from the same file,
     five times as fast; a text with unusual letters or a very long run of
-    blanks goes to tokenizers itself. Special tokens in a text are ordinary text.
+    blanks, or with an added token written out, goes to tokenizers itself.
     """
 
     def __init__(self, vocabulary: str):
         self.tool = Tokenizer.from_str(vocabulary)
-        self.tool.encode_special_tokens = True
         letters = byte_of_letter()
-        special = {t["content"] for t in json.loads(vocabulary).get("added_tokens", [])}
+        special = self.added = {t["content"] for t in json.loads(vocabulary).get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): n for token, n in json.loads(vocabulary)["model"]["vocab"].items()
                  if token not in special}
         self.fast = tiktoken.Encoding("pack", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def of(self, text: str) -> bytes:
-        if (text.isascii() or not UNUSUAL.search(text)) and not (len(text) > BLANKS and RUN.search(text)):
+        unusual = not text.isascii() and UNUSUAL.search(text) or len(text) > BLANKS and RUN.search(text)
+        if not unusual and not any(token in text for token in self.added):
             return np.array(self.fast.encode_ordinary(text), "<u2").tobytes()
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
