@@ -249,3 +249,28 @@ def test_added_tokens_in_a_text_get_their_own_id(spark):
     assert np.frombuffer(packing.Ids(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()).of(
         "a <|endoftext|> b"), "<u2").tolist() == [64, 220, 50256, 275]
     packed_like_tokenizers(spark, ["a <|endoftext|> b", "<|endoftext|>" * 700, "中文 <|endoftext|>\n\n", "<|endoftext| >", "\xe9<|endoftext|>x"])
+
+
+@pytest.mark.parametrize("size", [200, 231, 320, 700])
+def test_a_very_frequent_passage_is_no_single_task(spark, monkeypatch, size):
+    # the passage has its own surroundings in every text; some share a part of it or more than it
+    rng = random.Random(size)
+    passage, longer = rng.randbytes(size).hex()[:size], rng.randbytes(90).hex()
+    texts = [f"{rng.randbytes(rng.randint(0, 200)).hex()}{passage}{rng.randbytes(rng.randint(0, 200)).hex()}" for _ in range(60)]
+    texts += [f"{n}{rng.randbytes(40).hex()}{longer}{passage}{longer[:40 + 20 * n]}" for n in range(3)]
+    texts += [f"{rng.randbytes(60).hex()}{passage[:size - n]}{rng.randbytes(60).hex()}" for n in (1, 20, 90)]
+    texts += [passage, passage[1:]]
+    docs = spark.createDataFrame([(n, t, n) for n, t in enumerate(texts)], "doc_id long, text string, key long").repartition(7)
+    plain = repeats.maximal_repeats
+
+    def bounded(before, rows, length):
+        assert len(rows) < 50, len(rows)
+        return plain(before, rows, length)
+
+    monkeypatch.setattr(repeats, "maximal_repeats", bounded)
+    found = {}
+    for r in repeats.repeats(docs, joined=True, per_part=10, most=5).collect():
+        found.setdefault(r.key, []).append((r.begin, r.end))
+    seen = Counter(t[k:k + 200] for t in texts for k in range(len(t) - 199))
+    expected = {n: repeats.union([(k, k + 200) for k in range(len(t) - 199) if seen[t[k:k + 200]] > 1]) for n, t in enumerate(texts)}
+    assert {n: repeats.union(spans) for n, spans in found.items()} == {n: spans for n, spans in expected.items() if spans}

@@ -37,7 +37,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 
 
 class Rolling:
-    """Hashes of all ANCHOR-grams of an array of bytes, by powers of an odd base modulo 2**64."""
+    """Hashes of all ANCHOR-grams of an array of bytes, by powers of an odd base modulo 2**64; also of longer strings."""
 
     def __init__(self, most: int):
         def powers(base: int) -> np.ndarray:
@@ -45,10 +45,10 @@ class Rolling:
 
         self.power, self.inverse = powers(BASE), powers(pow(BASE, -1, 1 << 64))
 
-    def hashes(self, data: np.ndarray) -> np.ndarray:
+    def hashes(self, data: np.ndarray, length: int = ANCHOR) -> np.ndarray:
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(data.astype(np.uint64) * self.power[:len(data)], out=total[1:])
-        out = (total[ANCHOR:] - total[:-ANCHOR]) * self.inverse[:len(data) - ANCHOR + 1]
+        out = (total[length:] - total[:-length]) * self.inverse[:len(data) - length + 1]
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(32)
@@ -191,24 +191,110 @@ def contexts(docs: DataFrame, wanted: DataFrame, combine: bool) -> DataFrame:
     return chosen.select("key", "text", "places").mapInArrow(cut, "part long, key long, place long, before long, context binary")
 
 
-def split_large(found: DataFrame, most: int) -> DataFrame:
-    """Deals anchors with more than `most` contexts by a longer string.
+def split_large(found: DataFrame, most: int, joined: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Deals anchors with more than `most` contexts by a longer string; with `joined`, strings that are still as frequent come apart.
 
     A string of LENGTH bytes around an anchor reaches LEFT / 2 bytes beyond it
     on one side at least, so contexts that share one meet under the anchor
-    with that much before it or with that much after it.
+    with that much before it (side 2) or with that much after it (side 1).
     """
     # The contexts are cut again rather than stored: they come from the texts without an exchange.
     large = found.groupBy("part").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(F.col("part").alias("_large"))
-    large = near(cut_lineage(large), F.lit(8))
+    large = cut_lineage(large)
+    if large.isEmpty():
+        return found, None
+    large = near(large, F.lit(8))
     half = LEFT // 2
-    joined = found.join(large, F.col("part") == F.col("_large"), "left")
-    after = F.when(F.octet_length("context") - F.col("before") >= ANCHOR + half,
-                   F.xxhash64(F.lit(1), F.expr(f"substring(context, before + 1, {ANCHOR + half})")))
-    ahead = F.when(F.col("before") >= half,
-                   F.xxhash64(F.lit(2), F.expr(f"substring(context, before + 1 - {half}, {ANCHOR + half})")))
-    dealt = F.when(F.col("_large").isNull(), F.array("part")).otherwise(F.array_compact(F.array(after, ahead)))
-    return joined.select(F.explode(dealt).alias("part"), "key", "place", "before", "context")
+    joined_on = F.col("part") == F.col("_large")
+    after = F.when(F.octet_length("context") - F.col("before") >= ANCHOR + half, F.struct(
+        F.xxhash64(F.lit(1), F.expr(f"substring(context, before + 1, {ANCHOR + half})")).alias("part"), F.lit(1).alias("side")))
+    ahead = F.when(F.col("before") >= half, F.struct(
+        F.xxhash64(F.lit(2), F.expr(f"substring(context, before + 1 - {half}, {ANCHOR + half})")).alias("part"), F.lit(2).alias("side")))
+    strings = F.explode(F.array_compact(F.array(after, ahead))).alias("dealt")
+    columns = ["key", "place", "before", "context"]
+    on = found.join(large, joined_on).select(strings, *columns).select("dealt.part", "dealt.side", *columns)
+    rest = found.join(large, joined_on, "left_anti")
+    if not joined:
+        return rest.unionByName(on.drop("side")), None
+    hot = on.groupBy("part").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(F.col("part").alias("_hot"))
+    hot = cut_lineage(hot)
+    if hot.isEmpty():
+        return rest.unionByName(on.drop("side")), None
+    hot = near(hot, F.lit(8))
+    return (rest.unionByName(on.join(hot, F.col("part") == F.col("_hot"), "left_anti").drop("side")),
+            on.join(hot, F.col("part") == F.col("_hot")).drop("_hot"))
+
+
+def repeated_windows(hot: DataFrame, parts: int) -> DataFrame:
+    """(key, group, begin, end) of the strings of LENGTH bytes around the anchors of `hot` (part, side, ...) that occur twice.
+
+    For strings so frequent that no task can hold their contexts. All repeats
+    of an occurrence hold its anchor, so the strings of LENGTH bytes in them
+    that do so cover them whole. Such a string that occurs twice in a batch is
+    told there, and one row stands for it towards other tasks, where the rows
+    stream by in the order of their hashes. A string of side 1 has LEFT / 2
+    bytes and more after the anchor, one of side 2 less.
+    """
+    shape = "part long, window long, key long, begin long, end long"
+    names = ["part", "window", "key", "begin", "end"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling(2000 * (LEFT + LENGTH))
+        shift = np.arange(LEFT + 1)  # bytes after the anchor
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                some = batch.slice(first, 2000)
+                part, side, key, place, before = (some.column(n).to_numpy() for n in range(5))
+                rows = some.column(5).to_pylist()
+                sizes = np.array([len(r) for r in rows])
+                begins = np.cumsum(sizes) - sizes
+                data = np.frombuffer(b"".join(rows), np.uint8)
+                if len(data) < LENGTH:
+                    continue
+                hashes = rolling.hashes(data, LENGTH).view(np.int64)
+                offset = before[:, None] - LEFT + shift
+                usable = (offset >= 0) & (offset + LENGTH <= sizes[:, None]) & ((shift >= LEFT // 2) == (side == 1)[:, None])
+                row, column = np.nonzero(usable)
+                window = hashes[begins[row] + offset[row, column]]
+                order = np.lexsort((window, part[row]))
+                row, column, window = row[order], column[order], window[order]
+                begin = place[row] - LEFT + shift[column]
+                same = (window[1:] == window[:-1]) & (part[row[1:]] == part[row[:-1]])
+                again = np.concatenate([[False], same])[:len(row)]
+                met = again | np.concatenate([same, [False]])[:len(row)]
+                spans = merged(key[row[met]], begin[met], begin[met] + LENGTH)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (
+                    (part[row[~again]], spans[0]), (window[~again], spans[1]), (key[row[~again]], spans[0]),
+                    (begin[~again], spans[1]), (np.zeros(int((~again).sum()), np.int64), spans[2]))], names=names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, waiting = None, False  # the row before; whether it has met no other yet
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            spans = rows[4] > 0
+            if spans.any():
+                yield batch_of(rows[2, spans], rows[3, spans], rows[4, spans])
+            rows = rows[:, ~spans]
+            if not rows.shape[1]:
+                continue
+            if last is not None:
+                rows = np.concatenate([last[:, None], rows], axis=1)
+            same = (rows[:2, 1:] == rows[:2, :-1]).all(axis=0)
+            met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            if last is not None:
+                met[0] = waiting and met[0]
+            waiting = True if len(same) == 0 else not same[-1]
+            last = rows[:, -1]
+            if met.any():
+                yield batch_of(*merged(rows[2, met], rows[3, met], rows[3, met] + LENGTH))
+
+    def batch_of(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        columns = (key, np.zeros(len(key), np.int64), begin, end)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "group", "begin", "end"])
+
+    dealt = hot.select("part", F.col("side").cast("long"), "key", "place", "before", "context").mapInArrow(deal, shape)
+    ordered = dealt.repartition(parts, "part", "window").sortWithinPartitions("part", "window", "key", "begin")
+    return ordered.mapInArrow(meet, "key long, group long, begin long, end long")
 
 
 def common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -295,7 +381,9 @@ def repeats(docs: DataFrame, *, joined: bool = False, per_part: int = 25_000, mo
     `group` numbers the repeats of one task. With `joined` a task's spans of a
     text are made one where they overlap, under its first group. Tasks hold
     about `per_part` contexts of LEFT + LENGTH bytes; anchors with more than
-    `most` are dealt on.
+    `most` are dealt on by longer strings, and with `joined` by all strings of
+    LENGTH bytes where those are as frequent, so that no task holds such a
+    part. Without `joined`, such a part is scanned whole.
     """
     size = docs.select(F.sum(F.octet_length("text"))).first()[0]
     places = repeated_anchors(docs, pieces(size, 64 << 20))
@@ -339,10 +427,13 @@ def repeats(docs: DataFrame, *, joined: bool = False, per_part: int = 25_000, mo
     def batch_of(*columns: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "group", "begin", "end"])
 
-    dealt = split_large(found, most).repartition(pieces(count, per_part), "part")
+    dealt, hot = split_large(found, most, joined)
+    dealt = dealt.repartition(pieces(count, per_part), "part")
     scanned = dealt.select("key", "place", "before", "context").mapInArrow(scan, "key long, group long, begin long, end long")
     if not joined:
         return scanned
+    if hot is not None:
+        scanned = scanned.unionByName(repeated_windows(hot, pieces(count, per_part)))
     told = everything.where(F.col("part").isNull())
     return scanned.unionByName(told.select("key", F.lit(0).cast("long").alias("group"), F.col("place").alias("begin"),
                                            (F.col("place") + F.col("before")).alias("end")))
