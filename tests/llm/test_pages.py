@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tests.llm.samples import sentence, tables
-from tidemark.llm.extraction import extract, in_order
+from tidemark.llm.extraction import extract, in_order, main_blocks
 from tidemark.llm.queries import QUERIES
 
 
@@ -53,3 +53,23 @@ def test_identical_pages_keep_their_text(spark, made):
 def test_longest_order():
     assert in_order([1, 5, 2, 3]) == {0, 2, 3}
     assert in_order([]) == set()
+
+
+@pytest.mark.parametrize("html", [
+    "<body><div id=page class='layout sidebar-right'>{nav}{body}{side}</div></body>",
+    "<body><nav>Home</nav><article class='post social'>{body}</article>{side}</body>",
+    "<body><form id=aspnetForm action=x>{nav}<div>{body}</div>{side}</form></body>",
+    "<body><div class='search-page'><div class='widget'>{nav}<main>{body}</main>{side}</div></div></body>",
+    "<body><div class='page sidebar-right'>{nav}{body}<div id=comments>{long}</div></div></body>",
+    "<body>{nav}<div>{body}</div><div class=comments>{long}</div></body>",
+    "<body>{nav}{body}<article class='comment'><p>{long}</article></body>",
+])
+def test_a_class_name_drops_no_article(html):
+    parts = {"nav": "<div class=menu><a href=/>Home</a> <a href=/n>News</a></div>", "body": "<h1>The title</h1><p>One two three four.<p>Five <a href=x>six</a> seven eight.",
+             "side": "<div class=sidebar>Other pages</div>", "long": "A comment that is longer than the page. " * 20}
+    assert "\n".join(b["text"] for b in main_blocks(html.format(**parts), {})) == "The title\nOne two three four.\nFive six seven eight."
+
+
+def test_a_page_of_dropped_names_keeps_its_text():
+    assert [b["text"] for b in main_blocks("<div class=promo>One</div><div class=share>Two</div><script>x</script>", {})] == ["One", "Two"]
+    assert main_blocks("<nav>Home</nav><div hidden>x</div>", {}) == []
