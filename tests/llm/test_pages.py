@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.samples import sentence, tables
-from tidemark.llm.extraction import extract, in_order, main_blocks
+from tidemark.llm.extraction import domain, extract, in_order, main_blocks
 from tidemark.llm.queries import QUERIES
 
 
@@ -73,3 +74,23 @@ def test_a_class_name_drops_no_article(html):
 def test_a_page_of_dropped_names_keeps_its_text():
     assert [b["text"] for b in main_blocks("<div class=promo>One</div><div class=share>Two</div><script>x</script>", {})] == ["One", "Two"]
     assert main_blocks("<nav>Home</nav><div hidden>x</div>", {}) == []
+
+
+def test_small_hosts_have_templates(spark, made):
+    hosts = [*["three.example"] * 3, *["seven.example"] * 7, "a.small.example", "b.small.example:80", "c.small.example", "c.small.example",
+             "www.one.co.uk", "www.two.co.uk", "alone.example"]
+    rows = [(n, f"http://{host}/{n}", made[2 * n][0]) for n, host in enumerate(hosts)]
+    found = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    # the last three are alone; marked articles tell their text all the same
+    assert {r.page_id: r.text for r in found} == {n: made[2 * n][1] for n in range(len(hosts))}
+    rows = [(n, f"http://{host}/{n}", made[2 * n + 1][0]) for n, host in enumerate(hosts)]
+    found = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {n: found[n] for n in range(14)} == {n: made[2 * n + 1][1] for n in range(14)}
+    assert all(found[n] == f"Always the same words here\n{made[2 * n + 1][1]}" for n in range(14, 17))
+
+
+def test_registered_domains(spark):
+    names = {"a.b.example.com": "example.com", "example.com": "example.com", "x.shop.co.uk": "shop.co.uk", "shop.co.uk:8080": "shop.co.uk",
+             "u:p@www.x.de": "x.de", "10.1.2.3:80": "10.1.2.3", "localhost": "localhost", "": ""}
+    df = spark.createDataFrame([(n,) for n in names], "host string")
+    assert {r.host: r.name for r in df.select("host", domain(F.col("host")).alias("name")).collect()} == names

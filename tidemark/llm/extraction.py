@@ -11,8 +11,10 @@ adverts, forms and comments, and only those of the article or main part where
 the page marks one.
 
 A null or empty page has the empty text; pages without a url form one host;
-hosts with fewer than `least` pages have no template and go by structure
-alone; repeated rows are read as often as they occur.
+pages of hosts with fewer than `least` pages join those of the same registered
+domain in one template, and where these are fewer too go by structure alone,
+as nothing shows what such pages share; repeated rows are read as often as they
+occur.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import near, slices
 from tidemark.llm.markup import Piece, blocks, read
 from tidemark.session import cut_lineage
 
+SECOND_LEVEL = "ac|biz|co|com|edu|gob|gov|go|info|ltd|me|mil|ne|net|nom|or|org|plc|sch"
 LABEL = 16  # a text of so many words is read word by word
 
 
@@ -49,9 +52,22 @@ def tokens(pieces: list[Piece]) -> list[tuple[str, int]]:
     return out
 
 
-def with_host(pages: DataFrame) -> DataFrame:
+def domain(host: Column) -> Column:
+    """The registered domain: the last two labels, three after a second-level one such as co.uk; an address as a whole."""
+    name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
+    return F.when(name.rlike(r"^[\d.]+$|^\["), name).otherwise(F.when(
+        name.rlike(rf"\.({SECOND_LEVEL})\.[a-z][a-z]$"), F.regexp_extract(name, r"([^.]+\.[^.]+\.[^.]+)$", 1)).otherwise(
+        F.regexp_extract(name, r"([^.]+\.[^.]+|[^.]*)$", 1)))
+
+
+def with_host(pages: DataFrame, least: int) -> DataFrame:
+    """The pages with the host whose template they share: of hosts with fewer than `least` pages, "*." and their registered domain."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    return pages.select("page_id", "url", "html", host.alias("host"))
+    hosted = pages.select("page_id", "url", "html", host.alias("host"))
+    large = hosted.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.xxhash64("host").alias("_large"))
+    large = near(cut_lineage(large), F.lit(16))
+    site = F.when(F.col("_large").isNotNull(), F.col("host")).otherwise(F.concat(F.lit("*."), domain(F.col("host"))))
+    return hosted.join(large, F.xxhash64("host") == F.col("_large"), "left").select("page_id", "url", "html", site.alias("host"))
 
 
 def vectors(pages: DataFrame) -> DataFrame:
@@ -104,7 +120,7 @@ def classes(pages: DataFrame, least: int, support: float, smallest: int) -> Data
     """
     seen = vectors(pages)
     hosts = pages.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("_pages")).where(F.col("_pages") >= least)
-    frequent = seen.where(F.col("pages") >= 3).join(hosts, F.col("host") == F.col("_host")).where(
+    frequent = seen.where(F.col("pages") >= least).join(hosts, F.col("host") == F.col("_host")).where(
         F.col("pages") >= support * F.col("_pages"))
     grouped = frequent.groupBy("host", "_pages", "pages", "times", "high", "low").agg(
         F.array_sort(F.collect_list(F.struct(F.col("at.place").alias("place"), "token"))).alias("tokens"))
@@ -239,14 +255,14 @@ def main_blocks(page: str | None, template: dict[str, int]) -> list[dict]:
     return [{"text": b.text, "path": b.path, "slot": slots.get(b.begin, -1)} for b in kept]
 
 
-def extract(pages: DataFrame, *, least: int = 8, support: float = 0.8, smallest: int = 3, agreed: float = 0.95) -> DataFrame:
+def extract(pages: DataFrame, *, least: int = 3, support: float = 0.8, smallest: int = 3, agreed: float = 0.95) -> DataFrame:
     """page_id, url, text, n_chars, slots of every row of `pages` (page_id, url, html).
 
     `support` is the share of a host's pages that a class must be on,
     `smallest` the tokens it must have. Templates go to the pages by
     broadcast while all of them are small, else by a join on the host.
     """
-    hosted = with_host(pages)
+    hosted = with_host(pages, least)
     found = cut_lineage(classes(hosted, least, support, smallest))
 
     def to_pages(df: DataFrame) -> DataFrame:
