@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.samples import document_rows, tables
+from tidemark.llm import language
 from tidemark.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -212,3 +213,12 @@ def test_language_of_held_out_texts(spark, small):
         has_letter = any(c.isalpha() for c in rows[r.doc_id][1] or "")
         assert (r.lang_pred in ("de", "en")) if has_letter else (r.lang_pred == "und")
         assert 0 <= r.score <= 1
+
+
+def test_equal_and_narrow_sizes_are_rejected(spark):
+    same = b"alpha beta gamma delta " * 40
+    docs = spark.createDataFrame([(1, "zq"), (2, "alpha beta gamma"), (3, "omega alpha " * 30)], "doc_id long, text string")
+    found = language.identify(docs, {"x": same, "y": same}).collect()
+    assert [(r.lang_pred, r.rejected) for r in found] == [("x", True)] * 3
+    told = language.identify(docs, {"x": same, "y": b"nothing of the kind, not a word " * 30}).collect()
+    assert [(r.lang_pred, r.rejected) for r in told if r.doc_id == 2] == [("x", False)]

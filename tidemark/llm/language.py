@@ -56,9 +56,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, level: int = 6,
     """Adds lang_pred, score, rejected to the columns `carry` of `docs`.
 
     Every whole text is compressed once per language. `margin` is the least
-    advantage over the second best language, as a share of its size in whole
-    bytes, below which the answer is rejected; a text too short for that share
-    to make a byte is not. Equal sizes go to the more frequent language.
+    advantage over the second best language, as a share of its size and a byte
+    at least, below which the answer is rejected. Equal sizes are told as the
+    more frequent language, and rejected.
     Memory stays at one batch and one dictionary per language.
     """
     carry = [c for c in docs.columns if c != "text"] if carry is None else carry
@@ -81,7 +81,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, level: int = 6,
                 return tools[sizes[0][1]][0], 1.0, False
             # Two to the bits saved is how much likelier one language is; tempered, as bits overstate it.
             score = 1.0 / sum(math.exp(min(0.0, -(size - best) * 0.5)) for size, _ in sizes)
-            return tools[sizes[0][1]][0], score, (sizes[1][0] - best) < int(margin * sizes[1][0])
+            return tools[sizes[0][1]][0], score, (sizes[1][0] - best) < max(1, margin * sizes[1][0])
 
         for batch in slices(batches, "text"):
             names = batch.schema.names
