@@ -6,6 +6,7 @@ import random
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, size long, key long, score double, row string, mix string"
 PAGES = "page_id long, url string, html string, host string, classes string, text string"
+BENCHMARK = "item_id long, text string, doc_id long, score double, rank int, item long"
 EMBEDDINGS = "vec_id long, embedding array<float>, label int, score double, rank int"
 
 VOCABULARY = {
@@ -39,8 +40,9 @@ def document_rows(seed: int = 5) -> list[tuple]:
     return [*rows, rows[3], rows[3], rows[-1]]
 
 
-def tables(spark, folder: str, documents=None, pages=None, embeddings=None) -> str:
-    for name, schema, rows in (("documents", DOCUMENTS, documents), ("pages", PAGES, pages), ("embeddings", EMBEDDINGS, embeddings)):
+def tables(spark, folder: str, documents=None, pages=None, embeddings=None, benchmark=None) -> str:
+    for name, schema, rows in (("documents", DOCUMENTS, documents), ("pages", PAGES, pages), ("embeddings", EMBEDDINGS, embeddings),
+                               ("benchmark", BENCHMARK, benchmark)):
         if rows is not None:
             spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/{name}.parquet")
     return folder

@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import digests, extraction, language, mixing, neardups, neighbours, packing, repeats, scoring, sharding
+from tidemark.llm import (
+    clusters,
+    digests,
+    extraction,
+    jaccard,
+    language,
+    lexical,
+    mixing,
+    neardups,
+    neighbours,
+    oracles,
+    packing,
+    repeats,
+    scoring,
+    sharding,
+)
 from tidemark.llm.common import crc_of_id, table, text_key
 from tidemark.session import ensure
 
@@ -67,6 +82,21 @@ def op10_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_sparse_product_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components and numbers of links at 90% of common 3-word shingles."""
+    return jaccard.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op12_presence_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_subvector_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every usable vector after five rounds of 40 centroids."""
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -78,7 +108,10 @@ def _add(query: Callable[[SparkSession, str], DataFrame], oracle: str | None = N
 
 
 for _query in (
-    op1_template_extraction, op2_elias_fano_scores, op3_multiprobe_neighbours, op4_water_fill_mix, op5_hamming_near_duplicates, op6_cost_balanced_packing, op7_min_cost_flow_shards,
-    op8_interval_tree_repeats, op9_improbable_features, op10_zstd_language,
+    op1_template_extraction, op2_elias_fano_scores, op3_multiprobe_neighbours, op4_water_fill_mix, op5_hamming_near_duplicates,
+    op6_cost_balanced_packing, op7_min_cost_flow_shards, op8_interval_tree_repeats, op9_improbable_features, op10_zstd_language,
 ):
     _add(_query)
+_add(op11_sparse_product_join, oracles.ngram_links())
+_add(op12_presence_mask_search, oracles.ranked_search())
+_add(op13_subvector_centroids, oracles.centroids())
