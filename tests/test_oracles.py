@@ -17,9 +17,6 @@ QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 # Without rows on the smallest tables.
 EMPTY_WHEN_SMALL = {"se1_hardcoded_secret", "in13_affected_services"}
-# Long plans whose parts other tests cover.
-LONG = {"nx3", "nx4", "nx5", "nx6", "nx7", "st3", "sc8", "tm19", "in17", "in16", "in11", "rt13", "ro15", "tm12", "tm18", "tm20", "sc3"}
-
 
 def chosen():
     if os.environ.get("TIDEMARK_ALL"):
@@ -27,7 +24,7 @@ def chosen():
     seen, names = set(), []
     for name in QUERIES:
         family = name.split("_")[0]
-        if family in seen or family in LONG or name in EMPTY_WHEN_SMALL:
+        if family in seen or name in EMPTY_WHEN_SMALL:
             continue
         seen.add(family)
         names.append(name)

@@ -49,3 +49,18 @@ def test_changed_hashes_shuffle_without_texts(spark):
     text = plan(spark, "ix1_diff_snapshot")
     exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
     assert exchanges and all("content#" not in line for line in exchanges)
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if re.match(r"(tm(1|2|6|8|9|1[0-9]|2[0-245])|nx\d|ix10)_", n)
+                                  and n not in ("tm11_unused_imports", "tm9_repeated_documents")])
+def test_trees_are_dealt_by_file_once(spark, name):
+    """Landing deals the files; after it, only what is not by file (copies, totals, source texts) moves."""
+    text = plan(spark, name)
+    assert len(re.findall(r"Exchange (?!Hashed|Single)", text)) <= 3
+
+
+def test_page_trees_land_with_one_exchange(spark):
+    from tidemark.plans import bindings
+
+    text = bindings.page_trees(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 1

@@ -1,20 +1,20 @@
 """Line-rule findings: every rule runs in one pass over each file's lines.
 
 Rules compile to column expressions, so a scan is an explode and a filter with
-no join and no shuffle. A file none of whose text can match is dropped before
-its lines are built.
+no join and no shuffle. From every pattern the literals are derived that it
+cannot match without (`functions/literals.py`): a file that holds none of them
+is never split into lines, and a pattern only runs on lines that hold its own.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import text as tx
+from tidemark.functions import literals, text as tx
 from tidemark.operators.endpoints import decorator_endpoints
 from tidemark.schemas import require_columns
 
@@ -148,26 +148,15 @@ def explode_lines(files: DataFrame, where: Column | None = None) -> DataFrame:
     )
 
 
-# What can make a pattern that fits one line fail on the text around it:
-# negative lookaround, atomic and possessive groups, anchors of the whole text.
-LINE_BOUND = re.compile(r"\(\?(?:!|<!|>)|[*+?}]\+|\\[AzZG]")
+def _needs(rule: LineRule) -> frozenset[str] | None:
+    """Literals of which a line holds one if the rule finds something in it."""
+    return literals.all_of([literals.any_of([p for p, _ in rule.any_of]), *[literals.literals(p) for p in rule.all_of]])
 
 
-def _some_line_may_match(rules: Sequence[LineRule], text: Column) -> Column:
-    """Whether any rule's line pattern may be found in some line of the text.
-
-    All line breaks become line feeds first, so `^` and `$` see the same lines
-    as the split does. A pattern that other lines could keep from matching is
-    not tested here: its files always pass.
-    """
-    patterns = [pattern for rule in rules for pattern, _ in rule.any_of]
-    if any(LINE_BOUND.search(p) for p in patterns):
-        return F.lit(True)
-    unified = F.regexp_replace(text, tx.TEXT_BREAKS, "\n")
-    found = F.lit(False)
-    for pattern in patterns:
-        found = found | unified.rlike("(?m)" + pattern)
-    return found
+def _some_line_may_match(rules: Sequence[LineRule], lowered: Column) -> Column:
+    """Whether the lower-case text holds a literal without which no rule finds anything."""
+    told = [_needs(rule) for rule in rules]
+    return literals.may_hold(lowered, frozenset().union(*told) if told and all(told) else None)
 
 
 def _file_condition(rule: LineRule, text: Column) -> Column | None:
@@ -187,11 +176,17 @@ def _titled(template: str, label: Column) -> Column:
     return F.concat(*pieces)
 
 
-def _hit(rule: LineRule, line: Column, gate: Column | None) -> Column:
-    label = F.coalesce(*[F.when(line.rlike(pattern), F.lit(name)) for pattern, name in rule.any_of])
-    matched = label.isNotNull() if gate is None else gate & label.isNotNull()
+def _label(rule: LineRule, line: Column, lowered: Column, gate: Column | None) -> Column:
+    """The label of the first pattern that names a finding, null for none; patterns only run on lines that hold what they need."""
+    worth = literals.may_hold(lowered, _needs(rule))
+    if gate is not None:
+        worth = worth & gate
     for pattern in rule.all_of:
-        matched = matched & line.rlike(pattern)
+        worth = worth & line.rlike(pattern)
+    return F.when(worth, F.coalesce(*[F.when(line.rlike(pattern), F.lit(name)) for pattern, name in rule.any_of]))
+
+
+def _hit(rule: LineRule, line: Column, label: Column) -> Column:
     if rule.evidence == "@line":
         evidence = tx.clip(tx.strip(line), EVIDENCE_CHARS)
     elif rule.evidence == "@group":
@@ -200,7 +195,7 @@ def _hit(rule: LineRule, line: Column, gate: Column | None) -> Column:
     else:
         evidence = F.lit(rule.evidence).cast("string")
     return F.when(
-        matched,
+        label.isNotNull(),
         F.struct(
             F.lit(rule.category).alias("category"), F.lit(rule.type).alias("type"),
             F.lit(rule.severity).alias("severity"), F.lit(rule.confidence).alias("confidence"),
@@ -214,14 +209,17 @@ def scan_rules(files: DataFrame, rules: Sequence[LineRule] = LINE_RULES) -> Data
     """Findings of every rule on every line, in one scan of the files."""
     require_columns(files, "repository_id", "path", "content")
     conditions = {i: _file_condition(rule, F.col("content")) for i, rule in enumerate(rules)}
-    gates = [condition.alias(f"_gate{i}") for i, condition in conditions.items() if condition is not None]
-    gated = files.select("repository_id", "path", "content", *gates)
-    lines = explode_lines(gated, _some_line_may_match(rules, F.col("content")))
-    hits = F.array_compact(F.array(*[
-        _hit(rule, F.col("line"), None if conditions[i] is None else F.col(f"_gate{i}"))
-        for i, rule in enumerate(rules)
-    ]))
-    found = lines.select("repository_id", "file_path", "line_no", F.explode(hits).alias("hit"))
+    gates = {i: f"_gate{i}" for i, condition in conditions.items() if condition is not None}
+    lowered = files.select(
+        "repository_id", "path", "content", *[conditions[i].alias(name) for i, name in gates.items()], F.lower("content").alias("_text"))
+    lines = explode_lines(lowered, _some_line_may_match(rules, F.col("_text"))).select(
+        "repository_id", "file_path", "line_no", "line", F.lower("line").alias("_low"), *gates.values())
+    labels = {i: f"_label{i}" for i in range(len(rules))}
+    told = lines.select("repository_id", "file_path", "line_no", "line", *[
+        _label(rule, F.col("line"), F.col("_low"), F.col(gates[i]) if i in gates else None).alias(labels[i]) for i, rule in enumerate(rules)])
+    # no filter on the labels: pushed below, it would run every pattern a second time
+    hits = F.array_compact(F.array(*[_hit(rule, F.col("line"), F.col(labels[i])) for i, rule in enumerate(rules)]))
+    found = told.select("repository_id", "file_path", "line_no", F.explode(hits).alias("hit"))
     return found.select(
         "repository_id", "hit.category", "hit.type", "hit.severity", "hit.confidence", "hit.title", "hit.evidence",
         "file_path", F.lit(None).cast("string").alias("symbol_name"), F.col("line_no").alias("start_line"),

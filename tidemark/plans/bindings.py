@@ -7,6 +7,7 @@ in front of an oracle query.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.plans import sample_trees
+from tidemark.session import deal_by, land_by
 from tidemark.sources.tables import read_table
 
 CTES: dict[str, str] = {}
@@ -205,61 +207,109 @@ UNION ALL BY NAME
 SELECT {_duck_columns(METHOD_COLUMNS)} FROM (SELECT *, unnest(range(0, p_size % 18 + 1)) AS i FROM part)"""
 
 
-# --- parts as parsed files ---------------------------------------------------------
+# --- documents as parsed files -------------------------------------------------------
 
-AST_LANGUAGE = "CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' ELSE 'java' END"
-NODE_DDL = (
-    "array<struct<node_id:int,parent_id:int,pre:int,post:int,type:string,is_named:boolean,field:string,"
-    "text:string,start_byte:int,end_byte:int,start_line:int,end_line:int>>"
-)
+# A document is a file, each of its lines one construct of the file's language:
+# which one, and the digit in its names, follows from the length of the line.
+AST_LANGUAGES = ("python", "javascript", "java")
+AST_LANGUAGE = "CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' ELSE 'java' END"
+AST_REPOSITORY = "concat('Brand#', doc_id % 25 + 1)"
+AST_FILE = "concat('d', doc_id)"
+AST_NUMBER = "length(line) % CASE doc_id % 3 " + " ".join(
+    f"WHEN {n} THEN {len(sample_trees.constructs(name))}" for n, name in enumerate(AST_LANGUAGES)) + " END"
+NODE_FIELDS = {
+    "node_id": "int", "parent_id": "int", "pre": "int", "post": "int", "type": "string", "is_named": "boolean", "field": "string",
+    "text": "string", "start_byte": "int", "end_byte": "int", "start_line": "int", "end_line": "int",
+}
+UNIT_SIZES = ("size", "ticks", "bytes", "lines")
+NODE_DDL = "array<struct<" + ",".join(f"{name}:{kind}" for name, kind in NODE_FIELDS.items()) + ">>"
+UNIT_DDL = f"array<struct<nodes:{NODE_DDL},source:string,size:int,ticks:int,bytes:int,lines:int>>"
+
+
+def _placed_units(spark, sf) -> DataFrame:
+    """One row per line: its construct, digit, and how much of the file lies before it; dealt by file."""
+    docs = wide(spark, sf, "documents", "doc_id", "text").select(
+        "doc_id", F.expr(AST_REPOSITORY).alias("repository_id"), F.expr(AST_FILE).alias("file_path"),
+        F.expr(AST_LANGUAGE).alias("language"), "text")
+    lines = deal_by(docs, "repository_id", "file_path").select(
+        "doc_id", "repository_id", "file_path", "language", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    known = {name: F.from_json(F.lit(json.dumps(sample_trees.units(name))), UNIT_DDL) for name in AST_LANGUAGES}
+    of_language = F.when(F.col("language") == "python", known["python"]).when(
+        F.col("language") == "javascript", known["javascript"]).otherwise(known["java"])
+    chosen = lines.select(
+        "repository_id", "file_path", "language", "pos", F.expr("cast(length(line) % 10 as string)").alias("digit"),
+        F.element_at(of_language, F.expr(AST_NUMBER) + 1).alias("unit"))
+    before = Window.partitionBy("repository_id", "file_path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return chosen.select("*", *[F.coalesce(F.sum(f"unit.{name}").over(before), F.lit(0)).cast("int").alias(f"past_{name}")
+                                for name in UNIT_SIZES])
 
 
 def ast_nodes(spark, sf) -> DataFrame:
-    part = wide(spark, sf, "part", "p_partkey", "p_brand").select(
-        F.col("p_brand").alias("repository_id"), F.concat(F.lit("f"), "p_partkey").alias("file_path"),
-        F.expr(AST_LANGUAGE).alias("language"), (F.col("p_partkey") % 10).cast("string").alias("_digit"),
-    )
-    shapes = {name: F.from_json(F.lit(sample_trees.nodes_json(name)), NODE_DDL) for name in sample_trees.TREES}
-    chosen = F.when(F.col("language") == "python", shapes["python"]).when(
-        F.col("language") == "javascript", shapes["javascript"]).otherwise(shapes["java"])
-    return part.select("*", F.inline(chosen)).withColumn("text", F.replace("text", F.lit("#"), "_digit")).drop("_digit")
+    """The trees of all documents, landed by file."""
+    placed = _placed_units(spark, sf)
+    file = ["repository_id", "file_path", "language"]
+    nodes = placed.select(*file, "digit", *[f"past_{name}" for name in UNIT_SIZES], F.inline("unit.nodes"))
+    nodes = nodes.select(
+        *file, (F.col("past_size") + F.col("node_id")).alias("node_id"),
+        F.when(F.col("parent_id") > 0, F.col("past_size") + F.col("parent_id")).otherwise(0).alias("parent_id"),
+        (F.col("past_ticks") + F.col("pre") + 1).alias("pre"), (F.col("past_ticks") + F.col("post") + 1).alias("post"),
+        "type", "is_named", "field", F.replace("text", F.lit("#"), "digit").alias("text"),
+        (F.col("past_bytes") + F.col("start_byte")).alias("start_byte"), (F.col("past_bytes") + F.col("end_byte")).alias("end_byte"),
+        (F.col("past_lines") + F.col("start_line") + 1).alias("start_line"), (F.col("past_lines") + F.col("end_line") + 1).alias("end_line"))
+    total = {name: F.sum(f"unit.{name}").cast("int") for name in UNIT_SIZES}
+    none = F.lit(None)
+    roots = placed.groupBy(*file).agg(*[value.alias(name) for name, value in total.items()]).select(
+        *file, F.lit(0).alias("node_id"), none.cast("int").alias("parent_id"), F.lit(0).alias("pre"), (F.col("ticks") + 1).alias("post"),
+        F.lit("program").alias("type"), F.lit(True).alias("is_named"), none.cast("string").alias("field"), F.lit("").alias("text"),
+        F.lit(0).alias("start_byte"), F.col("bytes").alias("end_byte"), F.lit(1).alias("start_line"), (F.col("lines") + 1).alias("end_line"))
+    return land_by(nodes.unionByName(roots), "repository_id", "file_path", dealt=True)
 
 
 def ast_files(spark, sf) -> DataFrame:
-    source = F.coalesce(*[F.when(F.col("language") == name, F.lit(sample_trees.source_text(name)))
-                          for name in sample_trees.TREES])
-    return table(spark, sf, "part").select(
-        F.col("p_brand").alias("repository_id"), F.concat(F.lit("f"), "p_partkey").alias("path"),
-        F.expr(AST_LANGUAGE).alias("language"), (F.col("p_partkey") % 10).cast("string").alias("_digit"),
-    ).withColumn("content", F.replace(source, F.lit("#"), "_digit")).drop("_digit")
-
-
-def _duck_shape() -> str:
-    shape = ('[{"node_id":"INTEGER","parent_id":"INTEGER","pre":"INTEGER","post":"INTEGER","type":"VARCHAR",'
-             '"is_named":"BOOLEAN","field":"VARCHAR","text":"VARCHAR","start_byte":"INTEGER","end_byte":"INTEGER",'
-             '"start_line":"INTEGER","end_line":"INTEGER"}]')
-    parts = [f"SELECT '{name}' AS language, unnest(from_json('{sample_trees.nodes_json(name)}', '{shape}'), "
-             "recursive := true)" for name in sample_trees.TREES]
-    return " UNION ALL ".join(parts)
+    """The source texts of the same files."""
+    pieces = F.array_sort(F.collect_list(F.struct("pos", F.replace("unit.source", F.lit("#"), "digit").alias("piece"))))
+    return _placed_units(spark, sf).groupBy("repository_id", F.col("file_path").alias("path"), "language").agg(
+        F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("content"))
 
 
-CTES["ast_shapes"] = _duck_shape()
-CTES["ast_nodes"] = f"""
-SELECT p_brand AS repository_id, 'f' || p_partkey AS file_path, s.* REPLACE
-       (replace(s.text, '#', (p_partkey % 10)::VARCHAR) AS text)
-FROM part JOIN ast_shapes s ON s.language = {AST_LANGUAGE}"""
+def _duck_units() -> str:
+    shape = "[{" + ",".join(f'"{name}":"{kind.upper().replace("STRING", "VARCHAR").replace("INT", "INTEGER")}"'
+                            for name, kind in NODE_FIELDS.items()) + "}]"
+    rows = []
+    for name in AST_LANGUAGES:
+        for number, unit in enumerate(sample_trees.units(name)):
+            sizes = ", ".join(f"{unit[key]} AS {key}" for key in UNIT_SIZES)
+            rows.append(f"SELECT '{name}' AS language, {number} AS number, {sizes}, {_sql_text(unit['source'])} AS source, "
+                        f"from_json({_sql_text(json.dumps(unit['nodes']))}, '{shape}') AS nodes")
+    return " UNION ALL ".join(rows)
 
 
 def _sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-CTES["ast_files"] = f"""
-SELECT p_brand AS repository_id, 'f' || p_partkey AS path, {AST_LANGUAGE} AS language,
-       replace(CASE p_partkey % 3 WHEN 0 THEN {_sql_text(sample_trees.source_text('python'))}
-               WHEN 1 THEN {_sql_text(sample_trees.source_text('javascript'))}
-               ELSE {_sql_text(sample_trees.source_text('java'))} END, '#', (p_partkey % 10)::VARCHAR) AS content
-FROM part"""
+CTES["ast_units"] = _duck_units()
+CTES["ast_lines"] = f"""
+SELECT {AST_REPOSITORY} AS repository_id, {AST_FILE} AS file_path, {AST_LANGUAGE} AS language, pos, {AST_NUMBER} AS number,
+       (length(line) % 10)::VARCHAR AS digit
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents)"""
+CTES["ast_placed"] = "SELECT l.*, u.source, u.nodes, " + ", ".join(
+    f"u.{key}, (coalesce(sum(u.{key}) OVER (PARTITION BY l.file_path ORDER BY l.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER "
+    f"AS past_{key}" for key in UNIT_SIZES) + " FROM ast_lines l JOIN ast_units u USING (language, number)"
+CTES["ast_nodes"] = """
+SELECT repository_id, file_path, language, (past_size + node_id)::INTEGER AS node_id,
+       (CASE WHEN parent_id > 0 THEN past_size + parent_id ELSE 0 END)::INTEGER AS parent_id, (past_ticks + pre + 1)::INTEGER AS pre,
+       (past_ticks + post + 1)::INTEGER AS post, type, is_named, field, replace(text, '#', digit) AS text,
+       (past_bytes + start_byte)::INTEGER AS start_byte, (past_bytes + end_byte)::INTEGER AS end_byte,
+       (past_lines + start_line + 1)::INTEGER AS start_line, (past_lines + end_line + 1)::INTEGER AS end_line
+FROM (SELECT * EXCLUDE (nodes, size, ticks, bytes, lines, source), unnest(nodes, recursive := true) FROM ast_placed)
+UNION ALL
+SELECT repository_id, file_path, language, 0, NULL, 0, (sum(ticks) + 1)::INTEGER, 'program', true, NULL, '', 0, sum(bytes)::INTEGER, 1,
+       (sum(lines) + 1)::INTEGER
+FROM ast_placed GROUP BY ALL"""
+CTES["ast_files"] = """
+SELECT repository_id, file_path AS path, language, string_agg(replace(source, '#', digit), '' ORDER BY pos) AS content
+FROM ast_placed GROUP BY ALL"""
 
 
 # --- web pages as syntax trees ------------------------------------------------------
@@ -279,10 +329,15 @@ PAGE_ROLES = {
 
 
 def page_trees(spark, sf) -> DataFrame:
-    """Tags of each page as nodes with nested-set numbers; `page_id` is the file."""
-    pages = wide(spark, sf, "pages", "page_id", "html").select(
-        (F.col("page_id") % 5).cast("string").alias("repository_id"), F.col("page_id").cast("string").alias("file_path"),
-        F.posexplode(F.regexp_extract_all(F.regexp_replace("html", NOISE, ""), F.lit(TAG), F.lit(0))).alias("pos", "raw"),
+    """Tags of each page as nodes with nested-set numbers; `page_id` is the file.
+
+    Pages are dealt by file before they are taken apart, so all windows below
+    and what follows them find a file's nodes together.
+    """
+    pages = deal_by(wide(spark, sf, "pages", "page_id", "html").select(
+        (F.col("page_id") % 5).cast("string").alias("repository_id"), F.col("page_id").cast("string").alias("file_path"), "html"),
+        "repository_id", "file_path").select(
+        "repository_id", "file_path", F.posexplode(F.regexp_extract_all(F.regexp_replace("html", NOISE, ""), F.lit(TAG), F.lit(0))).alias("pos", "raw"),
     )
     tags = pages.select(
         "repository_id", "file_path", "pos", F.lower(F.regexp_extract("raw", TAG, 2)).alias("type"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import enrichment as en, findings as fp, rules, scores
 from tidemark.plans import bindings as b
+from tidemark.session import cut_lineage
 from tidemark.plans.registry import add, quoted
 from tidemark.plans.rule_queries import line_oracle
 
@@ -15,6 +16,7 @@ from tidemark.plans.rule_queries import line_oracle
 def worst_sources(spark, sf):
     rows = rules.scan_rules(b.code_files(spark, sf)).unionByName(rules.unsafe_cors(b.code_files(spark, sf)))
     rows = en.with_priority(rows.withColumn("id", F.concat_ws(":", "file_path", "start_line", "type", "title")))
+    rows = cut_lineage(rows)  # score and top read the findings, not the files
     scored = scores.category_scores(rows).select("repository_id", "security_score")
     top = fp.top_findings(rows.withColumn("created_at", F.lit(None).cast("timestamp")), 3, ["repository_id"])
     return top.join(scored, "repository_id").select(

@@ -9,7 +9,7 @@ from tidemark.operators import extract as nx, index as ix
 from tidemark.operators.containment import FILE
 from tidemark.plans import bindings as b
 from tidemark.plans.registry import add, quoted
-from tidemark.session import cut_lineage
+from tidemark.session import land_by
 
 # --- snapshots ------------------------------------------------------------------------------
 
@@ -306,15 +306,15 @@ JOIN ast_nodes n ON n.file_path = m.file_path AND n.parent_id = m.node_id AND n.
 
 
 def symbols_and_methods(spark, sf):
-    """Trees with their symbols and methods; symbols are landed once, as an index holds them."""
+    """Trees with their symbols and methods; symbols are landed once by file, as an index holds them."""
     ast = b.ast_nodes(spark, sf)
-    tops = cut_lineage(nx.top_symbols(ast))
+    tops = land_by(nx.top_symbols(ast), *FILE, dealt=True)
     return ast, tops, nx.methods(ast, tops)
 
 
 def everything(spark, sf):
     ast, tops, members = symbols_and_methods(spark, sf)
-    return ast, cut_lineage(tops.unionByName(members.drop("class_id")))
+    return ast, land_by(tops.unionByName(members.drop("class_id")), *FILE, dealt=True)
 
 
 add("nx1_top_symbols", lambda spark, sf: nx.top_symbols(b.ast_nodes(spark, sf)).select("file_path", "kind", "name", "start_line", "end_line"),
@@ -323,10 +323,11 @@ add("nx2_methods", lambda spark, sf: symbols_and_methods(spark, sf)[2].select("f
     "SELECT file_path, class_id, name, start_line FROM method_syms")
 add("nx3_imports", lambda spark, sf: nx.imports(b.ast_nodes(spark, sf)).select(
     "file_path", "position", "module", F.array_join("imported_names", "|").alias("names")), """
-SELECT 'f' || p_partkey AS file_path, position, replace(module, '#', (p_partkey % 10)::VARCHAR) AS module, replace(names, '#', (p_partkey % 10)::VARCHAR) AS names
-FROM part JOIN (VALUES (0, 1, 'os', ''), (0, 2, 'numpy', ''), (0, 3, 'app.db#', 'session|models as m'), (0, 4, '.', '*'),
-  (1, 1, './lib#', 'def#|a|b as c'), (1, 2, 'pkg', '* as ns'), (1, 3, 'mod#', 'one|two'),
-  (2, 1, 'com.acme.Item#', ''), (2, 2, 'java.util.*', '')) v(k, position, module, names) ON v.k = p_partkey % 3""")
+SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY pos)::INTEGER AS position, replace(module, '#', digit) AS module,
+       replace(names, '#', digit) AS names
+FROM ast_lines JOIN (VALUES ('python', 1, 'os', ''), ('python', 2, 'numpy', ''), ('python', 3, 'app.db#', 'session|models as m'),
+  ('python', 4, '.', '*'), ('javascript', 0, './lib#', 'def#|a|b as c'), ('javascript', 1, 'pkg', '* as ns'), ('javascript', 2, 'mod#', 'one|two'),
+  ('java', 0, 'com.acme.Item#', ''), ('java', 1, 'java.util.*', '')) v(language, number, module, names) USING (language, number)""")
 add("nx4_decorators", lambda spark, sf: nx.decorators(*everything(spark, sf)).select(
     "file_path", "node_id", F.array_join("decorators", "|").alias("decorators")), """
 WITH syms AS (SELECT file_path, node_id, anchor_id, language FROM top_syms UNION ALL SELECT file_path, node_id, anchor_id, language FROM method_syms),
@@ -344,16 +345,20 @@ ja AS (SELECT s.file_path, s.node_id, d.text, d.pre FROM syms s JOIN ast_nodes m
 SELECT file_path, node_id, string_agg(text, '|' ORDER BY pre) AS decorators
 FROM (SELECT * FROM py UNION ALL SELECT * FROM inn UNION ALL SELECT * FROM sib UNION ALL SELECT * FROM ja) GROUP BY 1, 2""")
 add("nx5_doc_comments", lambda spark, sf: nx.doc_comments(*everything(spark, sf)).groupBy("doc_comment").agg(F.count("*").alias("n")), """
-SELECT doc_comment, count(*) AS n FROM part JOIN (VALUES (0, 'Fetch one user.'), (0, 'Keeps things.'), (1, 'adds numbers'),
-  (1, 'Order service.' || chr(10) || 'keeps orders'), (2, 'Holds items.'), (2, 'all items')) v(k, doc_comment) ON v.k = p_partkey % 3 GROUP BY 1""")
+SELECT doc_comment, count(*) AS n FROM ast_lines JOIN (VALUES ('python', 5, 'Fetch one user.'), ('python', 6, 'Keeps things.'),
+  ('javascript', 3, 'adds numbers'), ('javascript', 4, 'Order service.' || chr(10) || 'keeps orders'), ('java', 2, 'Holds items.'),
+  ('java', 2, 'all items')) v(language, number, doc_comment) USING (language, number) GROUP BY 1""")
 add("nx5_module_comments", lambda spark, sf: nx.module_comments(b.ast_nodes(spark, sf)).select("file_path", "doc_comment"), """
-SELECT 'f' || p_partkey AS file_path, CASE p_partkey % 3 WHEN 0 THEN 'module notes' ELSE 'entry point' END AS doc_comment FROM part WHERE p_partkey % 3 < 2""")
+SELECT file_path, doc_comment FROM ast_lines JOIN (VALUES ('python', 0, 'module notes'), ('javascript', 0, 'entry point'),
+  ('javascript', 3, 'adds numbers'), ('javascript', 4, 'Order service.' || chr(10) || 'keeps orders'), ('java', 2, 'Holds items.'))
+  v(language, number, doc_comment) USING (language, number) WHERE pos = 0""")
 
 
 add("nx6_heritage", lambda spark, sf: nx.heritage(*symbols_and_methods(spark, sf)[:2]).groupBy("superclasses", "interfaces").agg(
     F.count("*").alias("n")), """
-SELECT superclasses, interfaces, count(*) AS n FROM part JOIN (VALUES (0, 'Base , Mixin', NULL), (1, 'Base', 'Handler, Closer'),
-  (2, 'BaseApi', 'Api, Closeable'), (2, NULL, 'Root')) v(k, superclasses, interfaces) ON v.k = p_partkey % 3 GROUP BY ALL""")
+SELECT superclasses, interfaces, count(*) AS n FROM ast_lines JOIN (VALUES ('python', 6, 'Base , Mixin', NULL),
+  ('javascript', 4, 'Base', 'Handler, Closer'), ('java', 2, 'BaseApi', 'Api, Closeable'), ('java', 3, NULL, 'Root'))
+  v(language, number, superclasses, interfaces) USING (language, number) GROUP BY ALL""")
 
 
 def _signatures(spark, sf):

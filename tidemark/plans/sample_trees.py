@@ -1,13 +1,12 @@
-"""Sample syntax trees, one per language, for the files that `part` rows stand for.
+"""Constructs of three languages, of which the files that documents stand for are made.
 
-A tree is written as nested nodes; `layout` numbers it (pre, post from one
+A construct is written as nested nodes; `layout` numbers it (pre, post from one
 counter), lays its leaves out as source text and gives byte offsets and lines.
-The character `#` in a leaf is replaced per file by one digit, so offsets hold.
+The character `#` in a leaf is replaced by one digit per use, so offsets hold.
 """
 
 from __future__ import annotations
 
-import json
 from functools import lru_cache
 
 NEWLINE = "\n"
@@ -236,8 +235,8 @@ TREES = {"python": PYTHON, "javascript": JAVASCRIPT, "java": JAVA}
 
 
 @lru_cache(maxsize=None)
-def layout(language: str) -> tuple[tuple, str]:
-    """(node tuples, source text) of a sample tree."""
+def layout(language: str, number: int) -> tuple[tuple, str]:
+    """(node tuples, source text) of one construct under a root; numbers, bytes and lines count from the construct's begin."""
     rows: list[dict] = []
     text: list[str] = []
     state = {"counter": 0, "at": 0, "line": 1, "id": 0}
@@ -276,19 +275,40 @@ def layout(language: str) -> tuple[tuple, str]:
         row["post"], row["end_byte"], row["end_line"] = state["counter"], state["at"], state["line"]
         state["counter"] += 1
 
-    walk(TREES[language], None)
+    walk(constructs(language)[number], None)
     source = "".join(text)
     data = source.encode()
     for row in rows:
         row["text"] = data[row["start_byte"]:row["end_byte"]].decode().strip()
         row["end_byte"] = row["start_byte"] + len(row["text"].encode())
         row["end_line"] = row["start_line"] + row["text"].count("\n")
-    return tuple(tuple(sorted(r.items())) for r in rows), source
+        # the root goes: it is the file's
+        row.update(node_id=row["node_id"] - 1, pre=row["pre"] - 1, post=row["post"] - 1, start_line=row["start_line"] - 1,
+                   end_line=row["end_line"] - 1, parent_id=(row["parent_id"] or 1) - 1)
+    return tuple(tuple(sorted(r.items())) for r in rows[1:]), source
 
 
-def nodes_json(language: str) -> str:
-    return json.dumps([dict(row) for row in layout(language)[0]])
-
-
-def source_text(language: str) -> str:
-    return layout(language)[1]
+@lru_cache(maxsize=None)
+def constructs(language: str) -> tuple[dict, ...]:
+    """What stands at the top of a sample tree, each under a root of its own; a comment goes with what follows it."""
+    tree = TREES[language]
+    out, held = [], []
+    for kid in tree["kids"]:
+        if kid == NEWLINE:
+            continue
+        held += [kid, NEWLINE]
+        if "comment" not in kid["type"]:
+            out.append({**tree, "kids": held})
+            held = []
+    return tuple(out)
+
+
+def units(language: str) -> list[dict]:
+    """Constructs as records: sizes, source text and nodes."""
+    out = []
+    for number in range(len(constructs(language))):
+        nodes, source = layout(language, number)
+        rows = [dict(row) for row in nodes]
+        out.append({"nodes": rows, "source": source, "size": len(rows), "ticks": 2 * len(rows), "bytes": len(source.encode()),
+                    "lines": source.count("\n")})
+    return out

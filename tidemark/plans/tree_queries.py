@@ -9,7 +9,7 @@ from tidemark.operators import patterns, scores, trees
 from tidemark.operators.containment import FILE
 from tidemark.plans import bindings as b
 from tidemark.plans.registry import add, quoted
-from tidemark.session import cut_lineage
+from tidemark.session import land_by
 
 HTML = b.PAGE_ROLES
 
@@ -29,8 +29,8 @@ def role_sql(role: str, alias: str = "") -> str:
 
 
 def pages(spark, sf):
-    """Page trees, landed once: a metric reads its nodes several times."""
-    return cut_lineage(b.page_trees(spark, sf))
+    """Page trees, landed once by file: a metric reads its nodes several times, and no step moves them."""
+    return land_by(b.page_trees(spark, sf), *FILE, dealt=True)
 
 
 # --- web pages -----------------------------------------------------------------------
@@ -444,8 +444,12 @@ SELECT repository_id, file_path, round_even(greatest(0.0, least(100.0, (171
     - 5.2 * ln(greatest((operators + operands) * log2(greatest(distinct_operators + distinct_operands, 2)), 1.0))
     - 0.23 * coalesce(c, 1.0) - 16.2 * ln(greatest(n, 1))) * 100 / 171)), 0)::INTEGER AS maintainability
 FROM h JOIN loc USING (repository_id, file_path) LEFT JOIN cx USING (file_path)"""
-add("sc3_maintainability", lambda spark, sf: scores.maintainability(
-    trees.halstead(b.ast_nodes(spark, sf)), trees.complexity(b.ast_nodes(spark, sf)), sample_files(spark, sf)), """
+def maintained(spark, sf):
+    ast = b.ast_nodes(spark, sf)
+    return scores.maintainability(trees.halstead(ast), trees.complexity(ast), sample_files(spark, sf))
+
+
+add("sc3_maintainability", maintained, """
 SELECT repository_id, round_even(avg(maintainability), 0)::INTEGER AS maintainability_score FROM file_index GROUP BY 1""")
 
 
@@ -469,15 +473,16 @@ def health(spark, sf):
     brand = F.concat(F.lit("Brand#"), F.substring("repository_id", 2, 9).cast("int") % 25 + 1)
     found = b.findings(spark, sf).withColumn("repository_id", brand)
     files = sample_files(spark, sf)
-    measured = trees.complexity(b.ast_nodes(spark, sf))
+    ast = b.ast_nodes(spark, sf)
+    measured = trees.complexity(ast)
     empty = b.graph_edges(spark, sf)
     return scores.health_scores(
-        found, files, scores.maintainability(trees.halstead(b.ast_nodes(spark, sf)), measured, files),
+        found, files, scores.maintainability(trees.halstead(ast), measured, files),
         scores.modularity(empty, files), scores.documentation(b.class_symbols(spark, sf)), scores.complexity_score(measured))
 
 
 add("sc8_health_scores", health, """
-WITH files AS (SELECT p_brand AS repository_id, count(*) AS n FROM part GROUP BY 1),
+WITH files AS (SELECT repository_id, count(*) AS n FROM ast_files GROUP BY 1),
 f AS (SELECT 'Brand#' || (substr(repository_id, 2)::INTEGER % 25 + 1) AS repository_id, category, type, penalty
       FROM fnd JOIN ranked_severity USING (severity)),
 p AS (SELECT repository_id, sum(penalty) AS penalty,

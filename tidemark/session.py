@@ -9,10 +9,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Whether a join needs its sides dealt by all of its keys; `land_by` turns it off.
+CO_LOCATED = "spark.sql.requireAllClusterKeysForCoPartition"
+
 # What results depend on, whatever session the caller brings.
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    CO_LOCATED: "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -82,3 +86,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
+
+
+def land_by(df: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
+    """Materialise `df` partitioned by `keys`, so that joins, windows and aggregates on these and more keys move nothing.
+
+    The partitioning is only kept when the plan is fixed before it runs, and
+    only used by joins on more keys when the session allows that: the setting
+    stays on until `ensure` is called for the next query. Meant for keys whose
+    groups are small, such as a file. `dealt` says that `df` already comes by
+    these keys.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set(CO_LOCATED, "false")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df if dealt else deal_by(df, *keys))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def deal_by(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` hashed by `keys` into the session's number of shuffle partitions."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
