@@ -81,11 +81,12 @@ def _advice(advisories: DataFrame) -> DataFrame:
         F.col("a")[0]["severity"].alias("top_severity"), F.transform("a", lambda x: x["id"]).alias("vuln_ids"))
 
 
-def unsafe_dependencies(packages: DataFrame, advisories: DataFrame) -> DataFrame:
+def unsafe_dependencies(packages: DataFrame, advisories: DataFrame, summary: bool = False) -> DataFrame:
     """A finding per package version that any advisory lists.
 
     Severity is that of the first advisory; names it does not map are MEDIUM.
-    A package that a third of all manifests use spreads over salts.
+    A package that a third of all manifests use spreads over salts. With
+    `summary` the metadata also hold that of the first advisory.
     """
     key = ["ecosystem", "name", "version"]
     hits = salted_join(packages, _advice(advisories), key, ["repository_id", "path"])
@@ -96,7 +97,8 @@ def unsafe_dependencies(packages: DataFrame, advisories: DataFrame) -> DataFrame
     return finding_rows(
         hits.withColumn("file_path", F.lit(None).cast("string")), type="UNSAFE_DEPENDENCY", category="DEPENDENCY",
         severity=severity, confidence=90, title=title,
-        metadata=F.to_json(F.struct(F.col("name").alias("package"), "version", "vuln_ids")))
+        metadata=F.to_json(F.struct(F.col("name").alias("package"), "version", "vuln_ids",
+                                    *([F.col("top_summary").alias("summary")] if summary else []))))
 
 
 def dependency_diff(base: DataFrame, head: DataFrame, advisories: DataFrame) -> DataFrame:

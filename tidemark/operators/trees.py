@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators.containment import FILE, children, contained, field_text, levels
-from tidemark.operators.keyed import first_per_key, salted_join
+from tidemark.operators.keyed import first_per_key, salted_join, top_per_key
 from tidemark.operators.rules import finding_rows
 
 Roles = Mapping[str, Mapping[str, Sequence[str]]]
@@ -91,6 +91,7 @@ LARGE_CLASS_LINES, LARGE_CLASS_METHODS, HUGE_CLASS_LINES = 300, 15, 500
 MAX_NESTING, MAX_LOOP_NESTING = 4, 2
 LARGE_FILE_LINES, HUGE_FILE_LINES = 500, 1000
 DUPLICATE_MIN_LINES = 5
+LISTED_LOCATIONS = 20  # of a duplicate, on the finding itself
 LARGE_LITERAL = 30
 SRP_METHODS, SRP_LINES = 10, 200
 OCP_ARMS = 4
@@ -286,18 +287,23 @@ def large_file(files: DataFrame, limit: int = LARGE_FILE_LINES, high: int = HUGE
 def duplicates(fingerprints: DataFrame, min_lines: int = DUPLICATE_MIN_LINES) -> DataFrame:
     """One finding per repository and shape that several functions share.
 
-    Only the count and the anchor are aggregated: a shape may have any number
-    of copies. `duplicate_locations` lists the copies, one row each.
+    A shape may have any number of copies: the finding names the first
+    `LISTED_LOCATIONS` and says whether there are more; `duplicate_locations`
+    lists all, one row each.
     """
     long_enough = fingerprints.filter(F.col("end_line") - F.col("start_line") + 1 >= min_lines)
     place = F.struct("file_path", "start_line", "end_line", "function_name")
     groups = long_enough.groupBy("repository_id", "fingerprint").agg(F.count("*").alias("members"), F.min(place).alias("_first"))
-    anchored = groups.filter("members > 1").select(
-        "repository_id", "fingerprint", "members", F.col("_first.*"))
+    firsts = top_per_key(long_enough, ["repository_id", "fingerprint"], [F.col(c).asc() for c in ("file_path", "start_line", "end_line", "function_id")],
+                         LISTED_LOCATIONS)
+    listed = firsts.groupBy("repository_id", "fingerprint").agg(F.array_sort(F.collect_list(F.struct(
+        "file_path", "start_line", "end_line", F.col("function_name").alias("name")))).alias("locations"))
+    anchored = groups.filter("members > 1").join(listed, ["repository_id", "fingerprint"]).withColumn(
+        "truncated", F.col("members") > LISTED_LOCATIONS).select("repository_id", "fingerprint", "members", "locations", "truncated", F.col("_first.*"))
     rows = finding_rows(
         anchored, type="DUPLICATE_LOGIC", category="QUALITY", severity="MEDIUM", confidence=90,
         title=_tick("Duplicate logic found in ", _text(F.col("members")), " functions"), symbol_name=F.col("function_name"),
-        start_line=F.col("start_line"), end_line=F.col("end_line"), metadata=F.to_json(F.struct("fingerprint", "members")))
+        start_line=F.col("start_line"), end_line=F.col("end_line"), metadata=F.to_json(F.struct("fingerprint", "members", "locations", "truncated")))
     return rows
 
 
@@ -498,7 +504,7 @@ def missing_caching(ast: DataFrame, files: DataFrame, roles: Roles = NODE_ROLES)
         title=_tick("`", F.col("function_name"), "` may benefit from caching"),
         evidence=_tick("Getter-style function calling ", F.col("callee"), "(), no memoization found in file"),
         symbol_name=F.col("function_name"), start_line=F.col("start_line"), end_line=F.col("end_line"),
-        metadata=F.to_json(F.struct("callee")))
+        metadata=F.to_json(F.struct("callee", F.coalesce("parameters", F.lit(0)).alias("parameters"))))
 
 
 def heavy_queries(ast: DataFrame, roles: Roles = NODE_ROLES) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.plans import (  # noqa: F401
+    analysis_queries,
     delivery_queries,
     finding_queries,
     graph_queries,

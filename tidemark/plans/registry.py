@@ -12,6 +12,7 @@ from tidemark.session import ensure
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+BODIES: dict[str, str] = {}  # oracles without their common table expressions
 
 
 def add(name: str, query: Query, oracle: str | None = None) -> None:
@@ -19,6 +20,7 @@ def add(name: str, query: Query, oracle: str | None = None) -> None:
         raise ValueError(f"{name} is registered twice")
     QUERIES[name] = lambda spark, sf: query(ensure(spark), sf)
     if oracle is not None:
+        BODIES[name] = oracle
         ORACLES[name] = with_ctes(oracle)
 
 
