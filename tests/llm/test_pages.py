@@ -94,3 +94,17 @@ def test_registered_domains(spark):
              "u:p@www.x.de": "x.de", "10.1.2.3:80": "10.1.2.3", "localhost": "localhost", "": ""}
     df = spark.createDataFrame([(n,) for n in names], "host string")
     assert {r.host: r.name for r in df.select("host", domain(F.col("host")).alias("name")).collect()} == names
+
+
+def test_a_quote_opens_a_value_only_after_an_equals_sign():
+    from tidemark.llm import markup
+
+    page = "<main><p>one</p><a title=it's href=x>link</a><p>two</p><p>I don't know.</p><p title = 'a > b' x=\"it's >\">three</p></main>"
+    assert [b.text for b in markup.blocks(markup.read(page))] == ["one", "link", "two", "I don't know.", "three"]
+
+
+def test_deep_pages_are_tracked_to_the_bottom():
+    from tidemark.llm import markup
+
+    page = "<div>" * 600 + "<nav><p>menu</p></nav><p>text</p>" + "</div>" * 600
+    assert [(b.text, b.dropped) for b in markup.blocks(markup.read(page))] == [("menu", True), ("text", False)]

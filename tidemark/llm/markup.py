@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*)(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -40,6 +40,7 @@ DROPPED_WORDS = frozenset(
     "recommendations trending pagination pager widget widgets comment comments commentlist disqus respond replies reply "
     "search copyright disclaimer skip form paywall".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies reply".split())
+PATH_DEPTH = 512  # elements below it are open like any other but share the path of the one there
 LITTLE = 250  # characters beside a wrapper that may be its title and path
 WITHIN = {name: re.compile(rf"/{name}(?:[./]|$)") for name in ("a", "h1")}
 ABOUT_WORDS = frozenset("has with no without is".split())  # body classes such as has-sidebar
@@ -201,13 +202,13 @@ def read(page: str) -> list[Piece]:
             doubts = (*doubts, len(names) - 1)
         if region > top.region:
             opens.append((len(out), region))
-        path = f"{top.path}/{name}.{first}" if first else f"{top.path}/{name}"
+        path = top.path if len(stack) >= PATH_DEPTH else f"{top.path}/{name}.{first}" if first else f"{top.path}/{name}"
         out.append(Piece(path, "", name, top.dropped or dropped, region, name not in INLINE, doubts))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])|\Z", re.I).search(page, at)
             at = end.start()
             stack.append(Element(name, path, True, region, doubts))
-        elif name not in VOID and len(stack) < 512:
+        elif name not in VOID:
             stack.append(Element(name, path, top.dropped or dropped, region, doubts))
     if names:
         settle(out, names, around, opens)
