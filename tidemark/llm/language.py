@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import slices
 
 UNDETERMINED = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Numbers that are no digits, such as fractions, count as word characters but are no letters.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+NOT_LETTERS = re.compile(rf"[\W\d_{NUMBERS}]+")
 
 
 def letters(text: str | None) -> str:
