@@ -120,7 +120,7 @@ class Layout:
         return out
 
 
-SCHEMA = "doc_id long, text string, block long, size long, shard int, file int"
+SCHEMA = "doc_id long, text string, unit long, block long, size long, shard int, file int"
 
 
 def size_of(text: Column) -> Column:
@@ -133,24 +133,32 @@ def block_of(text: Column, doc_id: Column, blocks: int) -> Column:
     return F.pmod(F.when(text.isNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(text)), F.lit(blocks))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int, files: int, blocks: int, split_over: int) -> Layout:
+def write_shards(docs: DataFrame, path: str, shards: int, files: int, blocks: int, split_over: int,
+                 capacity: int) -> Layout:
     """Writes (doc_id, text) as `shards` shards of `files` files, blocks dealt by number.
 
-    A block of more than `split_over` bytes (one text with very many copies)
-    is cut by id into sub-blocks, so that no shard or task is bound to it.
+    Equal texts stay together unless they hold more than a shard (`capacity`).
+    A block of more than `split_over` bytes is cut into units by text, a unit
+    that is still larger (one text with very many copies) into blocks by id:
+    these move together but lie in several files, so no task is bound to them.
     """
     text, doc_id = F.col("text"), F.col("doc_id")
     rows = docs.select(doc_id, text, block_of(text, doc_id, blocks).alias("_b"), size_of(text).alias("size"))
-    large = rows.groupBy("_b").agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > split_over).select(
-        F.col("_b").alias("_large"), F.ceil(F.col("_bytes") / split_over).alias("_cuts"))
-    # At most total / split_over rows, whatever the input: 64 per shard as called below.
-    cut = rows.join(F.broadcast(large), F.col("_b") == F.col("_large"), "left")
-    part = F.coalesce(F.pmod(F.xxhash64(F.lit(5), doc_id), F.col("_cuts")), F.lit(0))
-    cut = cut.withColumn("block", F.col("_b") + part * blocks)
-    dealt = F.xxhash64(F.lit(11), "block")
-    cut = cut.withColumn("shard", F.pmod(dealt, F.lit(shards)).cast("int")).withColumn(
-        "file", F.pmod(F.shiftright(dealt, 20), F.lit(files)).cast("int"))
-    cut.select("doc_id", "text", "block", "size", "shard", "file").repartition(shards * files, "shard", "file").write.option(
+
+    def cut(held: DataFrame, by: str, over: str, key: Column, to: str) -> DataFrame:
+        # At most total / split_over rows, whatever the input: 64 per shard as called below.
+        large = held.groupBy(by).agg(F.sum("size").alias("_bytes")).where(F.col("_bytes") > split_over).select(
+            F.col(by).alias("_large"), F.col("_bytes").alias(over), F.ceil(F.col("_bytes") / split_over).alias("_cuts"))
+        part = F.coalesce(F.pmod(key, F.col("_cuts")), F.lit(0))
+        named = F.when(part > 0, F.xxhash64(F.lit(to), by, part)).otherwise(F.col(by))
+        return held.join(F.broadcast(large), F.col(by) == F.col("_large"), "left").withColumn(to, named).drop("_large", "_cuts")
+
+    same = F.when(text.isNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64(F.lit(5), text))
+    held = cut(cut(rows, "_b", "_whole", same, "unit"), "unit", "_copies", F.xxhash64(F.lit(7), doc_id), "block")
+    held = held.withColumn("unit", F.when(F.col("_copies") > capacity, F.col("block")).otherwise(F.col("unit")))
+    cut_rows = held.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "unit"), F.lit(shards)).cast("int")).withColumn(
+        "file", F.pmod(F.shiftright(F.xxhash64(F.lit(11), "block"), 20), F.lit(files)).cast("int"))
+    cut_rows.select("doc_id", "text", "unit", "block", "size", "shard", "file").repartition(shards * files, "shard", "file").write.option(
         "compression", "zstd").partitionBy("shard", "file").parquet(path)
     return Layout([(path, None)])
 
@@ -164,8 +172,13 @@ def reshard(spark: SparkSession, old: Layout, shards: int, path: str) -> tuple[L
     stay. Returns the new layout and what the plan moved.
     """
     now = old.read(spark)
-    blocks = [(r["shard"], r["file"], r["block"], r["bytes"]) for r in
-              now.groupBy("shard", "file", "block").agg(F.sum("size").alias("bytes")).collect()]
+    places = [(r["shard"], r["file"], r["unit"], r["bytes"]) for r in
+              now.groupBy("shard", "file", "unit").agg(F.sum("size").alias("bytes")).collect()]
+    units: dict[tuple[int, int], tuple[int, int]] = {}  # of a unit: its first file and all its bytes
+    for shard, file, unit, size in places:
+        first, before = units.get((shard, unit), (file, 0))
+        units[shard, unit] = min(first, file), before + size
+    blocks = [(shard, file, unit, size) for (shard, unit), (file, size) in units.items()]
     held = [0] * (max([b[0] for b in blocks], default=0) + 1)
     for shard, _, _, size in blocks:
         held[shard] += size
@@ -173,14 +186,14 @@ def reshard(spark: SparkSession, old: Layout, shards: int, path: str) -> tuple[L
     capacity = [total // shards + (n < total % shards) for n in range(shards)]
     flow = min_cost_flow(held, capacity, lambda i, j: int(i != j))
     moved = choose_blocks(blocks, flow)
-    touched = sorted({(s, f) for s, f, b, _ in blocks if (s, b) in moved})
+    touched = sorted({(s, f) for s, f, b, _ in places if (s, b) in moved})
     stats = {"total": total, "flow": {k: v for k, v in flow.items() if k[0] != k[1]}, "blocks": len(moved), "files": len(touched)}
     if not moved:
         return old, stats
     plan = spark.createDataFrame([(s, b, to) for (s, b), to in moved.items()], "_s int, _b long, _to int")
     hit = F.concat_ws("/", "shard", "file").isin([f"{s}/{f}" for s, f in touched])
     rewritten = now.where(F.col("shard").isin(sorted({s for s, _ in touched}))).where(hit).join(
-        plan, (F.col("shard") == F.col("_s")) & (F.col("block") == F.col("_b")), "left")
+        plan, (F.col("shard") == F.col("_s")) & (F.col("unit") == F.col("_b")), "left")
     rewritten = rewritten.withColumn("shard", F.coalesce("_to", "shard")).drop("_s", "_b", "_to")
     # Each task splits the files it read: the moved rows need no exchange.
     rewritten.write.option("compression", "zstd").partitionBy("shard", "file").parquet(path)
@@ -217,7 +230,8 @@ def shard_documents(spark: SparkSession, docs: DataFrame, *, old_shards: int = 7
     blocks = shards * max(blocks_per_shard, pieces(total, block_bytes * shards))
     files = max(files, pieces(total, file_bytes * old_shards))
     root = scratch_path(spark, "shards")
-    old = write_shards(docs, f"{root}/old", old_shards, files, blocks, max(1, (total or 0) // (shards * 64)))
+    old = write_shards(docs, f"{root}/old", old_shards, files, blocks, max(1, (total or 0) // (shards * 64)),
+                       max(1, (total or 0) // shards))
     new, _ = reshard(spark, old, shards, f"{root}/new")
     rows = new.read(spark).select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "block", "shard")
     return with_slots(rows)
