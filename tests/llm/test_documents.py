@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.samples import document_rows, tables
-from tidemark.llm import language
+from tidemark.llm import language, scoring
 from tidemark.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,7 +42,10 @@ def test_empty_table(spark, empty, prefix):
     assert run(spark, prefix, empty) == []
 
 
-def test_scores_equal_a_plain_bigram_model(spark, small):
+@pytest.mark.parametrize("tokens_per_part", [2_000_000, 400])
+def test_scores_equal_a_plain_bigram_model(spark, small, monkeypatch, tokens_per_part):
+    """In one part, and in many with frequent words dealt by pair."""
+    monkeypatch.setitem(scoring.score.__kwdefaults__, "tokens_per_part", tokens_per_part)
     single, pairs, trained = Counter(), Counter(), 0
     for doc_id, text, *_ in ROWS:
         words = [*lowered(text), b" end"]
@@ -222,3 +225,17 @@ def test_equal_and_narrow_sizes_are_rejected(spark):
     assert [(r.lang_pred, r.rejected) for r in found] == [("x", True)] * 3
     told = language.identify(docs, {"x": same, "y": b"nothing of the kind, not a word " * 30}).collect()
     assert [(r.lang_pred, r.rejected) for r in told if r.doc_id == 2] == [("x", False)]
+
+
+def test_numbers_are_no_letters():
+    assert [language.letters(t) for t in ("½ ² ①", "Ⅷ", "12", "a²b", "École _x")] == ["", "", "", "a b", "école x"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_equal_texts_share_a_level_shard(spark, sf):
+    home, size = defaultdict(set), Counter()
+    for r in run(spark, "op7_", f"/root/testdata/{sf}"):
+        home[r.size, r.text_crc32].add(r.shard)
+        size[r.shard] += r.size
+    assert all(len(h) == 1 for h in home.values())
+    assert len(size) == 8 and max(size.values()) - min(size.values()) < 0.02 * sum(size.values())

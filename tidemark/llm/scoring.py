@@ -8,7 +8,8 @@ only; so when token pairs are dealt by their last word, each part holds all it
 needs, builds its own trie, and returns its share of every document's score.
 
 Words that occur so often that they would fill a part are dealt by pair; their
-counts are few and go to all tasks. A null or empty text has the end token
+counts are few and go to all tasks. Very long texts make a slice of their own;
+other columns are not read. A null or empty text has the end token
 only; without training documents all words are unknown; repeated rows count as
 often as they occur; an empty table gives no rows.
 """
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import pieces, slices
 from tidemark.llm.trie import Trie
 
+SLICE = 4_000_000  # bytes of text whose pairs a task holds at once
 # Words hold no white space, so these are not words.
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(t)) for t in (b" end", b" begin"))
 
@@ -76,7 +78,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = trained = 0
-        for batch in slices(batches, "text", 16_000_000):
+        for batch in slices(batches, "text", SLICE):
             hashes, words, counts, out, _ = tokenised(batch)
             n = np.bincount(words[np.repeat(~out, counts)], minlength=len(hashes))
             seen = n > 0
@@ -89,7 +91,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "word long, n long")
 
 
-def score(docs: DataFrame, *, smoothing: float = 400.0, bits: int = 12, tokens_per_part: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, *, smoothing: float = 400.0, bits: int = 12, tokens_per_part: int = 2_000_000) -> DataFrame:
     """Scores of all rows of `docs` (doc_id, text).
 
     Two passes over the texts: word counts, then token pairs to parts of about
@@ -97,15 +99,15 @@ def score(docs: DataFrame, *, smoothing: float = 400.0, bits: int = 12, tokens_p
     counts and pairs that move; a task holds one part, or one slice of texts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = count_words(docs)
-    totals = counts.where(F.col("word").isNull()).agg(
-        F.sum(F.when(F.col("n") >= 0, F.col("n"))).alias("tokens"),
-        F.sum(F.when(F.col("n") < 0, -F.col("n") - 1)).alias("trained"))
-    words = counts.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n"))
+    # one pass: the counts of each word, and under the null word the tokens and the training documents
+    counted = count_words(docs).groupBy("word").agg(
+        F.sum(F.when(F.col("n") >= 0, F.col("n"))).alias("n"), F.sum(F.when(F.col("n") < 0, -F.col("n") - 1)).alias("trained"))
     limit = max(1, tokens_per_part // 8)
-    known = words.agg(F.count("*").alias("V"), F.sum("n").alias("N"),
-                      F.collect_list(F.when(F.col("n") > limit, F.struct("word", "n"))).alias("often"))
-    row = known.crossJoin(totals).first()
+    known, no_word = F.col("word").isNotNull(), F.col("word").isNull()
+    row = counted.agg(
+        F.count("word").alias("V"), F.sum(F.when(known, F.col("n"))).alias("N"), F.sum(F.when(no_word, F.col("n"))).alias("tokens"),
+        F.sum("trained").alias("trained"),
+        F.collect_list(F.when(known & (F.col("n") > limit), F.struct("word", "n"))).alias("often")).first()
     n_train, trained = row["N"] or 0, row["trained"] or 0
     spread_over = n_train + 0.5 * (row["V"] + 1)
     parts = pieces(row["tokens"], tokens_per_part)
@@ -116,7 +118,7 @@ def score(docs: DataFrame, *, smoothing: float = 400.0, bits: int = 12, tokens_p
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 32, 0
-        for big in slices(batches, "text", 16_000_000):
+        for big in slices(batches, "text", SLICE):
             for begin in range(0, big.num_rows, 50_000):
                 batch = big.slice(begin, 50_000)
                 hashes, words, counts, out, ids = tokenised(batch)
@@ -154,10 +156,11 @@ def score(docs: DataFrame, *, smoothing: float = 400.0, bits: int = 12, tokens_p
                         rows.append((part, chunk, ordered[used].tobytes(), of[:len(own)].astype(small).tobytes(),
                                      of[len(own):].astype(small).tobytes(), document[own].tobytes(),
                                      np.minimum(times[own], 1 << 31).astype(np.uint32).tobytes(), out.tobytes(), None, None))
-                for first in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows[first:first + 64], strict=True), DEALT, strict=True)],
-                        names=DEALT_NAMES)
+                    if len(rows) >= 64 or part == parts - 1:
+                        if rows:
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), DEALT, strict=True)], names=DEALT_NAMES)
+                        rows = []
 
     def answer(table: pa.Table) -> pa.Table:
         held = table.to_pylist()
