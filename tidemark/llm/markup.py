@@ -42,6 +42,7 @@ DROPPED_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies reply".split())
 PATH_DEPTH = 512  # elements below it are open like any other but share the path of the one there
 LITTLE = 250  # characters beside a wrapper that may be its title and path
+KNOWN_TAGS: dict[tuple[str, str, int], tuple[bool, int, str, str]] = {}  # what tags were told to be, per task
 WITHIN = {name: re.compile(rf"/{name}(?:[./]|$)") for name in ("a", "h1")}
 ABOUT_WORDS = frozenset("has with no without is".split())  # body classes such as has-sidebar
 CLOSES = {  # a start tag ends open elements of these names
@@ -81,6 +82,18 @@ def marked(name: str, rest: str, region: int) -> tuple[bool, int, str, str]:
     if not rest or rest.isspace() or rest == "/":  # most tags have no attributes
         return (name in DROPPED or name == "header" and not region, 2 if name == "article" else max(region, int(name == "main")), "",
                 "form" if name == "form" else "")
+    told = KNOWN_TAGS.get((name, rest, region))
+    if told is None:
+        told = with_attributes(name, rest, region)
+        if len(rest) <= 200:  # tags of a host come again and again
+            if len(KNOWN_TAGS) >= 20_000:
+                KNOWN_TAGS.clear()
+            KNOWN_TAGS[name, rest, region] = told
+    return told
+
+
+def with_attributes(name: str, rest: str, region: int) -> tuple[bool, int, str, str]:
+    """`marked` for a tag that has attributes."""
     values: dict[str, str] = {}
     if "=" in rest:
         for key, a, b, c in ATTRIBUTE.findall(rest):
