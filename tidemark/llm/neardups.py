@@ -35,6 +35,8 @@ from tidemark.session import cut_lineage
 PLACES, CHUNKS = 64, 16
 WIDTH = PLACES // CHUNKS
 DISTANCE = 2 * CHUNKS - 1
+SKETCH = 1024  # bits of a parity sketch
+MARK = np.dtype([("places", np.uint16, PLACES), ("size", np.int64), ("sketch", np.uint64, SKETCH // 64)])
 LEADERS = 2
 MANY = 1000  # components in a bucket that are worth another turn of leaders
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -201,42 +203,101 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def marks_of(sets: DataFrame) -> DataFrame:
+    """(node, mark) of `sets` (node, signature, set): signature, size and parity sketch of each set in one binary value."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "set"):
+            marks = np.zeros(batch.num_rows, MARK)
+            for mark, signature, held in zip(marks, batch.column(1), batch.column(2), strict=True):
+                hashes = np.frombuffer(held.as_buffer(), np.uint64)
+                mark["places"] = np.frombuffer(signature.as_buffer(), np.uint16)
+                mark["size"] = len(hashes)
+                mark["sketch"] = np.frombuffer(sketch(hashes), np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() for m in marks], pa.binary())], names=["node", "mark"])
+
+    return sets.select("node", "signature", "set").mapInArrow(work, "node long, mark binary")
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Whether an even or odd number of hashes falls on each of SKETCH bits."""
+    bits = np.bincount((hashes >> np.uint64(24)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def read_marks(column: list) -> np.ndarray:
+    return np.frombuffer(b"".join(column), MARK)
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which marks lie within the signature distance and may belong to sets that share `percent` of their union.
+
+    No link is lost here: sets that are linked differ in at most
+    (100 - percent) / (100 + percent) of their sizes' sum, and parity
+    sketches in no more bits than that.
+    """
+    close = (x["places"] != y["places"]).sum(axis=1) <= DISTANCE
+    close &= 100 * np.minimum(x["size"], y["size"]) >= percent * np.maximum(x["size"], y["size"])
+    at = np.flatnonzero(close)
+    one, other = (v if len(v) == 1 else v[at] for v in (x, y))
+    apart = np.bitwise_count(one["sketch"] ^ other["sketch"]).sum(axis=1, dtype=np.int64)
+    close[at] = apart * (100 + percent) <= (100 - percent) * (one["size"] + other["size"])
+    return close
+
+
+def close_pairs(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(a, b, distance) of the pairs (a, b) of nodes whose marks are alike, with the distance of their signatures."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (read_marks(batch.column(k).to_pylist()) for k in (2, 3))
+            kept = np.flatnonzero(alike(x, y, percent))
+            distance = (x["places"][kept] != y["places"][kept]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept)),
+                                              pa.array(distance, pa.int64())], names=["a", "b", "distance"])
+
+    def side(name: str) -> DataFrame:
+        return marks.select(F.col("node").alias(f"_{name}"), F.col("mark").alias(f"_mark_{name}"))
+
+    joined = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    return joined.select("a", "b", "_mark_a", "_mark_b").mapInArrow(work, "a long, b long, distance long")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that lie within the signature distance and, on full sets, within the similarity."""
+    """Pairs (a, b) of nodes that lie within the similarity on full sets; only pairs with marks alike should come here."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            left, right = (np.frombuffer(b"".join(columns[c].to_pylist()), np.uint16).reshape(-1, PLACES)
-                           for c in ("_signature_a", "_signature_b"))
-            close = (left != right).sum(axis=1) <= DISTANCE
-            kept = []
-            for n in np.flatnonzero(close):
-                x, y = (np.frombuffer(columns[c][int(n)].as_py(), np.uint64) for c in ("_set_a", "_set_b"))
-                if similar(x, y, percent):
-                    kept.append(int(n))
-            yield pa.RecordBatch.from_arrays([columns["a"].take(pa.array(kept, pa.int32())),
-                                              columns["b"].take(pa.array(kept, pa.int32()))], names=["a", "b"])
+            left, right = batch.column(2), batch.column(3)
+            kept = [n for n in range(batch.num_rows) if similar(
+                *(np.frombuffer(c[n].as_buffer(), np.uint64) for c in (left, right)), percent)]
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(kept, pa.int32())) for c in batch.columns[:2]], names=["a", "b"])
 
     def side(name: str) -> DataFrame:
-        return sets.select(F.col("node").alias(f"_{name}"), F.col("signature").alias(f"_signature_{name}"),
-                           F.col("set").alias(f"_set_{name}"))
+        return sets.select(F.col("node").alias(f"_{name}"), F.col("set").alias(f"_set_{name}"))
 
     joined = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
-    return joined.select("a", "b", "_signature_a", "_signature_b", "_set_a", "_set_b").mapInArrow(work, "a long, b long")
+    return joined.select("a", "b", "_set_a", "_set_b").mapInArrow(work, "a long, b long")
 
 
 def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def undecided(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold more than one component, with it."""
+def undecided(members: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """(key, node, component, leader) of the members of buckets that still hold more than one component.
+
+    `leader` is the (node, component) that the members of the bucket are to
+    be compared with in this turn.
+    """
     placed = members.select("key", "node").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
         "key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"),
-                                      F.count("*").alias("_n")).where(F.col("_low") < F.col("_high"))
-    mixed = mixed.where(F.col("_n") > LEADERS + 1).select(F.col("key").alias("_key"))
+    mixed = placed.groupBy(F.col("key").alias("_key")).agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n"),
+        F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("leader"))
+    mixed = mixed.where((F.col("_low") < F.col("_high")) & (F.col("_n") > LEADERS + 1)).select("_key", "leader")
     return placed.join(mixed, F.col("key") == F.col("_key")).drop("_key")
 
 
@@ -245,19 +306,19 @@ def first_shared(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
     return own[(keys == own).argmax(axis=1)]
 
 
-def met(key: int, node: np.ndarray, component: np.ndarray, home: np.ndarray, signature: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, later rows) of one task of a bucket that lie in different components and within the signature distance.
+def met(key: int, component: np.ndarray, home: np.ndarray, mark: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows) of one task of a bucket that lie in different components and have marks alike.
 
     A pair is told under the first key that it shares only. The rows are of
     one block, or of two whose own pairs meet elsewhere; `component` may
     change between two rows.
     """
-    keys = keys_of(signature).view(np.int64)
+    keys = keys_of(mark["places"]).view(np.int64)
     across = home[0] != home[-1]
-    for n in range(len(node) - 1):
+    for n in range(len(mark) - 1):
         # rows come by block, so of two blocks the second is what later rows differ in
         later = np.flatnonzero((component[n + 1:] != component[n]) & (not across or home[n + 1:] != home[n])) + n + 1
-        later = later[(signature[later] != signature[n]).sum(axis=1) <= DISTANCE]
+        later = later[alike(mark[n:n + 1], mark[later], percent)]
         if len(later):
             later = later[first_shared(keys[later], keys[n]) == key]
         if len(later):
@@ -265,15 +326,14 @@ def met(key: int, node: np.ndarray, component: np.ndarray, home: np.ndarray, sig
 
 
 def linked_within(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links between components among (key, node, component, home, signature, set) of one task of a bucket.
+    """Links between components among (key, node, component, home, mark, set) of one task of a bucket.
 
     What a link joins needs no further test between its parts.
     """
     node, component, home = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-    signature = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, PLACES)
     sets = [np.frombuffer(r[5], np.uint64) for r in rows]
     out = []
-    for n, later in met(rows[0][0], node, component, home, signature):
+    for n, later in met(rows[0][0], component, home, read_marks([r[4] for r in rows]), percent):
         for m in later:
             if component[m] != component[n] and similar(sets[n], sets[m], percent):
                 out.append((int(node[n]), int(node[m])))
@@ -281,12 +341,11 @@ def linked_within(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def met_within(rows: list[tuple]) -> list[tuple[int, int]]:
-    """(key, node) of the rows (key, node, component, home, signature) of one task of a bucket that have a pair to test."""
+def met_within(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """(key, node) of the rows (key, node, component, home, mark) of one task of a bucket that have a pair to test."""
     node, component, home = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-    signature = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, PLACES)
     wanted = np.zeros(len(rows), bool)
-    for n, later in met(rows[0][0], node, component, home, signature):
+    for n, later in met(rows[0][0], component, home, read_marks([r[4] for r in rows]), percent):
         wanted[n] = True
         wanted[later] = True
     return [(rows[0][0], n) for n in node[wanted].tolist()]
@@ -304,7 +363,7 @@ def in_block_pairs(members: DataFrame, size: Column, block: int, work: Callable[
     buckets = cut_lineage(buckets.select("_key", "_n", F.ceil(F.col("_total") / block).cast("int").alias("_blocks")).where(F.col("_n") > 1))
     told = buckets.agg(F.sum(F.col("_n") * F.col("_blocks")), F.sum(F.col("_n") * F.col("_n")), F.sum(F.col("_blocks") * (F.col("_blocks") + 1) / 2)).first()
     # as many parts as rows or comparisons ask for, and no more than there are tasks
-    parts = max(pieces(told[0], 50_000), min(pieces(told[1], 20_000_000), int(told[2] or 1), 2000))
+    parts = max(pieces(told[0], 50_000), min(pieces(told[1], 20_000_000), int(told[2] or 1)))
     home = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     placed = members.join(near(buckets, F.lit(24)), F.col("key") == F.col("_key")).withColumn("home", home)
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("other")
@@ -337,40 +396,26 @@ def in_block_pairs(members: DataFrame, size: Column, block: int, work: Callable[
 def remaining_links(left: DataFrame, sets: DataFrame, percent: int, block_bytes: int = 32 << 20, block_rows: int = 8192) -> DataFrame:
     """Links (a, b) among documents that share a bucket and lie in different components.
 
-    Buckets are taken one by one, in pairs of blocks. Signatures go first:
-    only members with a pair within the distance, under the first key it
-    shares, bring their sets to the bucket.
+    Buckets are taken one by one, in pairs of blocks. Marks go first: only
+    members with a pair whose marks are alike, under the first key it shares,
+    bring their sets to the bucket.
     """
-    marked = sets.select(F.col("node").alias("_node"), "signature")
-    members = left.select("key", "node", "component").join(marked, F.col("node") == F.col("_node")).drop("_node")
-    close = cut_lineage(in_block_pairs(members, F.lit(1), block_rows, met_within, ("key", "node")).distinct())
-    whole = sets.select(F.col("node").alias("_node"), "signature", "set")
+    marks = cut_lineage(marks_of(sets).withColumnRenamed("node", "_node"))
+    members = left.select("key", "node", "component").join(marks, F.col("node") == F.col("_node")).drop("_node")
+    close = cut_lineage(in_block_pairs(members, F.lit(1), block_rows, lambda rows: met_within(rows, percent), ("key", "node")).distinct())
     placed = left.select(F.col("node").alias("_member"), "component").distinct()
+    whole = marks.join(sets.select("node", "set"), F.col("node") == F.col("_node")).select("_node", "mark", "set")
     wanted = close.join(placed, F.col("node") == F.col("_member")).join(whole, F.col("node") == F.col("_node")).select(
-        "key", "node", "component", "signature", "set")
-    size = F.octet_length("set") + 2 * PLACES + 64
+        "key", "node", "component", "mark", "set")
+    size = F.octet_length("set") + MARK.itemsize + 64
     return in_block_pairs(wanted, size, block_bytes, lambda rows: linked_within(rows, percent), ("a", "b"))
 
 
-def led_again(left: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+def led_again(left: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of members with the nearest of the leaders that the buckets have in this turn; one test a member at most."""
-    marked = sets.select(F.col("node").alias("_n"), "signature")
-    leaders = left.groupBy(F.col("key").alias("_key")).agg(
-        F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("leader"))
-    pairs = left.join(leaders, F.col("key") == F.col("_key")).where(F.col("component") != F.col("leader.component")).select(
-        "node", F.col("leader.node").alias("leader")).distinct()
-    signed = pairs.join(marked.withColumnRenamed("signature", "x"), F.col("node") == F.col("_n")).drop("_n").join(
-        marked.withColumnRenamed("signature", "y"), F.col("leader") == F.col("_n")).select("node", "leader", "x", "y")
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, PLACES) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x != y).sum(axis=1), pa.int64())],
-                                             names=["node", "leader", "distance"])
-
-    measured = signed.mapInArrow(measure, "node long, leader long, distance long").where(F.col("distance") <= DISTANCE)
-    nearest = measured.groupBy("node").agg(F.min_by("leader", F.struct("distance", "leader")).alias("leader"))
-    return confirm(nearest.select(*_pair("node", "leader")).distinct(), sets, percent)
+    pairs = left.where(F.col("component") != F.col("leader.component")).select(F.col("node").alias("a"), F.col("leader.node").alias("b")).distinct()
+    nearest = close_pairs(pairs, marks, percent).groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
+    return confirm(nearest.select(*_pair("a", "b")).distinct(), sets, percent)
 
 
 def without_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -425,22 +470,20 @@ def near_duplicates(docs: DataFrame, *, words: int, percent: int = 80) -> DataFr
     sets = cut_lineage(sets.dropDuplicates(["node"]))
 
     tested = members.select("node", F.explode("leaders").alias("leader")).select(*_pair("node", "leader")).distinct()
-    links = cut_lineage(confirm(tested, sets, percent))
+    marks = cut_lineage(marks_of(sets))
+    links = cut_lineage(confirm(close_pairs(tested, marks, percent).select("a", "b"), sets, percent))
     found = components(links)
-    left = cut_lineage(undecided(members, found))
-    turn = 0
+    turn = 1
+    left = cut_lineage(undecided(members, found, turn))
     # Large groups of copies that the leaders are not of: other leaders, as long as they join many.
     while left.groupBy("key").agg(F.countDistinct("component").alias("n")).where(F.col("n") > MANY).limit(1).count():
-        turn += 1
-        more = cut_lineage(led_again(left, sets, percent, turn))
+        more = cut_lineage(led_again(left, marks, sets, percent))
         links = cut_lineage(links.unionByName(more))
-        if not (joined := more.count()):
-            break
-        waiting = left.select("node").distinct().count()
+        if 20 * more.count() < left.select("node").distinct().count():
+            break  # what has been joined needs no more tests, but goes through them
+        turn += 1
         found = components(links)
-        left = cut_lineage(undecided(members, found))
-        if 20 * joined < waiting:
-            break
+        left = cut_lineage(undecided(members, found, turn))
     if not left.isEmpty():
         links = cut_lineage(links.unionByName(remaining_links(left, sets, percent)))
         found = components(links)
