@@ -375,15 +375,36 @@ def merged(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return keys[number], begin[first] - number * apart, end[last] - number * apart
 
 
-def repeats(docs: DataFrame, *, joined: bool = False, per_part: int = 25_000, most: int = 20_000) -> DataFrame:
+def whole_parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows of batches that come in the order of their first column, the part; no part is cut."""
+    held: list[pa.RecordBatch] = []
+    count, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = batch.column(0).to_numpy()
+        begins = np.flatnonzero(np.concatenate([[last is not None and part[0] != last], part[1:] != part[:-1]]))
+        last, at = part[-1], 0
+        while (k := np.searchsorted(begins, at + rows - count)) < len(begins):
+            held.append(batch.slice(at, begins[k] - at))
+            yield pa.Table.from_batches(held)
+            held, count, at = [], 0, int(begins[k])
+        held.append(batch.slice(at))
+        count += batch.num_rows - at
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def repeats(docs: DataFrame, *, joined: bool = False, per_part: int = 25_000, most: int = 20_000, scanned: int = 5_000) -> DataFrame:
     """(key, group, begin, end) of all occurrences of maximal repeats in the distinct texts of `docs` (doc_id, text, key).
 
     `group` numbers the repeats of one task. With `joined` a task's spans of a
-    text are made one where they overlap, under its first group. Tasks hold
-    about `per_part` contexts of LEFT + LENGTH bytes; anchors with more than
-    `most` are dealt on by longer strings, and with `joined` by all strings of
-    LENGTH bytes where those are as frequent, so that no task holds such a
-    part. Without `joined`, such a part is scanned whole.
+    text are made one where they overlap. Tasks are dealt about `per_part`
+    contexts of LEFT + LENGTH bytes, which come in the order of their parts,
+    and hold some `scanned` of them, or one larger part, at a time; anchors
+    with more than `most` are dealt on by longer strings, and with `joined` by
+    all strings of LENGTH bytes where those are as frequent, so that no task
+    holds such a part. Without `joined`, such a part is scanned whole.
     """
     size = docs.select(F.sum(F.octet_length("text"))).first()[0]
     places = repeated_anchors(docs, pieces(size, 64 << 20))
@@ -395,47 +416,50 @@ def repeats(docs: DataFrame, *, joined: bool = False, per_part: int = 25_000, mo
     found = everything.where(F.col("part").isNotNull())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        held = pa.Table.from_batches(batches)
-        # an occurrence dealt by two strings may come twice and must not meet itself
-        order = np.lexsort((held["place"].to_numpy(), held["key"].to_numpy()))
-        pairs = np.stack([held[c].to_numpy()[order] for c in ("key", "place")])
-        held = held.take(pa.array(order[np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])]))
-        before, place, key = (held[c].to_numpy() for c in ("before", "place", "key"))
-        found = maximal_repeats(before, held["context"].to_pylist(), LENGTH)
-        if joined:
-            # All spans of an occurrence hold its anchor, so together they reach as far as any does.
-            left, right = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        group = 0
+        for held in whole_parts(batches, scanned):
+            # an occurrence dealt by two strings may come twice and must not meet itself
+            order = np.lexsort((held["place"].to_numpy(), held["key"].to_numpy()))
+            pairs = np.stack([held[c].to_numpy()[order] for c in ("key", "place")])
+            order = order[np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])]
+            before, place, key = (held[c].to_numpy()[order] for c in ("before", "place", "key"))
+            context = held["context"].to_pylist()
+            found = maximal_repeats(before, [context[n] for n in order], LENGTH)
+            if joined:
+                # All spans of an occurrence hold its anchor, so together they reach as far as any does.
+                left, right = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+                for member, reach, depth in found:
+                    left[member] = np.maximum(left[member], reach)
+                    right[member] = np.maximum(right[member], depth)
+                told = right > 0
+                of, begin, end = merged(key[told], (place - left)[told], (place + right)[told])
+                yield batch_of(of, np.zeros(len(of), np.int64), begin, end)
+                continue
+            out: list[tuple[np.ndarray, ...]] = []
+            waiting = 0
             for member, reach, depth in found:
-                left[member] = np.maximum(left[member], reach)
-                right[member] = np.maximum(right[member], depth)
-            told = right > 0
-            of, begin, end = merged(key[told], (place - left)[told], (place + right)[told])
-            yield batch_of(of, np.zeros(len(of), np.int64), begin, end)
-            return
-        out: list[tuple[np.ndarray, ...]] = []
-        for group, (member, reach, depth) in enumerate(found):
-            out.append((key[member], np.full(len(member), group), place[member] - reach, place[member] + depth))
-            if sum(len(o[0]) for o in out[-64:]) > 100_000 or len(out) > 10_000:
+                out.append((key[member], np.full(len(member), group), place[member] - reach, place[member] + depth))
+                group += 1
+                waiting += len(member)
+                if waiting > 100_000 or len(out) > 10_000:
+                    yield batch_of(*(np.concatenate(c) for c in zip(*out, strict=True)))
+                    out, waiting = [], 0
+            if out:
                 yield batch_of(*(np.concatenate(c) for c in zip(*out, strict=True)))
-                out = []
-        if out:
-            yield batch_of(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
     def batch_of(*columns: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "group", "begin", "end"])
 
     dealt, hot = split_large(found, most, joined)
     dealt = dealt.repartition(pieces(count, per_part), "part")
-    scanned = dealt.select("key", "place", "before", "context").mapInArrow(scan, "key long, group long, begin long, end long")
+    ordered = dealt.sortWithinPartitions("part").select("part", "key", "place", "before", "context")
+    spans = ordered.mapInArrow(scan, "key long, group long, begin long, end long")
     if not joined:
-        return scanned
+        return spans
     if hot is not None:
-        scanned = scanned.unionByName(repeated_windows(hot, pieces(count, per_part)))
+        spans = spans.unionByName(repeated_windows(hot, pieces(count, per_part)))
     told = everything.where(F.col("part").isNull())
-    return scanned.unionByName(told.select("key", F.lit(0).cast("long").alias("group"), F.col("place").alias("begin"),
+    return spans.unionByName(told.select("key", F.lit(0).cast("long").alias("group"), F.col("place").alias("begin"),
                                            (F.col("place") + F.col("before")).alias("end")))
 
 
