@@ -176,9 +176,17 @@ def test_cycles_sharing_a_node_form_one_group(spark):
     assert depth == {"x": 6, "a": 5, "b": 5, "c": 5, "d": 5, "y": 1, "p": 3, "q": 3, "s": 3}
 
 
+def test_every_file_on_a_cycle_has_its_shortest(spark):
+    edges = edge_rows(spark, ("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "b"), ("x", "a"), ("p", "q"), ("q", "s"), ("s", "p"), ("d", "y"))
+    found = graphs.file_cycles(edges)
+    assert rows(found, "group", "length", F.array_join("chain", ">")) == [("a", 2, "a>b>a"), ("a", 3, "b>c>d>b"), ("p", 3, "p>q>s>p")]
+    assert rows(graphs.cycle_findings(found), "file_path") == [("a",), ("b",), ("p",)]
+
+
 def test_acyclic_graph_has_no_cycles(spark):
     edges = edge_rows(spark, ("a", "b"), ("b", "c"), ("a", "a"))
     assert graphs.cycles(edges).count() == 0
+    assert graphs.file_cycles(edges).count() == 0
 
 
 def test_long_chains_settle(spark):
@@ -340,6 +348,24 @@ def test_archives_keep_underscored_files(spark, tmp_path):
         ("demo", "bad.java", "java", 5, 1), ("demo", "pkg/.hidden.py", "python", 1, 1), ("demo", "pkg/__init__.py", "python", 6, 1)]
     assert scanned.filter("path = 'bad.java'").first().content == "�� ok"
     assert rows(archives.scan_docs(spark, str(tmp_path / "*.tar.gz")), "path") == [("docs/README.MD",)]
+    skipped = archives.skipped_members(spark, str(tmp_path / "*.tar.gz"), [".py", ".ts", ".java"])
+    assert rows(skipped, "path", "reason") == [("big.ts", "TOO_LARGE"), ("docs/README.MD", "OTHER_SUFFIX"), ("node_modules/a.js", "OTHER_SUFFIX")]
+
+
+def test_archives_are_listed_without_their_bytes(spark, tmp_path):
+    with tarfile.open(tmp_path / "one.tar.gz", "w:gz"):
+        pass
+    scanned = archives.read_archives(spark, str(tmp_path / "*.tar.gz"), [".py"])
+    assert "ReadSchema: struct<path:string>" in scanned._jdf.queryExecution().toString()
+    assert scanned.count() == 0
+
+
+def test_archives_round_trip_in_small_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "BATCH_BYTES", 100)
+    files = [(f"r{i % 2}", f"_p/f{i}.py", "é" * (i % 90)) for i in range(60)] + [("r1", "none.py", None)]
+    archives.write_archives(spark.createDataFrame(files, "repository_id string, path string, content string"), str(tmp_path / "held"))
+    back = archives.read_archives(spark, str(tmp_path / "held" / "*.tar.gz"), [".py"])
+    assert rows(back, "repository_id", "path", "content") == sorted((r, p, c or "") for r, p, c in files)
 
 
 def test_upsert_sink_applied_twice_equals_once(spark):

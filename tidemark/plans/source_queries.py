@@ -38,6 +38,33 @@ def _url_scan(spark, sf):
 add("src1_pages_by_url", _url_scan, """
 SELECT page_id, regexp_replace(p, '\\.html$', '.js') AS path, 'javascript' AS language
 FROM (SELECT page_id, regexp_extract(url, '//[^/]+(/[^?#]*)', 1) AS p FROM pages) WHERE ends_with(p, '.html')""")
+
+
+def _document_archives(spark, sf):
+    """Every 500 documents as an archive; one in six is a file of a kind that is not read."""
+    folder = scratch_path(spark, "archives")
+    suffix = F.expr("CASE doc_id % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.md' WHEN 3 THEN '.java' WHEN 4 THEN '.png' ELSE '.js' END")
+    archives.write_archives(b.table(spark, sf, "documents").select(
+        F.concat(F.lit("a"), F.floor(F.col("doc_id") / 500).cast("string")).alias("repository_id"),
+        F.concat(F.expr("CASE WHEN doc_id % 11 = 0 THEN 'node_modules/d' ELSE './src/_d' END"), F.col("doc_id").cast("string"), suffix).alias("path"),
+        F.col("text").alias("content")), folder)
+    return f"{folder}/*.tar.gz"
+
+
+b.CTES["archived"] = """
+SELECT 'a' || (doc_id // 500) AS repository_id, CASE WHEN doc_id % 11 = 0 THEN 'node_modules/d' ELSE 'src/_d' END || doc_id ||
+  (['.py', '.ts', '.md', '.java', '.png', '.js'])[doc_id % 6 + 1] AS path, doc_id % 6 AS k, doc_id % 11 = 0 AS ignored, coalesce(text, '') AS content FROM documents"""
+add("src1_archive_scan", lambda spark, sf: archives.scan_sources(spark, _document_archives(spark, sf)).select(
+    "repository_id", "path", "language", "content_hash", "size_bytes"), """
+SELECT repository_id, path, (['python', 'typescript', NULL, 'java', NULL, 'javascript'])[k + 1] AS language, sha256(content) AS content_hash,
+       strlen(content)::INTEGER AS size_bytes FROM archived WHERE NOT ignored AND k NOT IN (2, 4) AND strlen(content) <= 1000000""")
+add("src2_archive_docs", lambda spark, sf: archives.scan_docs(spark, _document_archives(spark, sf)).select(
+    "repository_id", "path", "content_hash", "size_bytes"), """
+SELECT repository_id, path, sha256(content) AS content_hash, strlen(content)::INTEGER AS size_bytes FROM archived
+WHERE NOT ignored AND k = 2 AND strlen(content) <= 1000000""")
+add("src1_archive_skips", lambda spark, sf: archives.skipped_members(spark, _document_archives(spark, sf), [".py", ".ts", ".java", ".js"]), """
+SELECT repository_id, path, strlen(content) AS size_bytes, CASE WHEN k IN (2, 4) THEN 'OTHER_SUFFIX' ELSE 'TOO_LARGE' END AS reason FROM archived
+WHERE k IN (2, 4) OR strlen(content) > 1000000""")
 add("src3_language", lambda spark, sf: archives.with_language(listing(spark, sf)).select("p_partkey", "language"), """
 SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' WHEN 4 THEN 'typescript' WHEN 7 THEN 'python' END AS language FROM part""")
 add("src3_url_suffix", lambda spark, sf: b.table(spark, sf, "pages").select(
