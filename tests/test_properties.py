@@ -113,6 +113,24 @@ def test_strong_groups_equal_mutual_reachability(spark, seed):
     for r in graphs.cycles(edges, groups).collect():
         assert r.chain[0] == r.chain[-1] == r.group
         assert all((x, y) in pairs for x, y in zip(r.chain, r.chain[1:]))
+    found = {tuple(r.chain) for r in graphs.file_cycles(edges, groups).collect()}
+    assert found == shortest_cycles(pairs)
+    assert {n for chain in found for n in chain} == set(want)
+
+
+def shortest_cycles(pairs):
+    """Per file the first shortest way back to it by plain search, turned to its smallest file; one per set of files."""
+    best = {}
+    for start in {a for a, _ in pairs}:
+        ways, seen = [(start,)], {start}
+        while ways and not any((w[-1], start) in pairs for w in ways):
+            ways = sorted((*w, c) for w in ways for a, c in pairs if a == w[-1] and c not in seen)
+            seen |= {w[-1] for w in ways}
+        for way in sorted(w for w in ways if (w[-1], start) in pairs)[:1]:
+            at = way.index(min(way))
+            turned = way[at:] + way[:at]
+            best[frozenset(way)] = min(best.get(frozenset(way), turned), turned)
+    return {(*way, way[0]) for way in best.values()}
 
 
 def test_coupling_ends_sum_to_edges(spark):

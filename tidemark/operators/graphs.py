@@ -168,10 +168,46 @@ def cycles(edges: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     return chains.join(sizes, key)
 
 
+def file_cycles(edges: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """A shortest cycle through every file that is on one, each set of files once.
+
+    Two cycles that share a file are two rows. Of the shortest cycles through a
+    file the smallest by its nodes counts; `chain` starts at its smallest file
+    and ends with it again, and of the chains over one set of files the
+    smallest stays. A search ends once it is back at its file, so it holds the
+    files nearer than that, one path each, whatever the size of the group.
+    """
+    groups = strong_groups(edges) if groups is None else groups
+    inside = cut_lineage(_labelled(
+        edges.select("repository_id", "src", "dst").distinct(), groups.withColumnRenamed("group", "value")))
+    key = ["repository_id", "group", "start"]
+    frontier = groups.select("repository_id", "group", F.col("node").alias("start"), "node", F.array("node").alias("path"))
+    seen = frontier.select(*key, "node")
+    closed: list[DataFrame] = []
+    while True:
+        step = frontier.withColumnRenamed("node", "src").join(inside, ["repository_id", "group", "src"])
+        step = cut_lineage(step.groupBy(*key, F.col("dst").alias("node")).agg(F.min("path").alias("path")))
+        home = step.filter("node = start")
+        closed.append(home.select("repository_id", "group", "path"))
+        going = step.join(home.select(*key), key, "left_anti").join(seen, [*key, "node"], "left_anti")
+        frontier = cut_lineage(going.withColumn("path", F.array_append("path", F.col("node"))))
+        if frontier.isEmpty():
+            break
+        seen = cut_lineage(seen.unionByName(frontier.select(*key, "node")))
+    first = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", first, F.size("path")), F.slice("path", F.lit(1), first - 1))
+    chains = reduce(DataFrame.unionByName, closed).groupBy("repository_id", "group", F.array_sort("path").alias("_files")).agg(
+        F.min(turned).alias("_open"))
+    return chains.select(
+        "repository_id", "group", F.size("_open").alias("length"),
+        F.concat("_open", F.slice("_open", F.lit(1), F.lit(1))).alias("chain"))
+
+
 def cycle_findings(found: DataFrame) -> DataFrame:
+    """A finding per chain, at its first file."""
     open_chain = F.slice("chain", F.lit(1), F.size("chain") - 1)
     return finding_rows(
-        found.withColumn("file_path", F.col("group")), type="CIRCULAR_DEPENDENCY", category="DEPENDENCY", severity="MEDIUM",
+        found.withColumn("file_path", F.element_at("chain", 1)), type="CIRCULAR_DEPENDENCY", category="DEPENDENCY", severity="MEDIUM",
         confidence=95, title=F.concat(F.lit("Circular dependency: "), F.array_join(open_chain, " -> ")),
         metadata=F.to_json(F.struct(F.col("chain").alias("cycle"))))
 

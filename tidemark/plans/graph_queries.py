@@ -86,6 +86,32 @@ add("gr2_cycles", lambda spark, sf: _cycles(spark, sf).select(
 SELECT grp, (SELECT count(*) FROM strong s WHERE s.grp = c.grp) AS members, array_to_string(chain, ',') AS chain FROM chains c""")
 add("gr2_cycle_findings", lambda spark, sf: graphs.cycle_findings(_cycles(spark, sf)).select("file_path", "title", "confidence"), """
 SELECT grp AS file_path, 'Circular dependency: ' || array_to_string(chain[1:len(chain) - 1], ' -> ') AS title, 95 AS confidence FROM chains""")
+
+
+def _file_cycles(spark, sf):
+    return graphs.file_cycles(b.graph_edges(spark, sf))
+
+
+b.CTES["group_edges"] = """
+SELECT g.src, g.dst, a.grp FROM graph g JOIN strong a ON a.node = g.src JOIN strong z ON z.node = g.dst AND z.grp = a.grp"""
+# Steps from file to file inside a group; the shared graph has at most ten files in one.
+b.CTES["group_steps"] = """
+WITH RECURSIVE r AS (SELECT src AS start, dst AS node, 1 AS d FROM group_edges
+  UNION SELECT r.start, e.dst, r.d + 1 FROM r JOIN group_edges e ON e.src = r.node WHERE r.d < 10)
+SELECT start, node, min(d) AS d FROM r GROUP BY 1, 2"""
+b.CTES["file_chains"] = """
+WITH RECURSIVE w AS (SELECT DISTINCT grp, src AS start, src AS node, [src] AS path, FALSE AS closed FROM group_edges
+  UNION ALL
+  SELECT w.grp, w.start, e.dst, list_append(w.path, e.dst), e.dst = w.start FROM w JOIN group_edges e ON e.src = w.node
+  JOIN group_steps s ON s.start = w.start AND s.node = e.dst AND s.d = len(w.path) WHERE NOT w.closed),
+best AS (SELECT grp, path[1:len(path) - 1] AS p FROM w WHERE closed QUALIFY row_number() OVER (PARTITION BY start ORDER BY path) = 1),
+turned AS (SELECT grp, list_sort(p) AS files, list_concat(p[list_position(p, list_min(p)):], p[1:list_position(p, list_min(p)) - 1]) AS chain FROM best)
+SELECT grp, chain FROM turned QUALIFY row_number() OVER (PARTITION BY files ORDER BY chain) = 1"""
+add("gr2_file_cycles", lambda spark, sf: _file_cycles(spark, sf).select(
+    F.col("group").alias("grp"), "length", F.array_join("chain", ",").alias("chain")), """
+SELECT grp, len(chain)::INTEGER AS length, array_to_string(chain, ',') || ',' || chain[1] AS chain FROM file_chains""")
+add("gr2_file_cycle_findings", lambda spark, sf: graphs.cycle_findings(_file_cycles(spark, sf)).select("file_path", "title", "severity"), """
+SELECT chain[1] AS file_path, 'Circular dependency: ' || array_to_string(chain, ' -> ') AS title, 'MEDIUM' AS severity FROM file_chains""")
 add("ro15_cycle_edges", lambda spark, sf: graphs.cycle_edges(_cycles(spark, sf)).select(
     F.col("group").alias("grp"), "position", "src", "dst"), """
 SELECT grp, (i - 1)::INTEGER AS position, chain[i] AS src, chain[i + 1] AS dst FROM (SELECT grp, chain, unnest(range(1, len(chain))) AS i FROM chains)""")
