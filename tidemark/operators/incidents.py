@@ -285,9 +285,12 @@ def affected_services(incidents: DataFrame, services: DataFrame) -> DataFrame:
 
 
 def service_health(services: DataFrame, snapshots: DataFrame, live: DataFrame) -> DataFrame:
-    """Health per service: the live reading where one exists, else the latest snapshot."""
+    """Health per service: the live reading where one exists, else the latest snapshot.
+
+    Of readings at one time the largest counts, field by field.
+    """
     def newest(df: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:
-        return df.groupBy("service_id").agg(F.max_by(F.struct("captured_at", *fields), F.col("captured_at")).alias(name))
+        return df.groupBy("service_id").agg(F.max(F.struct("captured_at", *fields)).alias(name))
 
     joined = (
         services.select(F.col("id").alias("service_id"))

@@ -247,10 +247,9 @@ add("ix17_token_estimate", lambda spark, sf: b.table(spark, sf, "documents").sel
 # --- listings ------------------------------------------------------------------------------------
 
 add("ix18_index_status", lambda spark, sf: ix.index_status(
-    b.document_files(spark, sf), document_symbols(spark, sf).filter("kind = 'METHOD' AND repository_id <> 'src1'"),
-    ix.section_chunks(b.document_files(spark, sf), short_line).filter("start_line > 1")), """
-SELECT f.repository_id, count(*) AS total_files, CASE WHEN f.repository_id = 'src1' THEN 0 ELSE 2 * count(*) END AS total_symbols,
-  (SELECT count(*) FROM section_chunks c JOIN doc_files d ON d.path = c.key WHERE c.start_line > 1 AND d.repository_id = f.repository_id) AS total_chunks
+    b.document_files(spark, sf), document_symbols(spark, sf), ix.section_chunks(b.document_files(spark, sf), short_line)), """
+SELECT f.repository_id, count(*) AS total_files, 3 * count(*) AS total_symbols,
+  (SELECT count(*) FROM section_chunks c JOIN doc_files d ON d.path = c.key WHERE d.repository_id = f.repository_id) AS total_chunks
 FROM doc_files f GROUP BY 1""")
 
 

@@ -139,7 +139,7 @@ def _detail(spark, sf):
     calls = msgs.filter("role = 'assistant'").withColumn("position", F.explode(F.sequence(F.lit(0), F.col("turn") % 3))).select(
         "message_id", "position", F.concat(F.lit("tool"), "position").alias("tool_name"), F.lit("{}").alias("arguments"), F.lit("[]").alias("result"),
         F.lit("SUCCESS").alias("status"), F.col("turn").alias("duration_ms"))
-    cites = rt.dedupe_citations(words(spark, sf)).filter("length(file_path) = 3").withColumn("repository_id", F.lit("r"))
+    cites = rt.dedupe_citations(words(spark, sf)).withColumn("repository_id", F.lit("r"))
     return rt.conversation_detail(msgs, calls, cites)
 
 
@@ -148,7 +148,7 @@ add("rt10_conversation_detail", lambda spark, sf: _detail(spark, sf).select(
     F.array_join(F.transform("citations", lambda c: c["file_path"]), ",").alias("files")), """
 SELECT conv_id AS conversation_id, turn, role,
   CASE WHEN role = 'assistant' THEN array_to_string(list_transform(range(0, turn % 3 + 1), lambda i: 'tool' || i), ',') END AS tools,
-  nullif(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[a-z]+'), lambda w: length(w) = 3))), ','), '') AS files
+  nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[a-z]+'))), ','), '') AS files
 FROM conversations""")
 add("rt11_list_conversations", lambda spark, sf: rt.list_conversations(b.table(spark, sf, "conversations").groupBy(
     F.col("conv_id").alias("id"), F.concat(F.lit("o"), F.col("conv_id") % 3).alias("organization_id"), (F.col("conv_id") % 2).alias("user_id")).agg(

@@ -29,13 +29,13 @@ add("ro4_weakest_scores", lambda spark, sf: ro.weakest_scores(fp.latest_analysis
     "repository_id", "score_name", "score", "position"), f"""
 SELECT repository_id, score_name, score, row_number() OVER (PARTITION BY analysis_id ORDER BY score, list_position([{", ".join(f"'{k}'" for k in fp.SCORE_CATEGORY)}], score_name))::INTEGER AS position
 FROM latest_scores WHERE score_name <> 'overall' AND score IS NOT NULL QUALIFY position <= 3""")
-add("ro5_health_headline", lambda spark, sf: ro.health_headline(b.analyses(spark, sf), b.findings(spark, sf).filter("category = 'SECURITY'")), """
+add("ro5_health_headline", lambda spark, sf: ro.health_headline(b.analyses(spark, sf), b.findings(spark, sf)), """
 SELECT analysis_id, repository_id, CASE WHEN c > 0 THEN 'danger' WHEN h > 0 OR overall_score < 60 THEN 'warning' ELSE 'success' END AS tone,
   CASE WHEN c > 0 THEN c || ' critical issue' || CASE WHEN c = 1 THEN '' ELSE 's' END || ' need attention'
        WHEN h > 0 THEN h || ' high-severity issue' || CASE WHEN h = 1 THEN '' ELSE 's' END || ' to review'
        WHEN overall_score < 60 THEN 'Overall score is below a healthy threshold' ELSE 'No critical issues found' END AS headline
 FROM (SELECT a.id AS analysis_id, a.repository_id, a.overall_score, count(*) FILTER (f.severity = 'CRITICAL') AS c, count(*) FILTER (f.severity = 'HIGH') AS h
-      FROM ana a LEFT JOIN fnd f ON f.analysis_id = a.id AND f.category = 'SECURITY' GROUP BY 1, 2, 3)""")
+      FROM ana a LEFT JOIN fnd f ON f.analysis_id = a.id GROUP BY 1, 2, 3)""")
 add("ro6_score_bands", lambda spark, sf: b.table(spark, sf, "customer").select(
     "c_custkey", sc.score_band(F.when(F.col("c_acctbal") > 0, F.floor(F.col("c_acctbal") / 100).cast("int"))).alias("band")), """
 SELECT c_custkey, CASE WHEN c_acctbal <= 0 THEN 'none' WHEN floor(c_acctbal / 100) >= 80 THEN 'good' WHEN floor(c_acctbal / 100) >= 60 THEN 'fair' ELSE 'poor' END AS band FROM customer""")

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 # Whether a join needs its sides dealt by all of its keys; `land_by` turns it off.
 CO_LOCATED = "spark.sql.requireAllClusterKeysForCoPartition"
 
-# What results depend on, whatever session the caller brings.
+# What results and the splitting of hot keys depend on, whatever session the caller brings.
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     CO_LOCATED: "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -45,7 +46,6 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
