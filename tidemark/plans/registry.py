@@ -18,7 +18,7 @@ BODIES: dict[str, str] = {}  # oracles without their common table expressions
 def add(name: str, query: Query, oracle: str | None = None) -> None:
     if name in QUERIES:
         raise ValueError(f"{name} is registered twice")
-    QUERIES[name] = lambda spark, sf: query(ensure(spark), sf)
+    QUERIES[name] = lambda spark, sf: query(ensure(spark, split_hot=True), sf)
     if oracle is not None:
         BODIES[name] = oracle
         ORACLES[name] = with_ctes(oracle)

@@ -12,20 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 # Whether a join needs its sides dealt by all of its keys; `land_by` turns it off.
 CO_LOCATED = "spark.sql.requireAllClusterKeysForCoPartition"
 
-# What results and the splitting of hot keys depend on, whatever session the caller brings.
+# What results depend on, whatever session the caller brings.
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     CO_LOCATED: "true",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
+# Joins on keys that may be hot are split even where that costs another exchange.
+SPLIT_HOT = {"spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
 
 
-def ensure(spark: SparkSession) -> SparkSession:
-    """Sets the settings that results depend on in the running session."""
-    for key, value in REQUIRED.items():
+def ensure(spark: SparkSession, split_hot: bool = False) -> SparkSession:
+    """Sets the settings that results, and with `split_hot` the splitting of hot keys, depend on in the running session."""
+    for key, value in {**REQUIRED, **(SPLIT_HOT if split_hot else {})}.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
@@ -45,7 +46,7 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf:
         **REQUIRED,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
+        **SPLIT_HOT,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
