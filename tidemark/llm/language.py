@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import slices
 
 UNDETERMINED = "und"
-# Numbers that are no digits, such as fractions, count as word characters but are no letters.
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-NOT_LETTERS = re.compile(rf"[\W\d_{NUMBERS}]+")
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> str:
     """Lower-case letters, everything else as single spaces."""
-    return NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    words = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    if words and not words.replace(" ", "").isalpha():
+        # Numbers that are no digits, such as fractions, count as word characters but are no letters.
+        words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
+    return words
 
 
 def learn(docs: DataFrame, wanted: Column, *, per_language: int = 128, chars: int = 2000,
