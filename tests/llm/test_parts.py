@@ -274,3 +274,32 @@ def test_a_very_frequent_passage_is_no_single_task(spark, monkeypatch, size):
     seen = Counter(t[k:k + 200] for t in texts for k in range(len(t) - 199))
     expected = {n: repeats.union([(k, k + 200) for k in range(len(t) - 199) if seen[t[k:k + 200]] > 1]) for n, t in enumerate(texts)}
     assert {n: repeats.union(spans) for n, spans in found.items()} == {n: spans for n, spans in expected.items() if spans}
+
+
+def in_small_batches(monkeypatch, module):
+    plain = module.slices
+
+    def bounded(batches, *limits):
+        def look():
+            for batch in batches:
+                assert batch.nbytes < 6_000_000, batch.nbytes
+                yield batch
+
+        return plain(look(), *limits)
+
+    monkeypatch.setattr(module, "slices", bounded)
+
+
+def long_documents(spark, folder):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rng = random.Random(7)
+    rows = [(n, " ".join(rng.randbytes(4).hex() for _ in range(550))) for n in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_long_texts_reach_the_repeats_by_bytes(spark, monkeypatch, tmp_path):
+    folder = long_documents(spark, str(tmp_path / "long"))
+    in_small_batches(monkeypatch, repeats)
+    found = QUERIES["op8_interval_tree_repeats"](spark, folder).collect()
+    assert len(found) == 3000 and all(r.n_removed == 0 and r.n_bytes == 4949 for r in found)
