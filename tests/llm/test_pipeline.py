@@ -3,10 +3,13 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.samples import document_rows, tables
 from tests.llm.test_documents import WORD, groups, water_filled
+from tests.llm.test_parts import in_small_batches, long_documents
+from tidemark.llm import language, neardups, packing, repeats
 
 ROWS = document_rows()
 
@@ -98,3 +101,13 @@ def test_run_gives_the_last_stage(spark, stages):
 
 def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, tables(spark, str(tmp_path / "e"), documents=[])).collect() == []
+
+
+@pytest.mark.parametrize(("stage", "module"), [
+    ("language", language), ("near_duplicates", neardups), ("repeated_passages", repeats), ("packing", packing)])
+def test_long_texts_reach_each_stage_by_bytes(spark, monkeypatch, tmp_path, stage, module):
+    folder = long_documents(spark, str(tmp_path / "long"))
+    in_small_batches(monkeypatch, module)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit("en"))
+    left = dict(corpus_pipeline.STAGES)[stage](spark, docs, folder)
+    assert left.select("doc_id").distinct().count() == 3000
