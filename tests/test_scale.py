@@ -5,6 +5,8 @@ import os
 import duckdb
 import pytest
 
+import __spark_entry__ as entry
+from tidemark.operators.keyed import large_join
 from tidemark.plans import bindings
 from tidemark.session import ensure, scratch_root
 
@@ -37,3 +39,19 @@ def test_trees_land_less_than_their_texts(spark, documents):
     files = {r.file_path: r for r in nodes.groupBy("file_path").agg({"*": "count", "node_id": "max", "post": "max"}).collect()}
     assert len(files) == 11 and all(r["count(1)"] == r["max(node_id)"] + 1 and r["max(post)"] == 2 * r["count(1)"] - 1 for r in files.values())
     assert files["d3"]["max(node_id)"] == 2 * files["d6"]["max(node_id)"]
+
+
+@pytest.mark.parametrize("name", [
+    "gr10_unsafe_dependencies", "gr11_dependency_diff", "tm26_trivial_methods", "tm27_lsp_candidates", "tm28_isp_candidates",
+    "tm30_strategy_families", "tm30_strategy_candidates"])
+def test_large_sides_do_not_go_through_the_driver(spark, name):
+    """The planner takes exploded rows for as few as the table they came from, so it must not choose."""
+    plan = entry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_large_join_equals_join(spark, how):
+    left = spark.createDataFrame([("hot" if i % 3 else f"k{i % 7}", i) for i in range(300)] + [(None, -1)], "k string, id int")
+    right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k0", 3), (None, 4)], "k string, v int")
+    assert sorted(map(str, large_join(left, right, ["k"], how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
