@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.operators import retrieval
 from tidemark.operators.keyed import large_join
 from tidemark.plans import bindings
 from tidemark.session import ensure, scratch_root
@@ -55,3 +57,32 @@ def test_large_join_equals_join(spark, how):
     left = spark.createDataFrame([("hot" if i % 3 else f"k{i % 7}", i) for i in range(300)] + [(None, -1)], "k string, id int")
     right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k0", 3), (None, 4)], "k string, v int")
     assert sorted(map(str, large_join(left, right, ["k"], how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+def test_search_repeats_rows_per_share_not_per_block(spark, monkeypatch):
+    """Small blocks are products inside a task: 300 vectors against 20 questions are one share of each."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(300, 4))
+    vectors[7] = vectors[250] = vectors[3]  # ties at the cut
+    rows = [(i, "r", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    chunks = spark.createDataFrame(rows, "id long, repository_id string, embedding array<float>")
+    asking = chunks.filter("id < 20").selectExpr("id AS query_id", "embedding")
+    dealt = []
+    monkeypatch.setattr(retrieval, "_share", lambda block, most, f=retrieval._share: dealt.append(f(block, most)) or dealt[-1])
+    found = {tuple(r) for r in retrieval.search(chunks, asking, 2, chunk_rows=10, query_rows=4).select("query_id", "chunk_id", "rank").collect()}
+    assert dealt == [32_760, 8_192]
+    unit = np.float32(vectors) / np.linalg.norm(np.float32(vectors), axis=1, keepdims=True)
+    scores = np.round(unit[:20] @ unit.T, 6)
+    wanted = {(q, int(c), n + 1) for q in range(20) for n, c in enumerate(np.lexsort((np.arange(300), -scores[q]))[:2])}
+    assert found == wanted
+
+
+def test_both_sides_of_a_search_meet_in_any_number_of_partitions(spark):
+    chunks = spark.range(40).selectExpr("id", "'r' AS repository_id", "array(double(cos(id / 9)), double(sin(id / 9))) AS embedding")
+    asking = chunks.filter("id < 3").selectExpr("id AS query_id", "embedding")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = retrieval.search(chunks, asking, 1).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted((r.query_id, r.chunk_id) for r in found) == [(0, 0), (1, 1), (2, 2)]

@@ -32,9 +32,12 @@ def search(
     """Exact cosine top-k of `chunks` for each query, filters first.
 
     `queries` has query_id and embedding. Both sides are dealt by hash into
-    blocks; each pair of blocks meets in one task, which scores it with one
-    matrix product and passes on only what can be among the first k. Neither
-    side goes through the driver, and a task's memory is set by the block sizes.
+    shares of whole blocks; each pair of shares meets in one task, which scores
+    it block by block, a matrix product each, and passes on only what can be
+    among the first k. Neither side goes through the driver. Every row is
+    repeated once per share of the other side, so a share holds as many blocks
+    as `CHUNK_ROWS` and `QUERY_ROWS` take, which with `chunk_rows` and
+    `query_rows` set a task's memory.
     """
     require_columns(chunks, "id", "repository_id", "embedding")
     rows = chunks.filter(F.col("embedding").isNotNull())
@@ -42,21 +45,27 @@ def search(
         rows = rows.filter(F.col("repository_id").isin(*repository_ids))
     if kinds:
         rows = rows.filter(F.col("kind").isin(*kinds))
-    chunk_blocks = max(1, -(-rows.count() // chunk_rows))
-    query_blocks = max(1, -(-queries.count() // query_rows))
+    chunk_blocks = max(1, -(-rows.count() // _share(chunk_rows, CHUNK_ROWS)))
+    query_blocks = max(1, -(-queries.count() // _share(query_rows, QUERY_ROWS)))
+    # Both sides hash their keys by type as well: an int and a long of the same value go to different tasks.
     held = rows.select(
-        F.pmod(F.xxhash64("id"), F.lit(chunk_blocks)).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("_q"),
+        F.pmod(F.xxhash64("id"), F.lit(chunk_blocks)).cast("int").alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("_q"),
         F.col("id").alias("chunk_id"), "embedding")
     asking = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(chunk_blocks - 1))).alias("_c"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("_q"),
+        F.explode(F.sequence(F.lit(0), F.lit(chunk_blocks - 1))).alias("_c"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("_q"),
         "query_id", "embedding")
     types = {name: df.schema[name].dataType.simpleString() for df, name in ((held, "chunk_id"), (asking, "query_id"))}
     scored = held.groupBy("_c", "_q").cogroup(asking.groupBy("_c", "_q")).applyInArrow(
-        _scorer(k), f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, score double")
+        _scorer(k, chunk_rows, query_rows), f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, score double")
     return top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], k, rank="rank")
 
 
-def _scorer(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _share(block: int, most: int) -> int:
+    """Rows of as many whole blocks as `most` rows take, of one at least."""
+    return block * max(1, most // block)
+
+
+def _scorer(k: int, chunk_rows: int, query_rows: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def unit(table: pa.Table) -> np.ndarray:
         flat = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         rows = flat.reshape(table.num_rows, -1)
@@ -67,14 +76,22 @@ def _scorer(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         chunk_at, query_at, scores = [], [], []
         if held.num_rows and asking.num_rows:
             vectors, questions = unit(held), unit(asking)
-            for begin in range(0, len(questions), 512):
-                products = questions[begin:begin + 512] @ vectors.T
+            step, width = min(query_rows, 512), min(chunk_rows, 8192)
+            for begin in range(0, len(questions), step):
+                asked = questions[begin:begin + step]
+                best = np.full((len(asked), k), -np.inf)  # the first k scores so far
+                hits = []
+                for first in range(0, len(vectors), width):
+                    products = asked @ vectors[first:first + width].T
+                    best = np.partition(np.concatenate([best, products], axis=1), -k, axis=1)[:, -k:]
+                    rows, columns = np.nonzero(products >= best[:, :1])
+                    hits.append((rows, columns + first, products[rows, columns]))
+                rows, columns, found = (np.concatenate(x) for x in zip(*hits))
                 # Keeps ties with the k-th score, so the final cut by id stays exact.
-                floor = np.partition(products, -k, axis=1)[:, -k, None] if products.shape[1] > k else -np.inf
-                rows, columns = np.nonzero(products >= floor)
-                query_at.append(rows + begin)
-                chunk_at.append(columns)
-                scores.append(products[rows, columns])
+                kept = found >= best[rows, 0]
+                query_at.append(rows[kept] + begin)
+                chunk_at.append(columns[kept])
+                scores.append(found[kept])
         none = np.zeros(0, np.int64)
         return pa.table({
             "query_id": asking["query_id"].take(pa.array(np.concatenate([none, *query_at]))),
