@@ -4,13 +4,16 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 import __spark_entry__ as entry
 from tidemark.operators import retrieval
 from tidemark.operators.keyed import large_join
 from tidemark.plans import bindings
 from tidemark.session import ensure, scratch_root
+from tidemark.streaming import streams
 
 
 def _bytes_under(folder):
@@ -86,3 +89,84 @@ def test_both_sides_of_a_search_meet_in_any_number_of_partitions(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert sorted((r.query_id, r.chunk_id) for r in found) == [(0, 0), (1, 1), (2, 2)]
+
+
+class _Store:
+    """The state of one key, and how often it is called."""
+
+    def __init__(self):
+        self.calls, self.timers, self.values = 0, set(), {}
+
+    def getMapState(self, name, *_):
+        return _State(self, name)
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class _State:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def _at(self, key=()):
+        self.store.calls += 1
+        return (self.name, key)
+
+    def exists(self):
+        return self._at() in self.store.values
+
+    def containsKey(self, key):
+        return self._at(key) in self.store.values
+
+    def get(self):
+        return self.store.values[self._at()]
+
+    def update(self, value):
+        self.store.values[self._at()] = value
+
+    def getValue(self, key):
+        return self.store.values[self._at(key)]
+
+    def updateValue(self, key, value):
+        self.store.values[self._at(key)] = value
+
+    def removeKey(self, key):
+        del self.store.values[self._at(key)]
+
+
+def test_waiting_alerts_take_few_calls_to_the_state():
+    """Rows come out of order over three hours in several batches; the watermark stops between them, also inside an hour."""
+    rng = np.random.default_rng(3)
+    us = rng.integers(0, 3 * 3_600_000_000, 6_000)
+    rows = pd.DataFrame({
+        "at_us": us, "closes": rng.random(6_000) < 0.4, "fingerprint": [f"f{i}" for i in range(6_000)],
+        "title": [None if i % 5 == 0 else f"t{i}" for i in range(6_000)], "severity": "HIGH"})
+    rows.loc[rows.closes, ["fingerprint", "title", "severity"]] = None
+    store, opener, found = _Store(), streams.incident_opener(), []
+    opener.init(store)
+    steps = [(rows[:2_000], 1_000_000), (rows[2_000:5_000], 5_000_000), (rows[5_000:], 11_000_000)]
+    late = rows[5_000:].at_us // 1000 <= 5_000_000  # what the stream would have turned away
+    steps[2] = (rows[5_000:][~late], 11_000_000)
+    early = rows[2_000:5_000].at_us // 1000 <= 1_000_000
+    steps[1] = (rows[2_000:5_000][~early], 5_000_000)
+    for batch, watermark in steps:
+        times = TimerValues(0, watermark)
+        list(opener.handleInputRows(("o", "s"), iter([batch[:700], batch[700:]]), times))
+        for at in sorted(t for t in store.timers if t <= watermark):
+            for part in opener.handleExpiredTimer(("o", "s"), times, ExpiredTimerInfo(at)):
+                found += list(part.itertuples(index=False, name=None))
+            store.timers.discard(at)
+        assert not [t for t in store.timers if t <= watermark]
+    taken = pd.concat([b for b, _ in steps]).assign(kind=lambda d: (~d.closes).astype(int)).sort_values(["at_us", "kind", "fingerprint"])
+    wanted, is_open = [], False
+    for r in taken.itertuples():
+        if r.closes:
+            is_open = False
+        elif not is_open:
+            is_open = True
+            wanted.append(("o", "s", r.fingerprint, r.at_us, None if pd.isna(r.title) else r.title, r.severity))
+    assert [tuple(None if v is None or v != v else v for v in f) for f in found] == wanted
+    assert store.calls < 100

@@ -46,58 +46,92 @@ INCIDENT_SCHEMA = StructType([
 ])
 
 
-def incident_opener() -> StatefulProcessor:
+def incident_opener(held_rows: int = 100_000, part_rows: int = 5_000) -> StatefulProcessor:
     """The per-service state machine. Defined here so that it travels to the
-    executors by value and they need no copy of this package."""
+    executors by value and they need no copy of this package.
+
+    A call to the state store takes longer than hundreds of rows, so rows are
+    kept in parts of an hour, `part_rows` at most, written `held_rows` at a time.
+    """
     fields = INCIDENT_SCHEMA.fieldNames()
+    hour_us = 3_600_000_000
 
     class IncidentOpener(StatefulProcessor):
         """Per service: whether an incident is open, fed in event-time order.
 
-        Rows wait in a map keyed by their millisecond until the watermark passes
-        it, so late-ordered files do not change the result and a timer reads only
-        its own millisecond.
+        Rows wait until the watermark passes their millisecond, so late-ordered
+        files do not change the result. `hours` says of each hour how many parts
+        wait and from which millisecond on; one timer waits for the first of all,
+        and when it fires, everything the watermark has passed is read.
         """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.waiting = handle.getMapState(
-                "waiting", StructType([StructField("ms", LongType())]), StructType([StructField("rows", StringType())]))
+            self.parts = handle.getMapState(
+                "parts", StructType([StructField("hour", LongType()), StructField("part", LongType())]),
+                StructType([StructField("rows", StringType())]))
+            self.hours = handle.getValueState("hours", StructType([StructField("hours", StringType())]))
             self.open = handle.getValueState("open", StructType([StructField("open", BooleanType())]))
 
+        def told(self) -> dict[int, list[int]]:
+            return {int(k): v for k, v in json.loads(self.hours.get()[0]).items()} if self.hours.exists() else {}
+
+        def tell(self, hours: dict[int, list[int]]) -> None:
+            self.hours.update((json.dumps(hours),))
+            if hours:
+                self.handle.registerTimer(min(first for _, first in hours.values()))
+
+        def keep(self, hours: dict[int, list[int]], arrived: dict[int, list]) -> None:
+            for hour, rows in arrived.items():
+                n, first = hours.get(hour, (0, rows[0][0] // 1000))
+                for begin in range(0, len(rows), part_rows):
+                    self.parts.updateValue((hour, n), (json.dumps(rows[begin:begin + part_rows]),))
+                    n += 1
+                hours[hour] = [n, min(first, min(row[0] for row in rows) // 1000)]
+
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            hours = self.told()
             arrived: dict[int, list] = {}
+            held = 0
             for batch in rows:
-                for row in batch.itertuples(index=False):
-                    us = int(row.at_us)
-                    kind = 0 if row.closes else 1
-                    text = [None if pd.isna(v) else v for v in (row.fingerprint, row.title, row.severity)]
-                    arrived.setdefault(us // 1000, []).append([us, kind, *text])
-            for ms, held in arrived.items():
-                if self.waiting.containsKey((ms,)):
-                    held = json.loads(self.waiting.getValue((ms,))[0]) + held
-                self.waiting.updateValue((ms,), (json.dumps(held),))
-                self.handle.registerTimer(ms)
+                texts = [batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in ("fingerprint", "title", "severity")]
+                for us, closes, *text in zip(batch["at_us"].tolist(), batch["closes"].tolist(), *texts):
+                    arrived.setdefault(int(us) // hour_us, []).append([int(us), 0 if closes else 1, *text])
+                held += len(batch)
+                if held >= held_rows:
+                    self.keep(hours, arrived)
+                    arrived, held = {}, 0
+            self.keep(hours, arrived)
+            self.tell(hours)
             yield from ()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            ms = expiredTimerInfo.getExpiryTimeInMs()
-            if not self.waiting.containsKey((ms,)):
-                return
-            held = json.loads(self.waiting.getValue((ms,))[0])
-            self.waiting.removeKey((ms,))
+            passed = timerValues.getCurrentWatermarkInMs()
+            hours = self.told()
+            due = sorted(hour for hour, (_, first) in hours.items() if first <= passed)
             is_open = bool(self.open.get()[0]) if self.open.exists() else False
-            opened = []
-            # Closes come first among equal times, then alerts by fingerprint.
-            for us, kind, fingerprint, title, severity in sorted(held, key=lambda r: (r[0], r[1], r[2] or "")):
-                if kind == 0:
-                    is_open = False
-                elif not is_open:
-                    is_open = True
-                    opened.append((*key, fingerprint, us, title, severity))
-            self.open.update((is_open,))
-            if opened:
-                yield pd.DataFrame(opened, columns=fields)
+            for hour in due:
+                rows = []
+                for part in range(hours.pop(hour)[0]):
+                    rows += json.loads(self.parts.getValue((hour, part))[0])
+                    self.parts.removeKey((hour, part))
+                opened = []
+                # Closes come first among equal times, then alerts by fingerprint.
+                for us, kind, fingerprint, title, severity in sorted(
+                        (r for r in rows if r[0] // 1000 <= passed), key=lambda r: (r[0], r[1], r[2] or "")):
+                    if kind == 0:
+                        is_open = False
+                    elif not is_open:
+                        is_open = True
+                        opened.append((*key, fingerprint, us, title, severity))
+                later = [r for r in rows if r[0] // 1000 > passed]
+                if later:
+                    self.keep(hours, {hour: later})
+                if opened:
+                    yield pd.DataFrame(opened, columns=fields)
+            if due:
+                self.open.update((is_open,))
+            self.tell(hours)
 
         def close(self) -> None:
             pass
